@@ -17,6 +17,7 @@ from roadpulse.operators import pairs as pairing
 from roadpulse.operators import prepare
 from roadpulse.operators import roads as road_ops
 from roadpulse.params import ROAD_CLASS_MAXSPEED, ROAD_CLASS_PRIORITY
+from roadpulse.plans.lineage import scratch_path
 from roadpulse.sources import roads as road_source
 
 EPOCH = 1704067200
@@ -27,6 +28,28 @@ DATE_TEXT = "_2024_01_01"
 CLASS_IDS = [c for c, _ in ROAD_CLASS_PRIORITY]
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build):
+    """Keeps a derived table as Parquet for the life of the application.
+
+    The stages of the pipeline hand tables to each other, so a stage is
+    computed once and read with column pruning by the queries that need it.
+    """
+
+    @functools.wraps(build)
+    def read(self: Fixtures) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, build.__name__)
+        if key not in _stored:
+            path = scratch_path(self.spark, build.__name__)
+            build(self).write.parquet(path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
+
+    return read
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -54,6 +77,7 @@ class Fixtures:
     def road_class(self) -> DataFrame:
         return road_source.default_road_classes(self.spark)
 
+    @stored
     def ways(self) -> DataFrame:
         g, line, half = self.dims
         k = F.col("p_partkey")
@@ -95,6 +119,7 @@ class Fixtures:
     def base_roads(self) -> DataFrame:
         return road_source.base_roads(self.ways(), self.road_class())
 
+    @stored
     def roads(self) -> DataFrame:
         return road_ops.split_directions(self.base_roads())
 
@@ -123,6 +148,7 @@ class Fixtures:
             "m", "x", row.alias("r"),
         )
 
+    @stored
     def gps(self) -> DataFrame:
         return self.raw_gps().select(
             "event_id", "date", "suid", "utc", "lat", "lon", "head",
@@ -136,6 +162,7 @@ class Fixtures:
         short = F.concat_ws(" ", "date", "suid", "utc", "lat", "lon", "head")
         return g.select("event_id", F.when(F.pmod("event_id", F.lit(97)) == 96, short).otherwise(full).alias("value"))
 
+    @stored
     def samples(self) -> DataFrame:
         """GPS in degrees, thinned."""
         return prepare.thin_traces(prepare.decode_coordinates(self.gps()))
@@ -153,9 +180,11 @@ class Fixtures:
             F.col("ostdesc").contains("重车").alias("passenger"),
         )
 
+    @stored
     def matched(self) -> DataFrame:
         return prepare.thin_traces(self.truth())
 
+    @stored
     def raw_pairs(self) -> DataFrame:
         """Consecutive matched points with the route along the row."""
         cut = pairing.usable_pairs(pairing.pair_up(self.matched(), ["gid", "offset", "passenger"]))
@@ -172,9 +201,11 @@ class Fixtures:
             F.col("passenger"),
         )
 
+    @stored
     def pairs(self) -> DataFrame:
         return pairing.flag_pairs(self.raw_pairs(), F.floor(F.col("utc") / 20))
 
+    @stored
     def history(self) -> DataFrame:
         _, _, half = self.dims
         speeds = (
@@ -190,15 +221,21 @@ class Fixtures:
         attributes = self.roads().select(F.col("id").alias("gid"), "base_gid", F.col("length_m").alias("length"), "class_id")
         return speeds.join(attributes, "gid").withColumn("time", F.col("length") / F.col("average_speed"))
 
+    @stored
+    def road_state(self) -> DataFrame:
+        history = self.history()
+        return road_ops.initial_state(self.roads(), history, road_source.class_history(history))
+
     def arrivals(self) -> DataFrame:
-        """Road observations in arrival order on real days, every 7th one late."""
+        """Road observations of eight roads in arrival order over three days, every 7th one late."""
         e = self.events()
-        utc = F.floor("epoch").cast("long")
+        utc = F.lit(EPOCH) + F.floor((F.col("epoch") - EPOCH) / 10).cast("long")
+        kind = F.when(F.pmod("event_id", F.lit(11)) == 0, "jam").when(F.col("event_type") == "view", "route").otherwise("speed")
         return e.select(
-            F.col("user_id").alias("gid"), "event_id",
+            F.pmod("user_id", F.lit(8)).alias("road"), "event_id",
             F.when(F.pmod("event_id", F.lit(7)) == 0, utc - 400).otherwise(utc).alias("utc"),
-            F.when(F.pmod("event_id", F.lit(11)) == 0, "jam").when(F.col("event_type") == "view", "route").otherwise("speed").alias("kind"),
-            (F.col("value") / 10).alias("value"),
+            kind.alias("kind"),
+            F.when(kind == "route", F.col("value") + 5).otherwise(F.col("value") / 9.7).alias("value"),
         )
 
 
@@ -347,12 +384,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             greatest(1.5e0, CASE WHEN h.average_speed > 0 THEN h.average_speed WHEN c.average_speed > 0 THEN c.average_speed ELSE 10e0 END) AS avg_speed
           FROM roads r LEFT JOIN history h ON h.gid = r.id AND h.seq = 288
           LEFT JOIN class_history c ON c.class_id = r.class_id AND c.seq = 288)"""),
-    "arrivals": ((), """
-        SELECT user_id AS gid, event_id,
-          CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) - (CASE WHEN event_id % 7 = 0 THEN 400 ELSE 0 END) AS utc,
-          CASE WHEN event_id % 11 = 0 THEN 'jam' WHEN event_type = 'view' THEN 'route' ELSE 'speed' END AS kind,
-          value / 10e0 AS value
-        FROM events"""),
+    "arrivals": ((), f"""
+        SELECT road, event_id, utc, kind, CASE WHEN kind = 'route' THEN value + 5 ELSE value / 9.7e0 END AS value FROM (
+          SELECT user_id % 8 AS road, event_id, value,
+            {EPOCH} + CAST(floor((epoch_us(ts) / 1e6 - {EPOCH}) / 10) AS BIGINT) - (CASE WHEN event_id % 7 = 0 THEN 400 ELSE 0 END) AS utc,
+            CASE WHEN event_id % 11 = 0 THEN 'jam' WHEN event_type = 'view' THEN 'route' ELSE 'speed' END AS kind
+          FROM events)"""),
 }
 
 
