@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_slices(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Road or turning rows, one folder per date and slice.
 
-    Rows are spread by date and slice and sorted by road, so that a slice is
-    written by few tasks and a lookup by road skips row groups.
+    Rebalancing brings a slice to few tasks and splits one that is too large;
+    rows are sorted by road so that a lookup by road skips row groups.
     """
     (
-        rows.repartition("date", "seq", F.pmod(F.hash("gid"), F.lit(8)))
+        rows.hint("rebalance", "date", "seq")
         .sortWithinPartitions("date", "seq", "gid")
         .write.mode(mode).partitionBy("date", "seq").parquet(path)
     )
@@ -22,7 +21,7 @@ def write_slices(rows: DataFrame, path: str, mode: str = "append") -> None:
 def write_history(history: DataFrame, path: str) -> None:
     """Replaces the slices present in ``history`` and leaves the others."""
     (
-        history.repartition("seq", F.pmod(F.hash("gid"), F.lit(8)))
+        history.hint("rebalance", "seq")
         .sortWithinPartitions("seq", "gid")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(path)
     )
