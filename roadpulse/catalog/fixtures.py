@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions import geo
 from roadpulse.functions import scalar as S
+from roadpulse.operators import matching
 from roadpulse.operators import pairs as pairing
 from roadpulse.operators import prepare
 from roadpulse.operators import roads as road_ops
-from roadpulse.params import ROAD_CLASS_MAXSPEED, ROAD_CLASS_PRIORITY
+from roadpulse.params import ROAD_CLASS_MAXSPEED, ROAD_CLASS_PRIORITY, MatchParams
 from roadpulse.plans.lineage import scratch_path
 from roadpulse.sources import roads as road_source
 
@@ -226,6 +227,27 @@ class Fixtures:
         history = self.history()
         return road_ops.initial_state(self.roads(), history, road_source.class_history(history))
 
+    @stored
+    def vectors(self) -> DataFrame:
+        """Candidates of every sample."""
+        return matching.vectors(matching.candidates(self.samples(), self.base_roads(), self.roads(), self.successors()))
+
+    @stored
+    def routed(self) -> DataFrame:
+        """Candidates with the routes from the previous sample."""
+        return matching.with_routes(matching.with_predecessor(self.vectors()), self.roads(), self.successors())
+
+    @stored
+    def traces(self) -> DataFrame:
+        return matching.decode_traces(self.routed())
+
+    @stored
+    def thin_traces_matched(self) -> DataFrame:
+        """Matching of samples at least 60 seconds apart."""
+        p = MatchParams(min_interval=60)
+        vecs = matching.thin_vectors(self.vectors(), p)
+        return matching.decode_traces(matching.with_routes(matching.with_predecessor(vecs), self.roads(), self.successors(), p), p)
+
     def arrivals(self) -> DataFrame:
         """Road observations of eight roads in arrival order over three days, every 7th one late."""
         e = self.events()
