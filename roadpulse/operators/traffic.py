@@ -130,9 +130,11 @@ def slot_day(slot: Column) -> Column:
     return F.floor((slot - 1) / SLICES_PER_DAY)
 
 
-def admit(obs: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams()) -> DataFrame:
+def admit(obs: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams(), known: DataFrame | None = None) -> DataFrame:
     """Marks which observations a road accepts, given what came before.
 
+    ``known(road, open_slot)`` is the slice each road was in before this run.
+
     An observation is accepted in a newer slice or day, in the current slice, or
     up to ``late_slices`` behind it on the same day. ``slot`` is the slice in
     which the road is after seeing the row.
@@ -140,6 +142,8 @@ def admit(obs: DataFrame, order: list[str], chunk: Column, p: TrafficParams = Tr
     valid = F.when(F.col("kind") == "route", F.col("value") > 0).otherwise(F.col("value") >= 0)
     slots = obs.filter(valid).withColumn("own", slot_of(F.col("utc")))
     seen = with_running_max(slots, ["road"], chunk, order, "own", "prior")
+    if known is not None:
+        seen = seen.join(known, "road", "left").withColumn("prior", F.greatest("prior", "open_slot")).drop("open_slot")
     behind = F.col("prior") - F.col("own")
     fresh = F.col("prior").isNull() | (behind < 0)
     late = ~fresh & (behind > 0)
