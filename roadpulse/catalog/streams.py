@@ -157,7 +157,8 @@ def _(f):
 def _(f):
     """Thinning that forgets vehicles idle for an hour of processing time."""
     out = scratch_path(f.spark, "thin")
-    ST.run(ST.thin_stream(sample_stream(f), ttl_ms=3_600_000).writeStream.format("parquet").option("path", out), state(f, "state"))
+    thin = ST.thin_stream(sample_stream(f), ttl_ms=3_600_000)
+    ST.run_rows(thin.writeStream.format("parquet").option("path", out), state(f, "state"), f.gps().count())
     return f.spark.read.parquet(out).select("event_id", "suid", "utc")
 
 

@@ -9,6 +9,7 @@ under the batch id so that a repeated batch replaces itself.
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,25 @@ def run(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def run_rows(writer: DataStreamWriter, checkpoint: str, rows: int, limit: float = 120.0) -> StreamingQuery:
+    """Runs until ``rows`` input rows are processed, then stops.
+
+    A query that expires state by the clock starts batches without data as
+    well, so it does not end by itself when all data is read.
+    """
+    query = start(writer, checkpoint, "1 second")
+    begun, seen = time.monotonic(), 0
+    while query.isActive and time.monotonic() - begun < limit:
+        query.awaitTermination(1)
+        seen = sum(p.numInputRows for p in query.recentProgress)
+        if seen >= rows:
+            break
+    query.stop()
+    if seen < rows:
+        raise TimeoutError(f"{seen} of {rows} rows after {limit} seconds")
+    return query
+
+
 def batch_folder(path: str, batch_id: int) -> str:
     return os.path.join(path, f"batch_id={batch_id}")
 
