@@ -44,7 +44,12 @@ def stored(build):
         key = (self.spark.sparkContext.applicationId, self.dir, build.__name__)
         if key not in _stored:
             path = scratch_path(self.spark, build.__name__)
-            build(self).write.parquet(path)
+            table = build(self)
+            context = self.spark.sparkContext
+            if context.master.startswith("local"):
+                # Small tables would end in one file, and reading them back in one task.
+                table = table.repartition(context.defaultParallelism)
+            table.write.parquet(path)
             _stored[key] = path
         return self.spark.read.parquet(_stored[key])
 

@@ -165,7 +165,8 @@ def _(f):
 
 @query("G7_match_traces")
 def _(f):
-    return f.traces().select("suid", "utc", "road_id", F.round("fraction", 6).alias("fraction"), F.size("path").alias("steps"), "broke")
+    decoded = M.decode_traces(f.routed())
+    return decoded.select("suid", "utc", "road_id", F.round("fraction", 6).alias("fraction"), F.size("path").alias("steps"), "broke")
 
 
 @query("W8_best_sequence")

@@ -100,7 +100,7 @@ def _(f):
 @query("G12_split_directions", sql(
     "SELECT id, base_gid, forward, source, target, round(lon0, 6) AS lon0, round(lat2, 6) AS lat2 FROM roads", "roads"))
 def _(f):
-    return f.roads().select(
+    return R.split_directions(f.base_roads()).select(
         "id", "base_gid", "forward", "source", "target",
         F.round(F.element_at("points", 1).lon, 6).alias("lon0"), F.round(F.element_at("points", -1).lat, 6).alias("lat2"))
 

@@ -20,6 +20,25 @@ PARTS = 4
 LINE_SCHEMA = "event_id bigint, value string"
 
 
+def stream_query(name: str, check: str | None = None):
+    """Registers a query whose state store gets as many partitions as a local run has cores."""
+
+    def add(fn):
+        def call(f: Fixtures):
+            conf, key = f.spark.conf, "spark.sql.shuffle.partitions"
+            before = conf.get(key)
+            if f.spark.sparkContext.master.startswith("local"):
+                conf.set(key, str(f.spark.sparkContext.defaultParallelism))
+            try:
+                return fn(f)
+            finally:
+                conf.set(key, before)
+
+        return query(name, check)(call)
+
+    return add
+
+
 def feed(f: Fixtures, name: str, table, order: str) -> str:
     """The table as files that arrive one after the other in ``order``."""
     path = scratch_path(f.spark, name)
@@ -52,7 +71,7 @@ def state(f: Fixtures, name: str) -> str:
     return scratch_path(f.spark, name)
 
 
-@query("S2_line_stream", sql("SELECT event_id, suid, utc, lat, lon FROM gps WHERE event_id % 97 <> 96", "gps"))
+@stream_query("S2_line_stream", sql("SELECT event_id, suid, utc, lat, lon FROM gps WHERE event_id % 97 <> 96", "gps"))
 def _(f):
     path = feed(f, "lines", f.gps_lines(), "event_id")
     lines = f.spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
@@ -62,7 +81,7 @@ def _(f):
     return f.spark.read.parquet(out).select("event_id", "suid", "utc", "lat", "lon")
 
 
-@query("T1_micro_batches", sql(f"""
+@stream_query("T1_micro_batches", sql(f"""
     SELECT CAST((utc - lo) // w AS BIGINT) AS batch_id, count(*) AS n FROM gps, (SELECT min(utc) AS lo, (max(utc) - min(utc)) // {PARTS} + 1 AS w FROM gps)
     GROUP BY 1""", "gps"))
 def _(f):
@@ -73,7 +92,7 @@ def _(f):
     return f.spark.read.parquet(out).select(F.col("batch_id").cast("bigint").alias("batch_id"), "n")
 
 
-@query("T2_T3_J14_X2_vehicle_state", sql("SELECT event_id, suid, utc FROM samples", "samples"))
+@stream_query("T2_T3_J14_X2_vehicle_state", sql("SELECT event_id, suid, utc FROM samples", "samples"))
 def _(f):
     """Thinning with state per vehicle gives what the batch job gives."""
     out = scratch_path(f.spark, "thin")
@@ -81,7 +100,7 @@ def _(f):
     return f.spark.read.parquet(out).select("event_id", "suid", "utc")
 
 
-@query("T4_T5_T10_road_slices", sql(
+@stream_query("T4_T5_T10_road_slices", sql(
     "SELECT gid, day, seq, round(avg_speed, 6) AS avg_speed, round(time, 6) AS time FROM road_slices WHERE closed",
     "arrivals", "road_state", **fold_sql("arrivals", "event_id")))
 def _(f):
@@ -93,7 +112,7 @@ def _(f):
     return rounded(roads.closed(), "avg_speed", "time").select("gid", "day", "seq", "avg_speed", "time")
 
 
-@query("T5_windowed_counts", sql("""
+@stream_query("T5_windowed_counts", sql("""
     SELECT (utc // 300) * 300 AS start, count(*) AS n FROM gps GROUP BY 1""", "gps"))
 def _(f):
     """Tumbling five-minute windows with a watermark of one slice."""
@@ -106,7 +125,7 @@ def _(f):
     return f.spark.read.parquet(out).groupBy("start").agg(F.max_by("n", "batch_id").alias("n"))
 
 
-@query("T7_order_violations", sql("""
+@stream_query("T7_order_violations", sql("""
     SELECT count(*) AS violations FROM (
       SELECT utc, max(utc) OVER (PARTITION BY suid ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM gps) WHERE utc < seen""", "gps"))
 def _(f):
@@ -118,7 +137,7 @@ def _(f):
     return seen.filter(F.col("utc") < F.col("seen")).agg(F.count(F.lit(1)).alias("violations"))
 
 
-@query("T8_static_join", sql("""
+@stream_query("T8_static_join", sql("""
     SELECT a.event_id, a.road, r.class_id FROM arrivals a JOIN roads r ON r.id = a.road""", "arrivals", "roads"))
 def _(f):
     """Stream of observations joined with the static road table."""
@@ -130,7 +149,7 @@ def _(f):
     return f.spark.read.parquet(out)
 
 
-@query("T9_cached_batch", sql("SELECT count(*) AS points, sum(CASE WHEN passenger THEN 1 ELSE 0 END)::BIGINT AS loaded FROM gps", "gps"))
+@stream_query("T9_cached_batch", sql("SELECT count(*) AS points, sum(CASE WHEN passenger THEN 1 ELSE 0 END)::BIGINT AS loaded FROM gps", "gps"))
 def _(f):
     """Two results from one micro-batch that is kept while both are computed."""
     out = scratch_path(f.spark, "twice")
@@ -147,13 +166,13 @@ def _(f):
     return f.spark.read.parquet(out).agg(F.sum("points").alias("points"), F.sum("loaded").alias("loaded"))
 
 
-@query("T11_modulo_partitions", sql("SELECT suid % 5 AS part, count(*) AS n FROM gps GROUP BY 1", "gps"))
+@stream_query("T11_modulo_partitions", sql("SELECT suid % 5 AS part, count(*) AS n FROM gps GROUP BY 1", "gps"))
 def _(f):
     placed = ST.by_modulo(f.gps().select("suid"), "suid", 5).select(F.spark_partition_id().cast("bigint").alias("part"))
     return placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T12_idle_timeout")
+@stream_query("T12_idle_timeout")
 def _(f):
     """Thinning that forgets vehicles idle for an hour of processing time."""
     out = scratch_path(f.spark, "thin")
@@ -162,7 +181,7 @@ def _(f):
     return f.spark.read.parquet(out).select("event_id", "suid", "utc")
 
 
-@query("K7_batch_metrics")
+@stream_query("K7_batch_metrics")
 def _(f):
     counts = sample_stream(f).groupBy("date").count()
     writer = counts.writeStream.outputMode("complete").format("noop")
@@ -171,7 +190,7 @@ def _(f):
     return f.spark.createDataFrame(rows, ST.METRICS_SCHEMA).select("batch_id", "rows", "processing_ms", "planning_ms")
 
 
-@query("K8_memory_sink", sql("SELECT date, passenger, count(*) AS n FROM gps GROUP BY ALL", "gps"))
+@stream_query("K8_memory_sink", sql("SELECT date, passenger, count(*) AS n FROM gps GROUP BY ALL", "gps"))
 def _(f):
     """Small summary of each batch kept for display."""
     name = "echo_" + os.path.basename(scratch_path(f.spark, "m")).replace("-", "_")
@@ -180,12 +199,12 @@ def _(f):
     return f.spark.table(name)
 
 
-@query("G8_W9_W10_match_online")
+@stream_query("G8_W9_W10_match_online")
 def _(f):
     return f.online().select("suid", "utc", "gid", F.round("offset", 6).alias("offset"), "broke")
 
 
-@query("G8_online_pairs")
+@stream_query("G8_online_pairs")
 def _(f):
     """Pairs of consecutive converged points with the sample's passenger flag."""
     meta = f.samples().select("suid", "utc", "passenger")

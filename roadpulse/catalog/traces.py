@@ -139,7 +139,7 @@ def _(f):
 
 @query("P10_thin_traces", sql("SELECT event_id, suid, utc FROM samples", "samples"))
 def _(f):
-    return f.samples().select("event_id", "suid", "utc")
+    return P.thin_traces(P.decode_coordinates(f.gps())).select("event_id", "suid", "utc")
 
 
 @query("P11_shed_load")
@@ -262,7 +262,7 @@ def _(f):
 
 @query("A6_pair_flags", sql("SELECT suid, utc, flag FROM pairs", "pairs"))
 def _(f):
-    return f.pairs().select("suid", "utc", "flag")
+    return pairing.flag_pairs(f.raw_pairs(), F.floor(F.col("utc") / 20)).select("suid", "utc", "flag")
 
 
 @query("A19_one_per_batch", sql("""

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,7 +207,8 @@ def decode_traces(routed: DataFrame, p: MatchParams = MatchParams()) -> DataFram
         ]
         return pd.DataFrame(rows, columns=[part.split()[0] for part in MATCH_SCHEMA.split(", ")])
 
-    return routed.groupBy(*TRACE).applyInPandas(walk, MATCH_SCHEMA)
+    n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return routed.repartition(n, *TRACE).groupBy(*TRACE).applyInPandas(walk, MATCH_SCHEMA)
 
 
 def thin_vectors(vecs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:

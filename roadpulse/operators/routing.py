@@ -159,7 +159,10 @@ def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame,
     def search(requests_pdf: pd.DataFrame, edges_pdf: pd.DataFrame) -> pd.DataFrame:
         return _search(requests_pdf, edges_pdf, high)
 
-    found = grouped.groupBy(*keys).cogroup(spread.drop("parts").groupBy(*keys)).applyInPandas(
+    # A fixed number of partitions: the searches cost far more than their small inputs suggest.
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped, spread = grouped.repartition(n, *keys), spread.drop("parts").repartition(n, *keys)
+    found = grouped.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
         search, "src bigint, tgt bigint, inner_cost double, inner_length double, path array<bigint>"
     )
     # The bound counts only what lies between the two roads here; ends are added later.

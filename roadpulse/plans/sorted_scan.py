@@ -22,8 +22,8 @@ class SortedScan:
 
     def _shifted(self, chunk_value: Column, across: Column, name: str) -> DataFrame:
         edges = self.df.groupBy("_chunk").agg(chunk_value.alias("_v"))
-        # One row per partition of the scan.
-        return edges.select("_chunk", across.alias(name))
+        # One row per partition of the scan, kept so that later steps do not compute it again.
+        return cut(edges.select("_chunk", across.alias(name)))
 
     def _earlier(self):
         return Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

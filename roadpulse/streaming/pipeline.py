@@ -76,14 +76,20 @@ def by_modulo(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 # -- per-vehicle state ------------------------------------------------------------
 
-def _ttl_mode(ttl_ms: int | None) -> str:
-    return "ProcessingTime" if ttl_ms else "None"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(df: DataFrame, processor, schema, ttl_ms: int | None = None) -> DataFrame:
+    """State per vehicle; the state store has to be RocksDB for this operator."""
+    df.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return df.groupBy("suid").transformWithStateInPandas(processor, schema, "Append", mode)
 
 
 def thin_stream(samples: DataFrame, p: TrafficParams = TrafficParams(), ttl_ms: int | None = None) -> DataFrame:
     """Thinned samples; ``ttl_ms`` forgets vehicles idle for that long."""
-    return samples.groupBy("suid").transformWithStateInPandas(
-        ThinProcessor(samples.columns, p, ttl_ms), samples.schema, "Append", _ttl_mode(ttl_ms))
+    return keyed_state(samples, ThinProcessor(samples.columns, p, ttl_ms), samples.schema, ttl_ms)
 
 
 def candidates_stage(thinned: DataFrame, base: DataFrame, roads: DataFrame, succ: DataFrame, path: str, p: MatchParams = MatchParams()):
@@ -102,7 +108,7 @@ CS_SCHEMA = "array<struct<road_id:bigint,fraction:double,lon:double,lat:double,d
 
 def routes_stage(vecs: DataFrame, roads: DataFrame, succ: DataFrame, path: str, p: MatchParams = MatchParams(), ttl_ms: int | None = None):
     """Writer that finds the routes from each vehicle's previous sample."""
-    paired = vecs.groupBy("suid").transformWithStateInPandas(PreviousProcessor(ttl_ms), PREVIOUS_SCHEMA, "Append", _ttl_mode(ttl_ms))
+    paired = keyed_state(vecs, PreviousProcessor(ttl_ms), PREVIOUS_SCHEMA, ttl_ms)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         prev = F.struct(
@@ -117,7 +123,7 @@ def routes_stage(vecs: DataFrame, roads: DataFrame, succ: DataFrame, path: str,
 
 def match_stream(routed: DataFrame, p: MatchParams = MatchParams(), ttl_ms: int | None = None) -> DataFrame:
     """Converged points of the online matcher."""
-    return routed.groupBy("suid").transformWithStateInPandas(MatchProcessor(p, ttl_ms), CONVERGED_SCHEMA, "Append", _ttl_mode(ttl_ms))
+    return keyed_state(routed, MatchProcessor(p, ttl_ms), CONVERGED_SCHEMA, ttl_ms)
 
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:

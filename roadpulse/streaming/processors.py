@@ -58,13 +58,12 @@ class PreviousProcessor(StatefulProcessor):
         for r in pdf.itertuples(index=False):
             if before is not None and r.utc <= before[0]:
                 continue
-            out.append((r.suid, r.date, r.utc, r.slon, r.slat, json.dumps(r.cs_json), *(before[:3] if before else (None, None, None)),
+            out.append((r.suid, r.date, r.utc, r.slon, r.slat, r.cs_json, *(before[:3] if before else (None, None, None)),
                         list(before[3]) if before else None))
             before = (int(r.utc), float(r.slon), float(r.slat), [int(x) for x in r.roads])
         if before is not None:
             self.before.update(before)
         frame = pd.DataFrame(out, columns=["suid", "date", "utc", "slon", "slat", "cs_json", "pre_utc", "pre_slon", "pre_slat", "pre_roads"])
-        frame["cs_json"] = frame["cs_json"].map(json.loads)
         frame["pre_utc"] = frame["pre_utc"].astype("Int64")
         yield frame
 
