@@ -29,7 +29,7 @@ class SortedScan:
         return Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
     def _later(self):
-        return Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+        return Window.partitionBy(F.lit(0)).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
 
     def _inside(self):
         return Window.partitionBy("_chunk").orderBy(*self.order)
@@ -56,7 +56,9 @@ class SortedScan:
     def following_min(self, value: str, name: str) -> SortedScan:
         """Smallest ``value`` after each row."""
         edges = self._shifted(F.min(value), F.min("_v").over(self._later()), "_edge")
-        inside = F.min(value).over(self._inside().rowsBetween(1, Window.unboundedFollowing))
+        # Read backwards: a frame that reaches to the end is recomputed for every row.
+        backwards = Window.partitionBy("_chunk").orderBy(*[F.desc(c) for c in self.order])
+        inside = F.min(value).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
         return self._with(edges, F.least(inside, F.col("_edge")), name)
 
     def define(self, name: str, column: Column) -> SortedScan:
