@@ -19,6 +19,7 @@ from roadpulse.operators import spatial
 from roadpulse.operators.roads import with_cost
 from roadpulse.operators.routing import routes_between
 from roadpulse.params import MatchParams
+from roadpulse.plans.lineage import cut
 from roadpulse.plans.sized import broadcast_if_small
 
 SAMPLE = ["suid", "date", "utc", "slon", "slat"]
@@ -59,7 +60,8 @@ def steps(vecs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
 def with_routes(vecs: DataFrame, roads: DataFrame, successors: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Adds to each sample the usable routes from the previous sample's roads."""
     wanted = steps(vecs, p)
-    routes = routes_between(wanted.select("src", "tgt", "bound"), roads, successors)
+    # Written once: its size is checked before it is joined.
+    routes = cut(routes_between(wanted.select("src", "tgt", "bound"), roads, successors))
     usable = wanted.join(broadcast_if_small(routes, 300_000), ["src", "tgt"]).filter(F.col("inner_length") <= F.col("bound"))
     listed = usable.groupBy(*SAMPLE).agg(
         F.collect_list(F.struct("src", "tgt", "inner_cost", "inner_length", "path")).alias("routes")
