@@ -4,10 +4,3 @@ GPS points become matched positions, matched positions become travel-time and
 turning-time observations, and observations become five-minute road speeds.
 Every operator is a function from DataFrames and parameters to a DataFrame.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions run inside tasks travel with the job, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from roadpulse.catalog.fixtures import Fixtures
+from roadpulse.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,12 @@ def query(name: str, check: str | None = None):
     def add(fn: Callable[[Fixtures], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(Fixtures(spark, sf_dir))
+
+        QUERIES[name] = run
         if check:
             ORACLES[name] = check
         return fn

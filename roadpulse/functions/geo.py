@@ -84,9 +84,14 @@ def inverse_geodesic(lon1, lat1, lon2, lat2) -> np.ndarray:
     return axis_b * big_a * (sigma - delta)
 
 
-@F.pandas_udf(T.DoubleType())
-def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    return pd.Series(inverse_geodesic(lon1, lat1, lon2, lat2))
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Exact distance on the ellipsoid; the function for tasks is made per call, so no module holds a Spark object."""
+
+    @F.pandas_udf(T.DoubleType())
+    def exact(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+        return pd.Series(inverse_geodesic(lon1, lat1, lon2, lat2))
+
+    return exact(lon1, lat1, lon2, lat2)
 
 
 METRICS = {"planar": planar, "haversine": haversine, "wgs84": geodesic}
@@ -126,7 +131,9 @@ def legs(points: Column) -> Column:
 
 
 def polyline_length(points: Column, metric: str = "planar") -> Column:
-    """Length of a polyline; the exact metric is applied per leg by the caller."""
+    """Length of a polyline. The exact metric needs Python, which takes the whole array at once."""
+    if metric == "wgs84":
+        return _exact_length(points)
     n = F.size(points)
     lengths = F.zip_with(
         F.slice(points, F.lit(1), n - 1),
@@ -136,6 +143,21 @@ def polyline_length(points: Column, metric: str = "planar") -> Column:
     return F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _exact_length(points: Column) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def exact(lines: pd.Series) -> pd.Series:
+        """All legs of all lines in one vectorised call."""
+        flat = [(i, a["lon"], a["lat"], b["lon"], b["lat"]) for i, line in enumerate(lines) if line is not None
+                for a, b in zip(line[:-1], line[1:], strict=True)]
+        sums = np.zeros(len(lines))
+        if flat:
+            rows, *ends = (np.array(c) for c in zip(*flat, strict=True))
+            np.add.at(sums, rows.astype(int), inverse_geodesic(*ends))
+        return pd.Series([None if line is None else s for line, s in zip(lines, sums, strict=True)], dtype="float64")
+
+    return exact(points)
+
+
 def along_polyline(points: Column, fraction: Column) -> Column:
     """Point at a fraction of the length; both ends snap within 1e-10."""
     parts = legs(points)

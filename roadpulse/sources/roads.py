@@ -32,8 +32,7 @@ WAYS_SCHEMA = T.StructType([
 ROAD_CLASS_SCHEMA = "class_id smallint, priority double, maxspeed int"
 
 
-@F.pandas_udf(POINTS)
-def parse_wkb_line(geom: pd.Series) -> pd.Series:
+def parse_wkb_line(geom: Column | str) -> Column:
     """Vertices of WKB LINESTRING values, either byte order."""
 
     def vertices(raw):
@@ -43,10 +42,14 @@ def parse_wkb_line(geom: pd.Series) -> pd.Series:
         kind, count = struct.unpack(order + "II", raw[1:9])
         if kind != 2:
             return None
-        flat = np.frombuffer(raw, dtype=order + "f8", count=2 * count, offset=9)
+        flat = np.frombuffer(raw, dtype=order + "f8", offset=9, count=2 * count)
         return [{"lon": float(x), "lat": float(y)} for x, y in flat.reshape(-1, 2)]
 
-    return geom.map(vertices)
+    @F.pandas_udf(POINTS)
+    def parsed(lines: pd.Series) -> pd.Series:
+        return lines.map(vertices)
+
+    return parsed(geom)
 
 
 def parse_wkt_line(text: Column) -> Column:
