@@ -66,9 +66,30 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def bounded_sample(df: DataFrame, rows: int, *order: Column) -> DataFrame:
-    """At most ``rows`` rows, the same in every run: the first by ``order``."""
-    return df.orderBy(*order).limit(rows)
+def with_flag(left: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Adds ``_flag``: whether ``key`` is in ``ids``, which holds it once and never null.
+
+    Up to ``most`` ids are sent to every task; more of them are shuffled with the rows.
+    """
+    marked = ids.withColumn("_flag", F.lit(True))
+    few = ids.limit(most + 1).count() <= most
+    return left.join(F.broadcast(marked) if few else marked, key, "left").withColumn("_flag", F.coalesce("_flag", F.lit(False)))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str, doc_id: str, where: Column) -> DataFrame:
+    """``_id, _label, _order, _text`` of at most ``rows`` labelled documents of each label, the same in every run.
+
+    Ids are chosen by a hash, among those that ``docs`` has and ``where`` (on ``_id``) allows, before any text is read. An id
+    with several labels has the largest; of several documents with one id, one stands for it.
+    """
+    known = docs.select(F.col(doc_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    labelled = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    allowed = labelled.where(where).join(known, "_id", "left_semi").withColumn("_order", F.xxhash64(F.lit(1), "_id"))
+    chosen = [allowed.where(F.col("_label") == value).orderBy("_order", "_id").limit(rows) for value in (0, 1)]
+    # At most 2 * rows ids, a documented bound.
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
+    body = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("_text")).join(ids, "_id")
+    return body.groupBy("_id", "_label", "_order").agg(F.min("_text").alias("_text"))
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:

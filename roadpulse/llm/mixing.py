@@ -12,7 +12,7 @@ from roadpulse.llm.common import WORD, stored
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Rows of one range of a source's random order; a source has as many ranges as it needs.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 
 
 def words(text: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import mixing, pii, secrets, urls, warc
+from roadpulse.llm import compression, decontamination, mixing, pii, quality_rules, secrets, simhash, toxicity, urls, warc
 from roadpulse.llm.oracles import ORACLES
 from roadpulse.plans.lineage import scratch_path
 from roadpulse.session import ship
@@ -18,6 +18,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def compression_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.components(_table(spark, sf_dir, "documents")))
+
+
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +46,10 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -41,9 +61,14 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = {
+    "op1_quality_rules": quality_rules_query,
+    "op2_toxicity": toxicity_query,
+    "op3_compression_quality": compression_query,
+    "op4_simhash": simhash_query,
     "op5_mixing": mixing_query,
     "op6_url_filter": url_query,
     "op7_pii": pii_query,
+    "op8_decontamination": decontamination_query,
     "op9_warc": warc_query,
     "op10_secrets": secrets_query,
 }
