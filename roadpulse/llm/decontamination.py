@@ -89,6 +89,8 @@ def _search(texts: list[bytes], blocks: list) -> tuple[np.ndarray, np.ndarray, l
         index = FmIndex(indexed, len(block["vocabulary"]) + 1)
         low, high = index.search(block["windows"], block["lengths"])
         found = np.flatnonzero(high > low)
+        if not len(found):
+            continue
         counts = (high - low)[found]
         # A passage that is everywhere has many occurrences; they are located in slices.
         cuts = np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum(), LOCATE_ROWS), side="right")

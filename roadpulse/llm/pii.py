@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.spans import Kind, found, luhn, named
+from roadpulse.llm.spans import Kind, count_of, found, luhn, named
 
 # A match can only begin where a run of its characters begins, or where the match before it ended inside the run (\G).
 # Starting at every character instead would take the square of a long run's length. Possessive loops don't recurse.
@@ -89,7 +89,7 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 def digest(spans: DataFrame) -> DataFrame:
     """The contract's counts, base digest and listing from ``doc_id, spans``."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    counts = [count_of("spans", i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return spans.select("doc_id", *counts, F.sha2(named(base, KINDS).cast("binary"), 256).alias("base_sha256"), named(F.col("spans"), KINDS).alias("spans"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import stored
-from roadpulse.llm.spans import Kind, found, named
+from roadpulse.llm.spans import Kind, count_of, found, named
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?"""
 KINDS = (
@@ -132,5 +132,5 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def digest(spans: DataFrame) -> DataFrame:
     """The contract's counts, base digest and listing from ``doc_id, spans``."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    counts = [count_of("spans", i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return spans.select("doc_id", *counts, F.sha2(named(base, KINDS).cast("binary"), 256).alias("base_sha256"), named(F.col("spans"), KINDS).alias("spans"))

@@ -68,6 +68,11 @@ def named(spans: Column, kinds: Sequence[Kind]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(spans: str, kind: int) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def luhn(digits: Column) -> Column:
     """Whether a digit string passes the Luhn sum."""
     total = F.aggregate(
