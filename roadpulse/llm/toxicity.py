@@ -32,10 +32,10 @@ class Ftrl:
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 8.0
-    l1_documents: int = 1500
+    l1_documents: int = 700
     l2: float = 1.0
     epochs: int = 6
-    shards: int = 2
+    shards: int = 1
     sample: int = 4000
 
 
