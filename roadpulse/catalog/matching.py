@@ -22,27 +22,26 @@ def walk_sql(cost: str, limit: str) -> dict[str, str]:
     return {
         "priced": f"SELECT id, length_m, {cost} AS cost FROM roads",
         "hop": "SELECT s.id, s.succ_id, p.cost, p.length_m FROM successors s JOIN priced p ON p.id = s.succ_id",
-        "top": f"SELECT {limit} AS most FROM priced",
-        "chains": """
+        "chains": f"""
           SELECT id AS src, id AS node, 0e0 AS cost, 0e0 AS length FROM priced
           UNION ALL
-          SELECT c.src, h.succ_id, c.cost + h.cost, c.length + h.length_m FROM chains c JOIN hop h ON h.id = c.node, top
-          WHERE c.cost + h.cost <= top.most""",
+          SELECT c.src, h.succ_id, c.cost + h.cost, c.length + h.length_m FROM chains c JOIN hop h ON h.id = c.node
+          WHERE c.length + h.length_m <= {limit}""",
         "best": "SELECT src, node, min(cost) AS cost, arg_min(length, cost) AS length FROM chains WHERE length > 0 GROUP BY src, node",
     }
 
 
 @query("G1_routes_within_length", sql(
-    "SELECT src, node AS tgt, round(cost, 5) AS cost, round(length, 5) AS length FROM best WHERE length <= 600",
-    "roads", "successors", **walk_sql("length_m", "max(600e0)")))
+    "SELECT src, node AS tgt, round(cost, 5) AS cost, round(length, 5) AS length FROM best",
+    "roads", "successors", **walk_sql("length_m", "600e0")))
 def _(f):
     found = RT.reachable(f.roads(), f.successors(), f.roads().select(F.col("id").alias("src")), 600.0, "distance")
     return found.select("src", "tgt", F.round("cost", 5).alias("cost"), F.round("length", 5).alias("length"))
 
 
 @query("G1_cheapest_routes", sql(
-    "SELECT src, node AS tgt, round(cost, 5) AS cost, round(length, 5) AS length FROM best WHERE length <= 300",
-    "roads", "successors", **walk_sql(TP, "300e0 * max(cost / length_m)")))
+    "SELECT src, node AS tgt, round(cost, 5) AS cost, round(length, 5) AS length FROM best",
+    "roads", "successors", **walk_sql(TP, "300e0")))
 def _(f):
     found = RT.reachable(f.roads(), f.successors(), f.roads().select(F.col("id").alias("src")), 300.0)
     return found.select("src", "tgt", F.round("cost", 5).alias("cost"), F.round("length", 5).alias("length"))

@@ -128,19 +128,18 @@ def _(f):
 # -- times of day -----------------------------------------------------------------
 
 RING, RING_EPS = 86400.0, 30.0
-TIMES = "SELECT fmod(epoch_us(ts) / 1e6, 86400e0) AS x FROM events WHERE event_type = 'error'"
+TIMES = "SELECT fmod(epoch_us(ts) / 1e6, 86400e0) AS x FROM events"
 SPOTS = "SELECT x, count(*) AS n FROM times GROUP BY x"
-COUNTS = f"""SELECT a.x, CAST(sum(b.n) AS BIGINT) AS neighbours FROM vals a JOIN vals b
-    ON b.x >= a.x - {RING_EPS!r}e0 AND b.x <= a.x + {RING_EPS!r}e0 GROUP BY a.x"""
-ROUNDED_TIMES = "SELECT floor(y) + floor((y - floor(y)) * 1e10 + 0.5e0) / 1e10 AS x FROM (SELECT fmod(epoch_us(ts) / 1e6, 86400e0) AS y FROM events WHERE event_type = 'error')"
+COUNTS = f"""SELECT x, CAST(sum(n) OVER (ORDER BY x RANGE BETWEEN {RING_EPS!r}e0 PRECEDING AND {RING_EPS!r}e0 FOLLOWING) AS BIGINT) AS neighbours FROM vals"""
+ROUNDED_TIMES = "SELECT floor(y) + floor((y - floor(y)) * 1e10 + 0.5e0) / 1e10 AS x FROM (SELECT fmod(epoch_us(ts) / 1e6, 86400e0) AS y FROM events)"
 RING_SPREAD = f"SELECT x FROM vals UNION ALL SELECT x - {RING!r}e0 FROM vals UNION ALL SELECT x + {RING!r}e0 FROM vals"
-RING_COUNTS = f"""SELECT a.x, CAST(sum(b.n) AS BIGINT) AS neighbours FROM vals a JOIN (
-    SELECT x + k * {RING!r}e0 AS y, n FROM vals, (VALUES (-1), (0), (1)) t(k)) b
-    ON b.y >= a.x - {RING_EPS!r}e0 AND b.y <= a.x + {RING_EPS!r}e0 GROUP BY a.x"""
+RING_COUNTS = f"""SELECT x, neighbours FROM (
+    SELECT x, k, CAST(sum(n) OVER (ORDER BY x + k * {RING!r}e0 RANGE BETWEEN {RING_EPS!r}e0 PRECEDING AND {RING_EPS!r}e0 FOLLOWING) AS BIGINT) AS neighbours
+    FROM vals, (VALUES (-1), (0), (1)) t(k)) WHERE k = 0"""
 
 
 def times(f: Fixtures):
-    return f.events().filter(F.col("event_type") == "error").select((F.col("epoch") % F.lit(RING)).alias("x"))
+    return f.events().select((F.col("epoch") % F.lit(RING)).alias("x"))
 
 
 @query("W12_line_counts", sql("SELECT round(x, 6) AS x, neighbours FROM counts", times=TIMES, vals=SPOTS, counts=COUNTS))

@@ -172,22 +172,31 @@ def _(f):
     return placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@stream_query("T12_idle_timeout")
+@stream_query("T12_idle_timeout", sql("SELECT event_id, suid, utc FROM samples", "samples"))
 def _(f):
-    """Thinning that forgets vehicles idle for an hour of processing time."""
+    """Thinning that forgets vehicles idle for an hour of processing time; none is idle that long in this run."""
     out = scratch_path(f.spark, "thin")
     thin = ST.thin_stream(sample_stream(f), ttl_ms=3_600_000)
     ST.run_rows(thin.writeStream.format("parquet").option("path", out), state(f, "state"), f.gps().count())
     return f.spark.read.parquet(out).select("event_id", "suid", "utc")
 
 
-@stream_query("K7_batch_metrics")
+@stream_query("K7_batch_metrics", sql(f"""
+    SELECT CAST((utc - lo) // w AS BIGINT) AS batch_id, count(*) AS rows, CAST((utc - lo) // w AS BIGINT) AS ordinal, TRUE AS timed
+    FROM gps, (SELECT min(utc) AS lo, (max(utc) - min(utc)) // {PARTS} + 1 AS w FROM gps) GROUP BY ALL""", "gps"))
 def _(f):
-    counts = sample_stream(f).groupBy("date").count()
-    writer = counts.writeStream.outputMode("complete").format("noop")
-    done = ST.run(writer, state(f, "state"))
-    rows = [ST.progress_row(p) for p in done.recentProgress]
-    return f.spark.createDataFrame(rows, ST.METRICS_SCHEMA).select("batch_id", "rows", "processing_ms", "planning_ms")
+    """Rows of each batch as a listener has written them; times vary and are only compared with each other."""
+    metrics = ST.BatchMetrics(f.spark, scratch_path(f.spark, "metrics"))
+    f.spark.streams.addListener(metrics)
+    try:
+        counts = sample_stream(f).groupBy("date").count()
+        ST.run(counts.writeStream.outputMode("complete").format("noop"), state(f, "state"))
+        # Reports arrive on their own thread, in order; an empty query's report comes after them.
+        f.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        f.spark.streams.removeListener(metrics)
+    timed = (F.col("total_ms") >= F.col("processing_ms")) & (F.col("scheduling_ms") >= 0)
+    return metrics.table().select("batch_id", "rows", "ordinal", timed.alias("timed"))
 
 
 @stream_query("K8_memory_sink", sql("SELECT date, passenger, count(*) AS n FROM gps GROUP BY ALL", "gps"))

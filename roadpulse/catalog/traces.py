@@ -71,17 +71,20 @@ def _pair_rows(f):
 
 
 @query("K5_format_pair_lines", sql("""
-    SELECT suid, utc, concat(concat_ws(' ', date, suid, pre_utc, pre_gid), ' null;', concat_ws(' ', date, suid, utc, gid), ' ',
-      array_to_string(route, ','), ',;', flag) AS line FROM pairs""", "pairs"))
-def _(f):
-    rows = _pair_rows(f).withColumn("offset", F.lit(None).cast("double")).withColumn("pre_offset", F.lit(None).cast("double"))
-    lines = G.format_pairs(rows)
-    parsed = G.parse_pairs(G.format_pairs(_pair_rows(f)))
-    head = F.split("value", ";")
-    second = F.split(F.get(head, F.lit(1)), " ")
+    SELECT suid, utc, concat_ws(' ', date, suid, pre_utc, pre_gid) AS before, round(pre_offset, 6) AS before_offset, 'null' AS before_route,
+      concat_ws(' ', date, suid, utc, gid) AS now, round("offset", 6) AS now_offset, array_to_string(route, ',') || ',' AS now_route, flag FROM pairs""", "pairs"))
+def _(f):
+    """Full lines, cut again at their separators; digits of an offset differ between writers, so it is compared as a number."""
+    lines = G.format_pairs(_pair_rows(f))
+    halves = F.split("value", ";")
+    before, now = (F.split(F.get(halves, F.lit(i)), " ") for i in (0, 1))
+    number = lambda half, i: F.get(half, F.lit(i))
     return lines.select(
-        F.get(second, F.lit(1)).cast("bigint").alias("suid"), F.get(second, F.lit(2)).cast("bigint").alias("utc"),
-        F.col("value").alias("line"))
+        number(now, 1).cast("bigint").alias("suid"), number(now, 2).cast("bigint").alias("utc"),
+        F.array_join(F.slice(before, 1, 4), " ").alias("before"), F.round(number(before, 4).cast("double"), 6).alias("before_offset"),
+        number(before, 5).alias("before_route"),
+        F.array_join(F.slice(now, 1, 4), " ").alias("now"), F.round(number(now, 4).cast("double"), 6).alias("now_offset"),
+        number(now, 5).alias("now_route"), F.get(halves, F.lit(2)).cast("int").alias("flag"))
 
 
 @query("P1_decode_coordinates", sql("SELECT event_id, lat / 1e5 AS lat, lon / 1e5 AS lon FROM gps", "gps"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.params import GridParams, TrafficParams
+from roadpulse.plans.lineage import cut
 from roadpulse.plans.ordered import day_chunk
 
 
@@ -25,11 +26,24 @@ def shed_load(cells: DataFrame, batch_seconds: int = 20, g: GridParams = GridPar
     vehicle's points of one batch form a queue; when its first point lies in a
     cell that already counted ``capacity`` points in this slice, the vehicle is
     in dump mode until a long gap, a status change or a move to another cell.
-    Counting uses the points of earlier batches, so the result does not depend
-    on the order in which vehicles are processed.
+    Only accepted points of earlier batches count, so the result does not depend
+    on the order in which vehicles are processed. What is accepted depends on
+    the counts before it: passes are repeated until no decision changes. A pass
+    settles at least one more batch, in practice nearly all of them.
     """
-    marked = cells.withColumn("batch", F.floor(F.col("utc") / batch_seconds))
-    per_batch = marked.groupBy("date", "seq", "x", "y", "batch").agg(F.count(F.lit(1)).alias("n"))
+    marked = cut(cells.withColumn("batch", F.floor(F.col("utc") / batch_seconds)))
+    accepted, seen = marked, None
+    while True:
+        result = cut(_shed_once(marked, accepted, g, p))
+        mark = tuple(result.agg(F.count_if("dropped"), F.sum(F.when(F.col("dropped"), F.xxhash64("suid", "utc").cast("decimal(38,0)")))).first())
+        if mark == seen:
+            return result
+        seen, accepted = mark, marked.join(result.filter(~F.col("dropped")).select("suid", "utc"), ["suid", "utc"], "left_semi")
+
+
+def _shed_once(marked: DataFrame, accepted: DataFrame, g: GridParams, p: TrafficParams) -> DataFrame:
+    """Decisions for all points given which ones counted."""
+    per_batch = accepted.groupBy("date", "seq", "x", "y", "batch").agg(F.count(F.lit(1)).alias("n"))
     # At most one slice of batches per cell: a group holds SLICE_SECONDS / batch_seconds rows.
     running = per_batch.groupBy("date", "seq", "x", "y").agg(
         F.array_sort(F.collect_list(F.struct("batch", "n"))).alias("all")
@@ -48,7 +62,12 @@ def shed_load(cells: DataFrame, batch_seconds: int = 20, g: GridParams = GridPar
             )
         ),
     )
-    counted = marked.join(before, ["date", "seq", "x", "y", "batch"])
+    # A batch without accepted points in a cell has the count of the last one that had some.
+    spans = before.join(per_batch, ["date", "seq", "x", "y", "batch"]).groupBy("date", "seq", "x", "y").agg(
+        F.array_sort(F.collect_list(F.struct("batch", (F.col("before") + F.col("n")).alias("upto")))).alias("upto"))
+    earlier = F.filter("upto", lambda o: o.batch < F.col("batch"))
+    counted = marked.join(spans, ["date", "seq", "x", "y"], "left").withColumn(
+        "before", F.coalesce(F.try_element_at(earlier, F.lit(-1))["upto"], F.lit(0)).cast("long")).drop("upto")
     # Thinned points of one vehicle and day: at most 8,640 rows in a group.
     traces = counted.groupBy("suid", day_chunk().alias("day")).agg(
         F.array_sort(F.collect_list(F.struct("utc", "batch", "before", "passenger", "x", "y", "date", "seq"))).alias("rows")

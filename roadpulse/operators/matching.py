@@ -102,6 +102,10 @@ def _leg(pred: dict, cand: dict, routes: dict, bound: float):
     return (cost, path) if length <= bound else None
 
 
+def _log10(value: float) -> float:
+    return math.log10(value) if value > 0 else -math.inf
+
+
 def advance(before: list[dict], seconds: float | None, straight: float | None, sample: tuple[float, float], cands: list[dict], routes: dict, p: MatchParams) -> tuple[list[dict], bool]:
     """One step of the filter: surviving candidates of a sample and whether the chain broke.
 
@@ -133,15 +137,15 @@ def advance(before: list[dict], seconds: float | None, straight: float | None, s
                 if trans == 0:
                     continue
                 total += trans * pred["filt"]
-                seq = pred["seq"] + math.log10(trans) + math.log10(c["emission"])
+                seq = pred["seq"] + math.log10(trans) + _log10(c["emission"])
                 if best is None or seq > best[0]:
                     best = (seq, i, leg[1])
-            if total > 0:
+            if total * c["emission"] > 0:
                 result.append({**c, "filt": total * c["emission"], "seq": best[0], "pred": best[1], "path": best[2]})
     broke = bool(before) and bool(points) and not result
     if not result:
         result = [
-            {**c, "filt": c["emission"], "seq": math.log10(c["emission"]), "pred": None, "path": None}
+            {**c, "filt": c["emission"], "seq": _log10(c["emission"]), "pred": None, "path": None}
             for c in points if c["emission"] > 0
         ]
     norm = sum(c["filt"] for c in result)

@@ -1,7 +1,7 @@
 """Cheapest routes between roads.
 
 A route from road ``src`` to road ``tgt`` is the cheapest chain of successors
-between them; it is usable when its length stays within the bound. Costs and
+between them whose length stays within the bound. Costs and
 lengths kept here exclude both end roads, so that positions inside them are
 applied afterwards with the linear rule of path costs.
 """
@@ -11,132 +11,125 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import MEAN_RADIUS
 from roadpulse.operators.roads import with_cost
 from roadpulse.plans.lineage import cut
-from roadpulse.plans.sized import broadcast_if_small
 
 METRES_PER_DEGREE = MEAN_RADIUS * 3.141592653589793 / 180 * 0.995
 
 
-def cost_range(priced: DataFrame) -> tuple[float, float]:
-    """Smallest and largest cost per metre."""
-    per_metre = F.col("cost") / F.col("length_m")
-    low, high = priced.agg(F.min(per_metre), F.max(per_metre)).first()
-    return float(low), float(high)
-
-
 def reachable(roads: DataFrame, successors: DataFrame, sources: DataFrame, bound: float, cost="time_priority") -> DataFrame:
-    """All roads reachable from the end of each source road within ``bound`` metres.
+    """Cheapest route within ``bound`` metres from the end of each source road to every road it reaches.
 
-    ``sources(src)`` may be the whole road table. Labels grow by one road per
-    round; a round is one join with the successors and one aggregation per
-    (source, road), and only labels improved in the last round are extended.
-    A cheaper route than any within the bound costs at most the bound times the
-    highest cost per metre, so labels above that are not needed.
+    ``sources(src)`` may be the whole road table. Labels grow by one road per round and are pruned by length. A label stays
+    unless another one at the same road is no dearer and no longer; a dearer, shorter one may still lead to a road that the
+    cheapest cannot reach in length. Only labels of the last round are extended.
     """
     priced = with_cost(roads, cost).select("id", "cost", "length_m")
-    _, high = cost_range(priced)
-    limit = bound * high * (1 + 1e-9)
-    steps = broadcast_if_small(
+    steps = cut(
         successors.join(priced.withColumnRenamed("id", "succ_id"), "succ_id")
         .select(F.col("id").alias("at"), F.col("succ_id").alias("to"), F.col("cost").alias("step_cost"), F.col("length_m").alias("step_length"))
     )
     empty = F.expr("cast(array() as array<bigint>)")
     frontier = sources.select("src", F.col("src").alias("at"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), empty.alias("path"))
+    # Labels of one source at one road: a handful, as the bound allows few ways there.
+    shorter = Window.partitionBy("src", "at").orderBy("cost", "length", "hop", "path").rowsBetween(Window.unboundedPreceding, -1)
     best = None
     hop = 0
     while True:
         hop += 1
-        grown = frontier.join(steps, "at").select(
+        grown = frontier.join(steps, "at").filter(F.col("length") + F.col("step_length") <= bound).select(
             "src", F.col("to").alias("at"), (F.col("cost") + F.col("step_cost")).alias("cost"),
             F.lit(hop).alias("hop"), (F.col("length") + F.col("step_length")).alias("length"),
             F.concat("path", F.array("to")).alias("path"),
-        ).filter(F.col("cost") <= limit)
+        )
         pool = grown if best is None else best.unionByName(grown)
-        label = F.min(F.struct("cost", "hop", "length", "path"))
-        best = cut(pool.groupBy("src", "at").agg(label.alias("l")).select("src", "at", "l.*"))
+        least = F.min("length").over(shorter)
+        best = cut(pool.withColumn("_least", least).filter(F.col("_least").isNull() | (F.col("length") < F.col("_least"))).drop("_least"))
         frontier = best.filter(F.col("hop") == hop).drop("hop")
         if frontier.isEmpty():
-            return best.filter(F.col("length") <= bound).select("src", F.col("at").alias("tgt"), "cost", "length", "path")
+            label = F.min(F.struct("cost", "hop", "length", "path"))
+            return best.groupBy("src", F.col("at").alias("tgt")).agg(label.alias("l")).select("src", "tgt", "l.cost", "l.length", "l.path")
 
 
 # -- requested pairs -------------------------------------------------------------
 
-def _search(requests: pd.DataFrame, edges: pd.DataFrame, cap_per_metre: float) -> pd.DataFrame:
-    """Cheapest chains for the requests of one tile, one search per source road."""
+def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Cheapest chains within their bounds for the requests of one tile, one search per source road."""
     after: dict[int, list[int]] = {}
     price = dict(zip(edges["id"].tolist(), zip(edges["cost"].tolist(), edges["length_m"].tolist())))
     for road, nexts in zip(edges["id"].tolist(), edges["next"].tolist()):
         after[road] = [int(n) for n in nexts if n in price]
     rows = []
     for src, group in requests.groupby("src", sort=True):
-        wanted = set(group["tgt"].tolist())
-        cap = float(group["bound"].max()) * cap_per_metre
-        done: dict[int, tuple[int, float, float]] = {}
-        heap = [(0.0, 0.0, int(nxt), int(src)) for nxt in after.get(src, ())]
+        wanted = dict(zip(group["tgt"].tolist(), group["bound"].tolist()))
+        bound = float(group["bound"].max())
+        # A label is (cost, length up to the start of its road, road, label it came from), settled in order of cost.
+        labels: list[tuple[float, float, int, int]] = []
+        shortest: dict[int, float] = {}
+        heap = [(0.0, 0.0, int(nxt), -1) for nxt in after.get(src, ())]
         heapq.heapify(heap)
         while heap and wanted:
-            # cost and length up to the start of ``road``
             cost, length, road, came = heapq.heappop(heap)
-            if cost > cap:
-                break
-            if road in done:
+            # A dearer label matters only where it is shorter than all before it.
+            if length >= shortest.get(road, float("inf")):
                 continue
-            done[road] = (came, cost, length)
-            wanted.discard(road)
+            shortest[road] = length
+            labels.append((cost, length, road, came))
+            place = len(labels) - 1
+            if road in wanted and length <= wanted[road]:
+                del wanted[road]
+                path, at = [], place
+                while at >= 0:
+                    path.append(labels[at][2])
+                    at = labels[at][3]
+                rows.append((src, road, cost, length, [int(src), *path[::-1]]))
             own_cost, own_length = price[road]
-            through = cost + own_cost
-            for nxt in after[road]:
-                if nxt not in done:
-                    heapq.heappush(heap, (through, length + own_length, nxt, road))
-        for tgt in group["tgt"].tolist():
-            if tgt in done:
-                came, cost, length = done[tgt]
-                path = [tgt]
-                while came != src:
-                    path.append(came)
-                    came = done[came][0]
-                path.append(src)
-                rows.append((src, tgt, cost, length, path[::-1]))
+            if length + own_length <= bound:
+                for nxt in after[road]:
+                    heapq.heappush(heap, (cost + own_cost, length + own_length, nxt, place))
     return pd.DataFrame(rows, columns=["src", "tgt", "inner_cost", "inner_length", "path"])
 
 
 def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame, cost="time_priority", sources_per_group: int = 100) -> DataFrame:
-    """Cheapest route for each requested ``(src, tgt, bound)``.
+    """Cheapest route within its bound for each requested ``(src, tgt, bound)``.
 
     Requests are grouped by the map tile their source ends in, and a tile gets
-    the roads of its surroundings: any route as cheap as one within the bound
-    stays inside that halo. Tiles come in sizes that double with the bound, and
+    the roads of its surroundings: a route within the bound does not leave that
+    halo, whatever its cost. Tiles come in sizes that double with the bound, and
     a tile with many sources is split into groups of ``sources_per_group``, so
-    a group's size depends on the road map and not on the traffic. A route back
-    to its own source road is a loop.
+    a group's size depends on the roads within a few bounds, not on the traffic
+    or on the slowest road. A route back to its own source road is a loop. The
+    bound counts what lies between the two roads; ends are added later.
     """
     priced = with_cost(roads, cost)
-    low, high = cost_range(priced)
     start, end = F.element_at("points", 1), F.element_at("points", -1)
     ends = priced.select(F.col("id").alias("src"), end.lon.alias("lon"), end.lat.alias("lat"))
     unique = requests.groupBy("src", "tgt").agg(F.max("bound").alias("bound"))
     zoom = F.greatest(F.lit(0), F.ceil(F.log2(F.col("bound") / 1000)))
+    # Degrees of longitude shrink toward the poles; the roads farthest from the equator set the width.
+    farthest = roads.agg(F.max(F.greatest(F.abs(start.lat), F.abs(end.lat)))).first()[0] or 0.0
 
     def side(z: Column) -> Column:
-        """Tile side in degrees of latitude: the halo of the largest bound of the zoom."""
-        return F.pow(F.lit(2.0), z) * (1000 * high / low * 1.001 / METRES_PER_DEGREE)
+        """Tile side in degrees of latitude: the largest bound of the zoom."""
+        return F.pow(F.lit(2.0), z) * (1000 * 1.001 / METRES_PER_DEGREE)
+
+    def width(z: Column) -> Column:
+        return side(z) / F.cos(F.radians(F.least(F.lit(89.0), F.lit(float(farthest)) + side(z))))
 
-    # Degrees of longitude are shorter; twice the side is enough up to 60 degrees of latitude.
     placed = unique.withColumn("zoom", zoom.cast("int")).join(ends, "src").select(
         "src", "tgt", "bound", "zoom",
-        F.floor(F.col("lon") / (2 * side(F.col("zoom")))).alias("tx"), F.floor(F.col("lat") / side(F.col("zoom"))).alias("ty"),
+        F.floor(F.col("lon") / width(F.col("zoom"))).alias("tx"), F.floor(F.col("lat") / side(F.col("zoom"))).alias("ty"),
     )
     placed = cut(placed)
     tiles = placed.groupBy("zoom", "tx", "ty").agg(F.approx_count_distinct("src").alias("n")).select(
         "zoom", "tx", "ty", F.ceil(F.col("n") / sources_per_group).cast("int").alias("parts")
     )
     tiles = cut(tiles)
-    grouped = placed.join(broadcast_if_small(tiles), ["zoom", "tx", "ty"]).select(
+    grouped = placed.join(tiles, ["zoom", "tx", "ty"]).select(
         "src", "tgt", "bound", "zoom", "tx", "ty", F.pmod(F.hash("src"), F.col("parts")).alias("part")
     )
     following = successors.groupBy("id").agg(F.collect_set("succ_id").alias("next"))
@@ -149,21 +142,16 @@ def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame,
     levels = [r[0] for r in zooms.collect()]
     spread = edges.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in levels] or [F.lit(0)]))).withColumn("o", F.explode(offsets)).select(
         "id", "cost", "length_m", "next", "zoom",
-        (F.floor(F.col("lon") / (2 * side(F.col("zoom")))) + F.col("o.i")).alias("tx"),
+        (F.floor(F.col("lon") / width(F.col("zoom"))) + F.col("o.i")).alias("tx"),
         (F.floor(F.col("lat") / side(F.col("zoom"))) + F.col("o.j")).alias("ty"),
-    ).join(broadcast_if_small(tiles), ["zoom", "tx", "ty"]).withColumn(
+    ).join(tiles, ["zoom", "tx", "ty"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
     keys = ["zoom", "tx", "ty", "part"]
 
-    def search(requests_pdf: pd.DataFrame, edges_pdf: pd.DataFrame) -> pd.DataFrame:
-        return _search(requests_pdf, edges_pdf, high)
-
     # A fixed number of partitions: the searches cost far more than their small inputs suggest.
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped, spread = grouped.repartition(n, *keys), spread.drop("parts").repartition(n, *keys)
-    found = grouped.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
-        search, "src bigint, tgt bigint, inner_cost double, inner_length double, path array<bigint>"
+    return grouped.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
+        _search, "src bigint, tgt bigint, inner_cost double, inner_length double, path array<bigint>"
     )
-    # The bound counts only what lies between the two roads here; ends are added later.
-    return found.join(unique, ["src", "tgt"]).filter(F.col("inner_length") <= F.col("bound")).drop("bound")

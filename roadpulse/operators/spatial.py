@@ -49,7 +49,8 @@ def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: li
     """Closest point of every road nearer than ``radius`` to each sample."""
     size = cell_size(radius)
     covered = broadcast_if_small(_cover(segments, radius, size))
-    points = samples.select(*keys, "lon", "lat", *_cell("lon", "lat", size))
+    # Dealt by sample before the join: its candidates then lie together, and the groupings below need no exchange.
+    points = samples.select(*keys, "lon", "lat", *_cell("lon", "lat", size)).repartition(*keys)
     kx, ky = geo.metres_per_degree(F.col("lat"))
     near = points.withColumn("kx", kx).withColumn("ky", ky).join(covered, ["cx", "cy"])
     t = geo.clamp01(geo.project_on_segment(*[F.col(c) for c in ("lon", "lat", "lon1", "lat1", "lon2", "lat2")]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions import scalar as S
 from roadpulse.params import DAY_SECONDS, SLICES_PER_DAY, TrafficParams
 from roadpulse.plans import clamped
+from roadpulse.plans.lineage import cut
 from roadpulse.plans.ordered import with_previous, with_running_max
 
 PAIR = ["suid", "utc"]
@@ -234,8 +235,9 @@ def minute_chunk() -> Column:
 
 def road_speeds(pairs: DataFrame, state: DataFrame, turning: DataFrame | None = None, p: TrafficParams = TrafficParams()) -> tuple[DataFrame, DataFrame]:
     """Road and turning slices of a batch of pairs, in time order."""
-    obs = observations(pairs, state, turning, p)
-    updates = speed_updates(admit(obs, ORDER, minute_chunk(), p), state, p)
+    # Kept, since the routes would be exploded and priced again for every use below.
+    obs = cut(observations(pairs, state, turning, p))
+    updates = cut(speed_updates(admit(obs, ORDER, minute_chunk(), p), state, p))
     roads = smooth_roads(updates, state, ORDER)
     turns = smooth_turnings(turning_updates(updates, ORDER, minute_chunk(), p), ORDER, p)
     return roads, turns

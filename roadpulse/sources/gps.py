@@ -69,7 +69,7 @@ def parse_pairs(lines: DataFrame) -> DataFrame:
         route = F.nullif(F.get(f, F.lit(5)), F.lit("null"))
         ids = F.filter(F.split(route, ","), lambda x: x != "")
         return [
-            F.get(f, F.lit(0)).alias(f"{prefix}date"),
+            F.nullif(F.get(f, F.lit(0)), F.lit("null")).alias(f"{prefix}date"),
             F.get(f, F.lit(1)).try_cast("bigint").alias(f"{prefix}suid"),
             F.get(f, F.lit(2)).try_cast("bigint").alias(f"{prefix}utc"),
             F.get(f, F.lit(3)).try_cast("bigint").alias(f"{prefix}gid"),
@@ -85,14 +85,14 @@ def split_by_flag(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """Inverse of :func:`parse_pairs`; a missing route is the text ``null``."""
+    """Inverse of :func:`parse_pairs`; a missing field is the text ``null``."""
 
     def side(prefix: str) -> Column:
         route = F.coalesce(
             F.concat(F.array_join(F.transform(f"{prefix}route", lambda x: x.cast("string")), ","), F.lit(",")), F.lit("null")
         )
         return F.concat_ws(
-            " ", *[F.col(prefix + c).cast("string") for c in ("date", "suid", "utc", "gid", "offset")], route
+            " ", *[F.coalesce(F.col(prefix + c).cast("string"), F.lit("null")) for c in ("date", "suid", "utc", "gid", "offset")], route
         )
 
-    return pairs.select(F.concat_ws(";", side("pre_"), side(""), F.col("flag").cast("string")).alias("value"))
+    return pairs.select(F.concat_ws(";", side("pre_"), side(""), F.coalesce(F.col("flag").cast("string"), F.lit("null"))).alias("value"))

@@ -9,9 +9,8 @@ under the batch id so that a repeated batch replaces itself.
 from __future__ import annotations
 
 import os
-import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
@@ -42,22 +41,20 @@ def run(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def run_rows(writer: DataStreamWriter, checkpoint: str, rows: int, limit: float = 120.0) -> StreamingQuery:
+def run_rows(writer: DataStreamWriter, checkpoint: str, rows: int) -> StreamingQuery:
     """Runs until ``rows`` input rows are processed, then stops.
 
     A query that expires state by the clock starts batches without data as
-    well, so it does not end by itself when all data is read.
+    well, so it does not end by itself when all data is read. Rows are summed
+    per batch id from each new progress report; the list of recent ones is
+    short and forgets.
     """
     query = start(writer, checkpoint, "1 second")
-    begun, seen = time.monotonic(), 0
-    while query.isActive and time.monotonic() - begun < limit:
+    seen: dict[int, int] = {}
+    while query.isActive and sum(seen.values()) < rows:
         query.awaitTermination(1)
-        seen = sum(p.numInputRows for p in query.recentProgress)
-        if seen >= rows:
-            break
+        seen |= {p.batchId: p.numInputRows for p in query.recentProgress if p.numInputRows}
     query.stop()
-    if seen < rows:
-        raise TimeoutError(f"{seen} of {rows} rows after {limit} seconds")
     return query
 
 
@@ -199,30 +196,36 @@ class RoadState:
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("query", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("batch_time", T.StringType()),
-    T.StructField("processing_ms", T.LongType()), T.StructField("planning_ms", T.LongType()), T.StructField("rows", T.LongType()),
+    T.StructField("processing_ms", T.LongType()), T.StructField("scheduling_ms", T.LongType()), T.StructField("total_ms", T.LongType()),
+    T.StructField("rows", T.LongType()),
 ])
 
 
 def progress_row(p) -> tuple:
+    """Processing is the batch itself; scheduling is what comes before it in the trigger: offsets, logs and planning."""
     durations = p.durationMs
-    return (
-        p.name or str(p.id), int(p.batchId), str(p.timestamp), int(durations.get("triggerExecution", 0)),
-        int(durations.get("queryPlanning", 0)), int(p.numInputRows))
+    total, batch = int(durations.get("triggerExecution", 0)), int(durations.get("addBatch", 0))
+    return p.name or str(p.id), int(p.batchId), str(p.timestamp), batch, max(0, total - batch), total, int(p.numInputRows)
 
 
 class BatchMetrics(StreamingQueryListener):
-    """Collects one row per finished micro-batch; ``limit`` bounds what is kept."""
+    """Writes one row per finished micro-batch below ``path``, so that nothing is kept or lost in memory.
 
-    def __init__(self, limit: int = 10_000):
-        from collections import deque
+    A batch is named by query and batch id; a report that comes twice replaces
+    itself. Each file holds one small row of JSON.
+    """
 
-        self.rows = deque(maxlen=limit)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.rows.append(progress_row(event.progress))
+        p = event.progress
+        row = self.spark.createDataFrame([progress_row(p)], METRICS_SCHEMA).coalesce(1)
+        row.write.mode("overwrite").json(os.path.join(self.path, f"query_id={p.id}", f"batch={int(p.batchId)}"))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -230,5 +233,8 @@ class BatchMetrics(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         pass
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), METRICS_SCHEMA)
+    def table(self) -> DataFrame:
+        """All batches, with the ordinal of each in its query."""
+        rows = self.spark.read.schema(METRICS_SCHEMA).option("recursiveFileLookup", "true").json(self.path)
+        # One row a batch of a query.
+        return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("query").orderBy("batch_id")).cast("bigint") - 1)
