@@ -206,7 +206,7 @@ def _(f):
     wanted = M.steps(vecs)
     own = RT.routes_between(wanted.select("src", "tgt", "bound"), roads, f.successors(), cost="distance")
     routed = f.routed().drop("routes").join(
-        wanted.join(own, ["src", "tgt"]).filter(F.col("inner_length") <= F.col("bound"))
+        wanted.withColumn("bound", F.col("bound").cast("double")).join(own, ["src", "tgt", "bound"])
         .groupBy(*M.SAMPLE).agg(F.collect_list(F.struct("src", "tgt", "inner_cost", "inner_length", "path")).alias("routes")),
         M.SAMPLE, "left")
     return M.decode_traces(routed).select("suid", "utc", "road_id")

@@ -62,7 +62,7 @@ def with_routes(vecs: DataFrame, roads: DataFrame, successors: DataFrame, p: Mat
     wanted = steps(vecs, p)
     # Written once: its size is checked before it is joined.
     routes = cut(routes_between(wanted.select("src", "tgt", "bound"), roads, successors))
-    usable = wanted.join(broadcast_if_small(routes, 300_000), ["src", "tgt"]).filter(F.col("inner_length") <= F.col("bound"))
+    usable = wanted.withColumn("bound", F.col("bound").cast("double")).join(broadcast_if_small(routes, 300_000), ["src", "tgt", "bound"])
     listed = usable.groupBy(*SAMPLE).agg(
         F.collect_list(F.struct("src", "tgt", "inner_cost", "inner_length", "path")).alias("routes")
     )

@@ -65,7 +65,9 @@ def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         after[road] = [int(n) for n in nexts if n in price]
     rows = []
     for src, group in requests.groupby("src", sort=True):
-        wanted = dict(zip(group["tgt"].tolist(), group["bound"].tolist()))
+        wanted: dict[int, list[float]] = {}
+        for tgt, limit in zip(group["tgt"].tolist(), group["bound"].tolist()):
+            wanted.setdefault(tgt, []).append(limit)
         bound = float(group["bound"].max())
         # A label is (cost, length up to the start of its road, road, label it came from), settled in order of cost.
         labels: list[tuple[float, float, int, int]] = []
@@ -80,22 +82,26 @@ def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             shortest[road] = length
             labels.append((cost, length, road, came))
             place = len(labels) - 1
-            if road in wanted and length <= wanted[road]:
-                del wanted[road]
+            # Labels of a road come in order of cost, so the first that fits a bound is its cheapest route.
+            met = [limit for limit in wanted.get(road, ()) if length <= limit]
+            if met:
+                wanted[road] = [limit for limit in wanted[road] if length > limit]
+                if not wanted[road]:
+                    del wanted[road]
                 path, at = [], place
                 while at >= 0:
                     path.append(labels[at][2])
                     at = labels[at][3]
-                rows.append((src, road, cost, length, [int(src), *path[::-1]]))
+                rows += [(src, road, limit, cost, length, [int(src), *path[::-1]]) for limit in met]
             own_cost, own_length = price[road]
             if length + own_length <= bound:
                 for nxt in after[road]:
                     heapq.heappush(heap, (cost + own_cost, length + own_length, nxt, place))
-    return pd.DataFrame(rows, columns=["src", "tgt", "inner_cost", "inner_length", "path"])
+    return pd.DataFrame(rows, columns=["src", "tgt", "bound", "inner_cost", "inner_length", "path"])
 
 
 def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame, cost="time_priority", sources_per_group: int = 100) -> DataFrame:
-    """Cheapest route within its bound for each requested ``(src, tgt, bound)``.
+    """Cheapest route within its bound for each requested ``(src, tgt, bound)``, one row each that has one.
 
     Requests are grouped by the map tile their source ends in, and a tile gets
     the roads of its surroundings: a route within the bound does not leave that
@@ -108,7 +114,7 @@ def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame,
     priced = with_cost(roads, cost)
     start, end = F.element_at("points", 1), F.element_at("points", -1)
     ends = priced.select(F.col("id").alias("src"), end.lon.alias("lon"), end.lat.alias("lat"))
-    unique = requests.groupBy("src", "tgt").agg(F.max("bound").alias("bound"))
+    unique = requests.select("src", "tgt", F.col("bound").cast("double").alias("bound")).distinct()
     zoom = F.greatest(F.lit(0), F.ceil(F.log2(F.col("bound") / 1000)))
     # Degrees of longitude shrink toward the poles; the roads farthest from the equator set the width.
     farthest = roads.agg(F.max(F.greatest(F.abs(start.lat), F.abs(end.lat)))).first()[0] or 0.0
@@ -153,5 +159,5 @@ def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame,
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped, spread = grouped.repartition(n, *keys), spread.drop("parts").repartition(n, *keys)
     return grouped.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
-        _search, "src bigint, tgt bigint, inner_cost double, inner_length double, path array<bigint>"
+        _search, "src bigint, tgt bigint, bound double, inner_cost double, inner_length double, path array<bigint>"
     )

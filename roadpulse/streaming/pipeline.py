@@ -3,7 +3,7 @@
 Samples are thinned with state per vehicle, get candidates and routes as
 ordinary joins in each micro-batch, and are decoded with state per vehicle. The
 stages hand batches over through Parquet folders on shared storage, written
-under the batch id so that a repeated batch replaces itself.
+once under the batch id.
 """
 
 from __future__ import annotations
@@ -62,8 +62,16 @@ def batch_folder(path: str, batch_id: int) -> str:
     return os.path.join(path, f"batch_id={batch_id}")
 
 
+def _committed(spark: SparkSession, folder: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+    """Stores a batch once. A repeated batch has the same rows, so what was committed stays, and its readers with it."""
+    folder = batch_folder(path, batch_id)
+    if not _committed(df.sparkSession, folder):
+        df.write.mode("overwrite").parquet(folder)
 
 
 def by_modulo(df: DataFrame, key: str, parts: int) -> DataFrame:
@@ -94,7 +102,9 @@ def candidates_stage(thinned: DataFrame, base: DataFrame, roads: DataFrame, succ
 
     def each(batch: DataFrame, batch_id: int) -> None:
         vecs = M.vectors(M.candidates(batch, base, roads, succ, p))
-        write_batch(vecs.select("*", F.transform("cs", lambda c: c.road_id).alias("roads"), F.to_json("cs").alias("cs_json")).drop("cs"), path, batch_id)
+        listed = vecs.select("*", F.transform("cs", lambda c: c.road_id).alias("roads"), F.to_json("cs").alias("cs_json")).drop("cs")
+        # A vehicle's rows of a batch go to one file: the next stage may take the files in several batches of its own.
+        write_batch(listed.repartition("suid"), path, batch_id)
 
     return thinned.writeStream.foreachBatch(each)
 
@@ -113,7 +123,7 @@ def routes_stage(vecs: DataFrame, roads: DataFrame, succ: DataFrame, path: str,
         # Written first, because the state must be read once per batch.
         kept = cut(batch.select(
             *M.SAMPLE, F.from_json("cs_json", CS_SCHEMA).alias("cs"), F.when(F.col("pre_utc").isNotNull(), prev).alias("prev")))
-        write_batch(M.with_routes(kept, roads, succ, p), path, batch_id)
+        write_batch(M.with_routes(kept, roads, succ, p).repartition("suid"), path, batch_id)
 
     return paired.writeStream.foreachBatch(each)
 
@@ -123,20 +133,44 @@ def match_stream(routed: DataFrame, p: MatchParams = MatchParams(), ttl_ms: int
     return keyed_state(routed, MatchProcessor(p, ttl_ms), CONVERGED_SCHEMA, ttl_ms)
 
 
-def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stream over the batches another stage has written, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).option("recursiveFileLookup", "true").parquet(path)
+def read_batches(spark: SparkSession, path: str, schema, files: int = 8) -> DataFrame:
+    """Stream over the batches another stage has written, oldest first, ``files`` files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
 
-def match_online(samples: DataFrame, base: DataFrame, roads: DataFrame, succ: DataFrame, root: str, p: MatchParams = MatchParams()) -> DataFrame:
-    """Runs all stages over the available stream and returns the converged points."""
+ROUTED_SCHEMA = (
+    f"suid bigint, date string, utc bigint, slon double, slat double, cs {CS_SCHEMA}, "
+    "prev struct<utc:bigint,slon:double,slat:double,roads:array<bigint>>, "
+    "routes array<struct<src:bigint,tgt:bigint,inner_cost:double,inner_length:double,path:array<bigint>>>, straight double"
+)
+
+
+def match_online(
+    samples: DataFrame, base: DataFrame, roads: DataFrame, succ: DataFrame, root: str, p: MatchParams = MatchParams(),
+    interval: str | None = None, files: int = 8,
+) -> DataFrame | list[StreamingQuery]:
+    """Thinning, candidates, routes and matching as three queries that hand over through folders below ``root``.
+
+    With an ``interval`` all three run at once, each taking what the one before it has written; the running queries are
+    returned. Without one, the available stream is drained stage by stage and the converged points are returned. State is
+    carried over the micro-batches of every stage, so the points do not depend on how the input is cut into batches.
+    """
     spark = samples.sparkSession
     folder = lambda name: os.path.join(root, name)
-    run(candidates_stage(thin_stream(samples), base, roads, succ, folder("vectors"), p), folder("state-thin"))
-    run(routes_stage(read_batches(spark, folder("vectors"), VECTOR_SCHEMA), roads, succ, folder("routed"), p), folder("state-routes"))
-    schema = spark.read.parquet(folder("routed")).drop("batch_id").schema
-    matched = match_stream(read_batches(spark, folder("routed"), schema), p)
-    run(matched.writeStream.format("parquet").option("path", folder("matched")), folder("state-match"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in ("vectors", "routed"):  # a stage may start before the one before it has written
+        made = path(folder(name))
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
+    stages = [
+        (lambda: candidates_stage(thin_stream(samples), base, roads, succ, folder("vectors"), p), "state-thin"),
+        (lambda: routes_stage(read_batches(spark, folder("vectors"), VECTOR_SCHEMA, files), roads, succ, folder("routed"), p), "state-routes"),
+        (lambda: match_stream(read_batches(spark, folder("routed"), ROUTED_SCHEMA, files), p).writeStream.format("parquet").option(
+            "path", folder("matched")), "state-match"),
+    ]
+    if interval:
+        return [start(writer(), folder(state), interval) for writer, state in stages]
+    for writer, state in stages:
+        run(writer(), folder(state))
     return spark.read.schema(CONVERGED_SCHEMA).parquet(folder("matched"))
 
 
