@@ -44,12 +44,8 @@ def stored(build):
         key = (self.spark.sparkContext.applicationId, self.dir, build.__name__)
         if key not in _stored:
             path = scratch_path(self.spark, build.__name__)
-            table = build(self)
-            context = self.spark.sparkContext
-            if context.master.startswith("local"):
-                # Small tables would end in one file, and reading them back in one task.
-                table = table.repartition(context.defaultParallelism)
-            table.write.parquet(path)
+            # Small tables would end in one file, and reading them back in one task.
+            build(self).repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
             _stored[key] = path
         return self.spark.read.parquet(_stored[key])
 
@@ -88,24 +84,24 @@ class Fixtures:
         g, line, half = self.dims
         k = F.col("p_partkey")
         flat = k < half
+        # Roads of rows, then of columns; what is left of the parts crosses grid squares from the first one on.
+        slant = k >= 2 * half
         k2 = k - half
-        row = F.when(flat, F.floor(k / line)).otherwise(k2 - F.floor(k2 / line) * line)
-        column = F.when(flat, k - F.floor(k / line) * line).otherwise(F.floor(k2 / line))
-        shaped = (
-            self.table("part")
-            .filter(k < 2 * half)
-            .select(k.alias("gid"), "p_size", flat.alias("flat"), row.cast("long").alias("r"), column.cast("long").alias("c"))
-        )
+        k3 = k - 2 * half
+        row = F.when(flat, F.floor(k / line)).when(slant, F.floor(k3 / line)).otherwise(k2 - F.floor(k2 / line) * line)
+        column = F.when(flat, k - F.floor(k / line) * line).when(slant, k3 - F.floor(k3 / line) * line).otherwise(F.floor(k2 / line))
+        shaped = self.table("part").select(
+            k.alias("gid"), "p_size", flat.alias("flat"), slant.alias("slant"), row.cast("long").alias("r"), column.cast("long").alias("c"))
         shift = F.lit(0.0001) * (F.pmod("p_size", F.lit(3)) - 1)
         lon = F.lit(LON0) + F.lit(STEP) * F.col("c")
         lat = F.lit(LAT0) + F.lit(STEP) * F.col("r")
         half_step = F.lit(STEP / 2)
         start = F.struct(lon.alias("lon"), lat.alias("lat"))
         middle = F.struct(
-            F.when(F.col("flat"), lon + half_step).otherwise(lon + shift).alias("lon"),
+            F.when(F.col("flat") | F.col("slant"), lon + half_step).otherwise(lon + shift).alias("lon"),
             F.when(F.col("flat"), lat + shift).otherwise(lat + half_step).alias("lat"),
         )
-        lon_end = F.lit(LON0) + F.lit(STEP) * F.when(F.col("flat"), F.col("c") + 1).otherwise(F.col("c"))
+        lon_end = F.lit(LON0) + F.lit(STEP) * F.when(F.col("flat") | F.col("slant"), F.col("c") + 1).otherwise(F.col("c"))
         lat_end = F.lit(LAT0) + F.lit(STEP) * F.when(F.col("flat"), F.col("r")).otherwise(F.col("r") + 1)
         end = F.struct(lon_end.alias("lon"), lat_end.alias("lat"))
         classes = F.array(*[F.lit(c).cast("short") for c in CLASS_IDS])
@@ -115,7 +111,7 @@ class Fixtures:
             (F.col("gid") + 1000000).alias("osm_id"),
             F.element_at(classes, (F.pmod("p_size", F.lit(28)) + 1).cast("int")).alias("class_id"),
             (F.col("r") * g + F.col("c")).alias("source"),
-            (F.col("r") * g + F.col("c") + F.when(F.col("flat"), 1).otherwise(g)).alias("target"),
+            (F.col("r") * g + F.col("c") + F.when(F.col("flat"), 1).when(F.col("slant"), g + 1).otherwise(g)).alias("target"),
             F.when(~F.col("flat") & (F.pmod("p_size", F.lit(5)) == 0), F.lit(-1.0)).otherwise(F.lit(1.0)).alias("reverse_cost"),
             speed.alias("maxspeed_forward"),
             speed.alias("maxspeed_backward"),
@@ -213,11 +209,11 @@ class Fixtures:
 
     @stored
     def history(self) -> DataFrame:
-        _, _, half = self.dims
+        roads = self.table("part").count()
         speeds = (
             self.table("lineitem")
             .select(
-                (F.pmod("l_partkey", F.lit(2 * half)) * 2).alias("gid"),
+                (F.pmod("l_partkey", F.lit(roads)) * 2).alias("gid"),
                 (1 + F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(288))).cast("int").alias("seq"),
                 "l_quantity",
             )
@@ -313,24 +309,24 @@ _class_list = "[" + ", ".join(str(c) for c in CLASS_IDS) + "]"
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "dims": ((), """
-        SELECT g, g - 1 AS l, g * (g - 1) AS h FROM (
-          SELECT CAST(floor(sqrt(count(*) / 2e0)) AS BIGINT) AS g FROM part)"""),
+        SELECT g, g - 1 AS l, g * (g - 1) AS h, n FROM (
+          SELECT CAST(floor(sqrt(count(*) / 2e0)) AS BIGINT) AS g, count(*) AS n FROM part)"""),
     "road_class": ((), f"SELECT * FROM (VALUES {_class_values}) v(class_id, priority, maxspeed)"),
     "ways": (("dims",), f"""
         SELECT gid, gid + 1000000 AS osm_id, {_class_list}[p_size % 28 + 1] AS class_id,
-          r * g + c AS source, r * g + c + (CASE WHEN flat THEN 1 ELSE g END) AS target,
+          r * g + c AS source, r * g + c + (CASE WHEN flat THEN 1 WHEN slant THEN g + 1 ELSE g END) AS target,
           CASE WHEN NOT flat AND p_size % 5 = 0 THEN -1e0 ELSE 1e0 END AS reverse_cost,
           CASE WHEN p_size % 3 <> 0 THEN CAST(20 + p_size % 13 AS DOUBLE) END AS maxspeed_forward,
           CASE WHEN p_size % 3 <> 0 THEN CAST(20 + p_size % 13 AS DOUBLE) END AS maxspeed_backward,
           116.3e0 + 0.002e0 * c AS lon0, 39.9e0 + 0.002e0 * r AS lat0,
-          CASE WHEN flat THEN 116.3e0 + 0.002e0 * c + 0.001e0 ELSE 116.3e0 + 0.002e0 * c + 0.0001e0 * (p_size % 3 - 1) END AS lon1,
+          CASE WHEN flat OR slant THEN 116.3e0 + 0.002e0 * c + 0.001e0 ELSE 116.3e0 + 0.002e0 * c + 0.0001e0 * (p_size % 3 - 1) END AS lon1,
           CASE WHEN flat THEN 39.9e0 + 0.002e0 * r + 0.0001e0 * (p_size % 3 - 1) ELSE 39.9e0 + 0.002e0 * r + 0.001e0 END AS lat1,
-          116.3e0 + 0.002e0 * (CASE WHEN flat THEN c + 1 ELSE c END) AS lon2,
+          116.3e0 + 0.002e0 * (CASE WHEN flat OR slant THEN c + 1 ELSE c END) AS lon2,
           39.9e0 + 0.002e0 * (CASE WHEN flat THEN r ELSE r + 1 END) AS lat2
-        FROM (SELECT p_partkey AS gid, p_size, p_partkey < h AS flat, g,
-                CASE WHEN p_partkey < h THEN p_partkey // l ELSE (p_partkey - h) % l END AS r,
-                CASE WHEN p_partkey < h THEN p_partkey % l ELSE (p_partkey - h) // l END AS c
-              FROM part, dims WHERE p_partkey < 2 * h)"""),
+        FROM (SELECT p_partkey AS gid, p_size, p_partkey < h AS flat, p_partkey >= 2 * h AS slant, g,
+                CASE WHEN p_partkey < h THEN p_partkey // l WHEN p_partkey >= 2 * h THEN (p_partkey - 2 * h) // l ELSE (p_partkey - h) % l END AS r,
+                CASE WHEN p_partkey < h THEN p_partkey % l WHEN p_partkey >= 2 * h THEN (p_partkey - 2 * h) % l ELSE (p_partkey - h) // l END AS c
+              FROM part, dims)"""),
     "base_roads": (("ways", "road_class"), f"""
         SELECT w.gid AS base_gid, osm_id, w.class_id, source, target, reverse_cost < 0 AS oneway,
           c.priority, coalesce(maxspeed_forward, c.maxspeed) AS speed_forward,
@@ -401,7 +397,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ) f ON f.suid = p.suid AND f.utc = p.utc"""),
     "history": (("dims", "roads"), """
         SELECT h.gid, h.seq, h.average_speed, r.base_gid, r.length_m AS length, r.class_id, r.length_m / h.average_speed AS time
-        FROM (SELECT 2 * (l_partkey % (2 * h)) AS gid, 1 + (l_orderkey * 7 + l_linenumber) % 288 AS seq,
+        FROM (SELECT 2 * (l_partkey % n) AS gid, 1 + (l_orderkey * 7 + l_linenumber) % 288 AS seq,
                 1.5e0 + 0.6e0 * avg(l_quantity) AS average_speed
               FROM lineitem, dims GROUP BY 1, 2) h JOIN roads r ON r.id = h.gid"""),
     "class_history": (("history",), "SELECT class_id, seq, avg(average_speed) AS average_speed FROM history GROUP BY class_id, seq"),

@@ -21,14 +21,13 @@ LINE_SCHEMA = "event_id bigint, value string"
 
 
 def stream_query(name: str, check: str | None = None):
-    """Registers a query whose state store gets as many partitions as a local run has cores."""
+    """Registers a query whose state store gets as many partitions as there are cores."""
 
     def add(fn):
         def call(f: Fixtures):
             conf, key = f.spark.conf, "spark.sql.shuffle.partitions"
             before = conf.get(key)
-            if f.spark.sparkContext.master.startswith("local"):
-                conf.set(key, str(f.spark.sparkContext.defaultParallelism))
+            conf.set(key, str(f.spark.sparkContext.defaultParallelism))
             try:
                 return fn(f)
             finally:

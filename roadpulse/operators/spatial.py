@@ -48,7 +48,8 @@ def _cell(lon: str, lat: str, size: float) -> list[Column]:
 def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Closest point of every road nearer than ``radius`` to each sample."""
     size = cell_size(radius)
-    covered = broadcast_if_small(_cover(segments, radius, size))
+    # Stored: its size is checked before it is joined.
+    covered = broadcast_if_small(cut(_cover(segments, radius, size)))
     # Dealt by sample before the join: its candidates then lie together, and the groupings below need no exchange.
     points = samples.select(*keys, "lon", "lat", *_cell("lon", "lat", size)).repartition(*keys)
     kx, ky = geo.metres_per_degree(F.col("lat"))
