@@ -192,7 +192,8 @@ def _(f):
     return f.thin_traces_matched().select("suid", "utc", "road_id")
 
 
-@query("P26_matched_only")
+@query("P26_matched_only", sql(
+    "SELECT suid, utc FROM samples WHERE event_id NOT IN (SELECT event_id FROM directed)", "samples", "base_roads", **LOCAL, directed=DIRECTED))
 def _(f):
     """Samples without any candidate emit nothing."""
     return f.samples().select("suid", "utc").join(f.traces().select("suid", "utc"), KEYS, "left_anti")

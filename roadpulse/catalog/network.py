@@ -40,10 +40,25 @@ def _(f):
     return RS.in_box(RS.with_bounds(base), BOX).select("base_gid")
 
 
-@query("S7_filter_polygon")
+RING = [(116.3005, 39.9005), (116.3125, 39.9035), (116.3095, 39.9125), (116.3025, 39.9095)]
+_TURN = "sign(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))".format
+
+
+@query("S7_filter_polygon", sql(f"""
+    SELECT base_gid FROM base_roads WHERE base_gid IN (
+      SELECT base_gid FROM spots, sides WHERE (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
+      GROUP BY base_gid, place HAVING count(*) % 2 = 1)
+    OR base_gid IN (
+      SELECT base_gid FROM lines, sides
+      WHERE {_TURN(ax='a1', ay='b1', bx='a2', by='b2', cx='x1', cy='y1')} * {_TURN(ax='a1', ay='b1', bx='a2', by='b2', cx='x2', cy='y2')} <= 0
+        AND {_TURN(ax='x1', ay='y1', bx='x2', by='y2', cx='a1', cy='b1')} * {_TURN(ax='x1', ay='y1', bx='x2', by='y2', cx='a2', cy='b2')} <= 0)""",
+    "base_roads",
+    sides="SELECT * FROM (VALUES " + ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(RING, RING[1:] + RING[:1])) + ") v(x1, y1, x2, y2)",
+    spots="SELECT base_gid, 0 AS place, lon0 AS lon, lat0 AS lat FROM base_roads UNION ALL SELECT base_gid, 1, lon1, lat1 FROM base_roads "
+          "UNION ALL SELECT base_gid, 2, lon2, lat2 FROM base_roads",
+    lines="SELECT base_gid, lon0 AS a1, lat0 AS b1, lon1 AS a2, lat1 AS b2 FROM base_roads UNION ALL SELECT base_gid, lon1, lat1, lon2, lat2 FROM base_roads"))
 def _(f):
-    ring = [(116.3005, 39.9005), (116.3125, 39.9035), (116.3095, 39.9125), (116.3025, 39.9095)]
-    return RS.in_polygon(RS.with_bounds(f.base_roads()), ring).select("base_gid")
+    return RS.in_polygon(RS.with_bounds(f.base_roads()), RING).select("base_gid")
 
 
 @query("S8_road_classes", sql("""

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from roadpulse.catalog.fixtures import Fixtures, sql
 from roadpulse.catalog.network import road_state
 from roadpulse.catalog.registry import query
-from roadpulse.catalog.traffic import ARRIVAL_CHUNK, fold_sql, rounded
+from roadpulse.catalog.traffic import ARRIVAL_CHUNK, FULL, MERGED, TURNED, WRITTEN, fold_sql, rounded
 from roadpulse.operators import pairs as pairing
 from roadpulse.operators import prepare as P
 from roadpulse.plans.lineage import scratch_path
 from roadpulse.sources import gps as G
+from roadpulse.sources import roads as RS
 from roadpulse.streaming import pipeline as ST
 
 PARTS = 4
@@ -111,6 +112,42 @@ def _(f):
     return rounded(roads.closed(), "avg_speed", "time").select("gid", "day", "seq", "avg_speed", "time")
 
 
+def pair_stream(f: Fixtures) -> ST.PairState:
+    """All pairs as one micro-batch, so that the batch form's rows are expected; run once for the queries below."""
+    from roadpulse.catalog import fixtures
+
+    key = (f.spark.sparkContext.applicationId, f.dir, "pair_stream")
+    done = key in fixtures._stored
+    root = fixtures._stored.setdefault(key, scratch_path(f.spark, "pair-state"))
+    history = f.history()
+    state_of = ST.PairState(road_state(f), history, RS.class_history(history), root)
+    if not done:
+        path = feed(f, "pairs", f.pairs(), "utc")
+        stream = f.spark.readStream.schema(f.pairs().schema).parquet(path)
+        ST.run(stream.writeStream.foreachBatch(state_of), state(f, "state"))
+    return state_of
+
+
+@stream_query("T4_T10_K1_K3_pair_stream", sql(WRITTEN, "pairs", "road_state", **FULL))
+def _(f):
+    """Sensed and inferred rows from a stream of pairs."""
+    return rounded(pair_stream(f).real_rows(), "time", "average_speed").select(
+        "date", F.col("seq").cast("bigint").alias("seq"), "gid", "base_gid", "class_id", "time", "average_speed", "is_sensed")
+
+
+@stream_query("K2_pair_stream_turnings", TURNED)
+def _(f):
+    """Turning rows of closed slices from a stream of pairs."""
+    return rounded(pair_stream(f).turnings(), "time").select("day", F.col("seq").cast("bigint").alias("seq"), "gid", "next_gid", "time")
+
+
+@stream_query("K4_pair_stream_history", sql(
+    "SELECT gid, seq, round(average_speed, 6) AS average_speed FROM merged", "pairs", "road_state", **{**FULL, "merged": MERGED}))
+def _(f):
+    """History after a stream of pairs."""
+    return rounded(pair_stream(f).history(), "average_speed").select("gid", F.col("seq").cast("bigint").alias("seq"), "average_speed")
+
+
 @stream_query("T5_windowed_counts", sql("""
     SELECT (utc // 300) * 300 AS start, count(*) AS n FROM gps GROUP BY 1""", "gps"))
 def _(f):

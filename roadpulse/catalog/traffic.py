@@ -327,10 +327,13 @@ def _(f):
     return written(f, real_rows(f).filter("NOT is_sensed"))
 
 
-@query("K2_write_turnings", sql("""
+TURNED = sql("""
     SELECT t.day, t.seq, t.gid, t.next_gid, round(t.time, 6) AS time FROM turn_slices t
     JOIN road_slices r ON r.gid = t.gid AND r.slot = t.slot AND r.closed WHERE t.turn_seq = t.seq""",
-    "pairs", "road_state", **{**PAIR_FOLD, **TURNS}))
+    "pairs", "road_state", **{**PAIR_FOLD, **TURNS})
+
+
+@query("K2_write_turnings", TURNED)
 def _(f):
     roads, turns = speeds(f)
     rows = T.closed_turnings(turns, roads).withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")))

@@ -194,8 +194,13 @@ def smooth_roads(updates: DataFrame, state: DataFrame, order: list[str]) -> Data
     )
 
 
-def turning_updates(updates: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams()) -> DataFrame:
-    """Effect of accepted route observations on the turn they end with."""
+def turning_updates(
+    updates: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams(), known: DataFrame | None = None,
+) -> DataFrame:
+    """Effect of accepted route observations on the turn they end with.
+
+    ``known(gid, next_gid, turn_seq)`` is the slice of each turn's last update before this run.
+    """
     turns = updates.filter(F.col("usable") & (F.col("kind") == "route") & (F.col("turning_time") > 0)).withColumn(
         "cur", slot_seq(F.col("own"))
     )
@@ -203,16 +208,24 @@ def turning_updates(updates: DataFrame, order: list[str], chunk: Column, p: Traf
         turns.select("road", "next_road", *order, "slot", "cur", "turning_time"),
         ["road", "next_road"], chunk, order, ["cur"],
     )
+    if known is not None:
+        last = known.select(F.col("gid").alias("road"), F.col("next_gid").alias("next_road"), "turn_seq")
+        seen = seen.join(last, ["road", "next_road"], "left").withColumn("pre_cur", F.coalesce("pre_cur", "turn_seq")).drop("turn_seq")
     alpha = S.smoothing(F.coalesce("pre_cur", F.lit(0)), F.col("cur"), None, p)
     f = clamped.update(F.col("turning_time") * (1 - alpha), alpha, F.lit(p.turning_floor), F.lit(clamped.WIDE))
     return seen.withColumn("f", f).withColumn("_chunk", chunk)
 
 
-def smooth_turnings(updates: DataFrame, order: list[str], p: TrafficParams = TrafficParams()) -> DataFrame:
-    """Turning time per road pair at the end of every slice with an update."""
+def smooth_turnings(updates: DataFrame, order: list[str], p: TrafficParams = TrafficParams(), known: DataFrame | None = None) -> DataFrame:
+    """Turning time per road pair at the end of every slice with an update; ``known(gid, next_gid, time)`` is where turns start."""
     keys = ["road", "next_road"]
     slices = clamped.per_slice(updates, keys, "slot", "_chunk", order)
-    start = slices.select(*keys).distinct().withColumn("v", F.lit(p.turning_default))
+    start = slices.select(*keys).distinct()
+    if known is None:
+        start = start.withColumn("v", F.lit(p.turning_default))
+    else:
+        begun = known.select(F.col("gid").alias("road"), F.col("next_gid").alias("next_road"), F.col("time").alias("v"))
+        start = start.join(begun, keys, "left").withColumn("v", F.coalesce("v", F.lit(p.turning_default)))
     last = updates.groupBy(*keys, "slot").agg(F.max_by("cur", F.struct(*order)).alias("turn_seq"))
     return clamped.walk(slices, start, keys, "slot", SLICES_PER_DAY).join(last, [*keys, "slot"]).select(
         F.col("road").alias("gid"), F.col("next_road").alias("next_gid"), "slot",

@@ -197,12 +197,11 @@ class RoadState:
             return self.roads.withColumn("open_slot", F.lit(None).cast("bigint"))
         return self.roads.sparkSession.read.parquet(batch_folder(os.path.join(self.root, "state"), batch_id - 1))
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        state = self._state(batch_id)
-        obs = batch.persist()
+    def _advance(self, obs: DataFrame, state: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Writes the next version; returns the updates, the slices they end and those that closed."""
         admitted = TR.admit(obs, self.order, self.chunk(), self.p, state.select(F.col("gid").alias("road"), "open_slot"))
-        updates = TR.speed_updates(admitted, state, self.p)
-        slices = clamped.per_slice(updates, ["road"], "slot", "_chunk", self.order)
+        updates = cut(TR.speed_updates(admitted, state, self.p))
+        slices = cut(clamped.per_slice(updates, ["road"], "slot", "_chunk", self.order))
         touched = slices.select("road").distinct()
         carried = (
             state.filter(F.col("open_slot").isNotNull()).select(F.col("gid").alias("road"), F.col("open_slot").alias("slot"))
@@ -214,16 +213,80 @@ class RoadState:
         newest = ends.groupBy("road").agg(F.max_by("v", "slot").alias("new_v"), F.max("slot").alias("new_slot"))
         following = state.join(newest.withColumnRenamed("road", "gid"), "gid", "left").withColumn(
             "avg_speed", F.coalesce("new_v", "avg_speed")).withColumn("open_slot", F.coalesce("new_slot", "open_slot")).drop("new_v", "new_slot")
-        write_batch(following.withColumn("time", F.col("length") / F.col("avg_speed")), os.path.join(self.root, "state"), batch_id)
-        closed = ends.join(newest.select("road", "new_slot"), "road").filter(F.col("slot") < F.col("new_slot"))
-        out = closed.join(self.roads.select(F.col("gid").alias("road"), "base_gid", "length", "class_id"), "road").select(
-            F.col("road").alias("gid"), "base_gid", "length", "class_id", TR.slot_day(F.col("slot")).alias("day"),
-            TR.slot_seq(F.col("slot")).alias("seq"), F.col("v").alias("avg_speed"), (F.col("length") / F.col("v")).alias("time"))
-        write_batch(out, os.path.join(self.root, "closed"), batch_id)
+        write_batch(following.withColumn("time", F.col("length") / F.col("avg_speed")), self._path("state"), batch_id)
+        named = ends.join(self.roads.select(F.col("gid").alias("road"), "base_gid", "length", "class_id", "max_speed"), "road").join(
+            newest.select("road", "new_slot"), "road").select(
+            F.col("road").alias("gid"), "base_gid", "length", "class_id", "max_speed", "slot", TR.slot_day(F.col("slot")).alias("day"),
+            TR.slot_seq(F.col("slot")).alias("seq"), F.col("v").alias("avg_speed"), (F.col("length") / F.col("v")).alias("time"),
+            (F.col("slot") < F.col("new_slot")).alias("closed"))
+        rows = cut(named)
+        out = rows.filter("closed").drop("max_speed", "slot", "closed")
+        write_batch(out, self._path("closed"), batch_id)
+        return updates, rows, rows.filter("closed")
+
+    def _path(self, name: str) -> str:
+        return os.path.join(self.root, name)
+
+    def _written(self, name: str) -> DataFrame:
+        return self.roads.sparkSession.read.parquet(self._path(name)).drop("batch_id")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        obs = batch.persist()
+        self._advance(obs, self._state(batch_id), batch_id)
         obs.unpersist()
 
     def closed(self) -> DataFrame:
-        return self.roads.sparkSession.read.parquet(os.path.join(self.root, "closed")).drop("batch_id")
+        return self._written("closed")
+
+
+TURN_SCHEMA = "gid bigint, next_gid bigint, time double, turn_seq bigint, slot bigint"
+
+
+class PairState(RoadState):
+    """Road speeds, turning times and inferred rows from a stream of trajectory pairs.
+
+    Route shares use the road and turning times at the start of the batch. Each batch appends the sensed rows, turning rows
+    and inferred rows of the slices that it closes; history is updated from them by :meth:`history`.
+    """
+
+    def __init__(self, roads: DataFrame, history: DataFrame, class_history: DataFrame, root: str, p: TrafficParams = TrafficParams()):
+        super().__init__(roads, root, TR.ORDER, TR.minute_chunk, p)
+        self.past = history
+        self.class_past = class_history
+
+    def _turning(self, batch_id: int) -> DataFrame:
+        spark = self.roads.sparkSession
+        if batch_id == 0:
+            return spark.createDataFrame([], TURN_SCHEMA)
+        return spark.read.schema(TURN_SCHEMA).parquet(batch_folder(self._path("turning"), batch_id - 1))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        state, known = self._state(batch_id), self._turning(batch_id)
+        obs = cut(TR.observations(batch, state, known, self.p))
+        updates, rows, closed = self._advance(obs, state, batch_id)
+        turns = TR.turning_updates(updates, self.order, self.chunk(), self.p, known)
+        kinds = dict(part.split() for part in TURN_SCHEMA.split(", "))
+        ends = cut(TR.smooth_turnings(turns, self.order, self.p, known).select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]))
+        pair = ["gid", "next_gid"]
+        last = ends.groupBy(*pair).agg(F.max_by(F.struct("time", "turn_seq", "slot"), "slot").alias("l")).select(*pair, "l.*")
+        write_batch(known.join(last, pair, "left_anti").unionByName(last), self._path("turning"), batch_id)
+        # Turns of a closing slice: updated in this batch, or before it and not since.
+        listed = ends.unionByName(known.join(ends.select(*pair, "slot"), [*pair, "slot"], "left_anti")).withColumn(
+            "day", TR.slot_day(F.col("slot"))).withColumn("seq", TR.slot_seq(F.col("slot")))
+        write_batch(TR.closed_turnings(listed, closed.withColumn("closed", F.lit(True))).select("day", "seq", *pair, "time"), self._path("turnings"), batch_id)
+        write_batch(TR.infer_gaps(rows, self.past, self.class_past, self.p), self._path("inferred"), batch_id)
+
+    def turnings(self) -> DataFrame:
+        """Turning rows of closed slices."""
+        return self._written("turnings")
+
+    def real_rows(self) -> DataFrame:
+        """Sensed and inferred rows of closed slices."""
+        return TR.real_road_rows(self.closed().withColumn("closed", F.lit(True)), self._written("inferred"))
+
+    def history(self) -> DataFrame:
+        """History after all batches so far."""
+        return TR.update_history(self.past, self.real_rows(), self.p)
 
 
 # -- metrics --------------------------------------------------------------------------

@@ -12,7 +12,11 @@ from roadpulse.functions import geo
 from roadpulse.operators import density, matching, routing
 from roadpulse.params import GridParams, MatchParams, TrafficParams
 from roadpulse.plans.components import connected_components
+from roadpulse.catalog.network import road_state
+from roadpulse.operators import traffic
 from roadpulse.sources import gps
+from roadpulse.sources import roads as road_source
+from roadpulse.streaming import pipeline
 
 SF_DIR = "/root/testdata/sf0.001"
 UNCHECKED = sorted(name for name in entry.queries() if name not in entry.oracle_sql() and not name.startswith(("op", "pipeline")))
@@ -122,3 +126,21 @@ def test_components_with_a_hot_root(spark):
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     got = {r["node"]: r["component"] for r in connected_components(nodes, edges).collect()}
     assert all(c == (0 if n < 9000 else 9000) for n, c in got.items()) and len(got) == 3041 + 8
+
+
+def test_pair_stream_does_not_depend_on_its_batches(spark, tmp_path):
+    """Pairs that move along one road: their observations don't depend on the state, so batches must not matter."""
+    f = Fixtures(spark, SF_DIR)
+    state, history = road_state(f), f.history()
+    moving = f.pairs().filter("pre_gid = gid AND offset <> pre_offset")
+    wide = moving.unionByName(moving.withColumn("utc", F.col("utc") + 700).withColumn("pre_utc", F.col("pre_utc") + 700))
+    rows = spark.createDataFrame(wide.collect(), wide.schema)
+    stream = pipeline.PairState(state, history, road_source.class_history(history), str(tmp_path))
+    low, high = rows.agg(F.min("utc"), F.max("utc")).first()
+    third = (high - low) // 3 + 1
+    for i in range(3):
+        stream(rows.filter((F.col("utc") - low >= i * third) & (F.col("utc") - low < (i + 1) * third)), i)
+        stream(rows.filter((F.col("utc") - low >= i * third) & (F.col("utc") - low < (i + 1) * third)), i)  # a repeated batch changes nothing
+    whole = traffic.road_speeds(rows, state)[0].filter("closed")
+    key = lambda df: sorted((r["gid"], r["day"], r["seq"], round(r["avg_speed"], 6)) for r in df.collect())
+    assert key(stream.closed()) == key(whole) and whole.count()
