@@ -216,22 +216,24 @@ def _left(value: Column, bits: int) -> Column:
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, fp, component_id`` of every document; the component is the smallest id that links reach.
+    """``doc_id, fp, group, component_id`` of every document; the component is the smallest id that links reach.
 
-    Links are sought among distinct fingerprints, so copies cost nothing. Texts without words share fingerprint 0, as do
-    nulls. Null ids are kept and never name a component, unless it holds no other (then it is null). Repeated rows get the
-    same component; other columns are ignored; an empty table gives an empty result.
+    ``group`` is the component's smallest fingerprint, which tells components apart whatever their ids. Links are sought
+    among distinct fingerprints, so copies cost nothing. Texts without words share fingerprint 0, as do nulls. Null ids are
+    kept and never name a component, unless it holds no other (then it is null). Repeated rows get the same component;
+    other columns are ignored; an empty table gives an empty result.
     """
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp")), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct-fingerprints")
     edges = stored(links(distinct.select("fp")).distinct(), "fingerprint-links")
     members = stored(connected_components(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), edges), "fingerprint-components")
     # Only fingerprints with a link are looked up; the others are their own component.
-    linked = members.join(distinct, members["node"] == distinct["fp"]).select("fp", "component", "_least")
-    smallest = linked.groupBy("component").agg(F.min("_least").alias("_component"))
-    named = stored(lookup(stored(linked.select("fp", "component"), "linked-fingerprints"), smallest, "component").select("fp", "_component"), "named-fingerprints")
-    labels = distinct.join(named, "fp", "left").select("fp", F.coalesce("_component", "_least").alias("component_id"))
-    return lookup(marked, labels, "fp").select("doc_id", "fp", "component_id")
+    linked = members.join(distinct, members["node"] == distinct["fp"]).select("fp", F.col("component").alias("_group"), "_least")
+    smallest = linked.groupBy("_group").agg(F.min("_least").alias("_component"))
+    named = stored(lookup(stored(linked.select("fp", "_group"), "linked-fingerprints"), smallest, "_group").select("fp", "_group", "_component"), "named-fingerprints")
+    labels = distinct.join(named, "fp", "left").select(
+        "fp", F.coalesce("_group", "fp").alias("group"), F.when(F.col("_group").isNull(), F.col("_least")).otherwise(F.col("_component")).alias("component_id"))
+    return lookup(marked, labels, "fp").select("doc_id", "fp", "group", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -242,9 +244,21 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each component, with all its columns: the one that names it.
 
-    Of rows that share that id, the first by text stays. Where a component has only null ids, its rows all stay: nothing
-    tells which is meant.
+    Rows that share an id, and rows without one, are told apart by their fingerprints: of those that name their component
+    one stays, the first by text; so does one where a component has no id at all.
     """
-    found = components(docs, text, doc_id)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    found = stored(components(docs, text, doc_id), "near-copies")
+    counts = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_copy"))
+    repeated = stored(counts.where("_n > 1").select(F.col("doc_id").alias("_other")), "repeated-ids")
+    other = counts.where("_n > 1 OR _copy").select(F.col("doc_id").alias("_other"))
+    key = F.col(doc_id)
+    plain = docs.where(key.isNotNull()).join(other, key == F.col("_other"), "left_anti")
+    unclear = docs.where(key.isNull()).unionByName(docs.join(repeated, key == F.col("_other"), "left_semi"))
+    # Few rows in sound data; copies are put together before they are shuffled.
+    packed = unclear.select(F.struct("*").alias("_doc"), key.alias("_id"), fingerprint(text).alias("_fp"), F.struct(F.col(text), F.xxhash64(*docs.columns)).alias("_rank"))
+    first = packed.groupBy("_id", "_fp").agg(F.min("_rank").alias("_best"), F.min_by("_doc", "_rank").alias("_doc"))
+    groups = found.select(F.col("fp").alias("_fp"), F.col("group").alias("_group"), F.col("component_id").alias("_component")).distinct()
+    named = first.join(groups, "_fp").where(F.col("_component").isNull() | F.col("_id").eqNullSafe(F.col("_component")))
+    chosen = named.groupBy("_id", "_group").agg(F.min_by("_doc", "_best").alias("_doc"))
+    return plain.unionByName(chosen.select("_doc.*"))
