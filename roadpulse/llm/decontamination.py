@@ -14,7 +14,7 @@ from roadpulse.llm.fm_index import FmIndex
 
 WINDOW = 13
 #: Bytes of text in one shard, or one longer text, and of benchmark text in one block.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+SHARD_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 #: Occurrences located at a time.
 LOCATE_ROWS = 1 << 20
 #: A document is contaminated if hit words are at least one in LEAST_SHARE.
