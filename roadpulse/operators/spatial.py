@@ -46,31 +46,35 @@ def _cell(lon: str, lat: str, size: float) -> list[Column]:
 
 
 def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Closest point of every road nearer than ``radius`` to each sample."""
+    """Closest point of every road nearer than ``radius`` to each sample.
+
+    A cell lists each road once with its legs there, so the closest leg is found inside the joined row: candidates are
+    neither sorted nor shuffled.
+    """
     size = cell_size(radius)
-    # Stored: its size is checked before it is joined.
-    covered = broadcast_if_small(cut(_cover(segments, radius, size)))
-    # Dealt by sample before the join: its candidates then lie together, and the groupings below need no exchange.
+    legs = F.collect_list(F.struct("leg", "lon1", "lat1", "lon2", "lat2", "before", "leg_length"))
+    # Stored: its size is checked before it is joined. A road has few legs in a cell.
+    covered = broadcast_if_small(cut(_cover(segments, radius, size).groupBy("cx", "cy", "base_gid", "oneway", "length_m").agg(legs.alias("legs"))))
+    # Dealt by sample before the join: its candidates then lie together, and groupings by sample need no exchange.
     points = samples.select(*keys, "lon", "lat", *_cell("lon", "lat", size)).repartition(*keys)
     kx, ky = geo.metres_per_degree(F.col("lat"))
     near = points.withColumn("kx", kx).withColumn("ky", ky).join(covered, ["cx", "cy"])
-    t = geo.clamp01(geo.project_on_segment(*[F.col(c) for c in ("lon", "lat", "lon1", "lat1", "lon2", "lat2")]))
-    near = near.withColumn("t", t)
-    x, y = geo.interpolate_segment(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), F.col("t"))
-    near = near.withColumn("x", x).withColumn("y", y)
-    near = near.withColumn("dist", F.hypot((F.col("x") - F.col("lon")) * F.col("kx"), (F.col("y") - F.col("lat")) * F.col("ky")))
-    best = F.min_by(
-        F.struct(
-            ((F.col("before") + F.col("t") * F.col("leg_length")) / F.col("length_m")).alias("fraction"),
-            F.col("x").alias("lon"), F.col("y").alias("lat"), "dist", "oneway",
-        ),
-        F.struct("dist", "leg"),
-    )
-    return (
-        near.filter(F.col("dist") < radius)
-        .groupBy(*keys, "base_gid").agg(best.alias("best"))
-        .select(*keys, "base_gid", "best.fraction", "best.lon", "best.lat", "best.dist", "best.oneway")
-    )
+
+    def projected(leg: Column) -> Column:
+        dx, dy = (leg.lon2 - leg.lon1) * F.col("kx"), (leg.lat2 - leg.lat1) * F.col("ky")
+        px, py = (F.col("lon") - leg.lon1) * F.col("kx"), (F.col("lat") - leg.lat1) * F.col("ky")
+        norm = dx * dx + dy * dy
+        return F.struct(leg.alias("l"), geo.clamp01(F.when(norm > 0, (px * dx + py * dy) / norm).otherwise(F.lit(0.0))).alias("t"))
+
+    def placed(p: Column) -> Column:
+        x, y = geo.interpolate_segment(p.l.lon1, p.l.lat1, p.l.lon2, p.l.lat2, p.t)
+        return F.struct(F.hypot((x - F.col("lon")) * F.col("kx"), (y - F.col("lat")) * F.col("ky")).alias("dist"), p.l.leg.alias("leg"),
+                        (p.l.before + p.t * p.l.leg_length).alias("along"), x.alias("x"), y.alias("y"))
+
+    best = near.select(*keys, "base_gid", "oneway", "length_m", F.array_min(F.transform(F.transform("legs", projected), placed)).alias("best"))
+    return best.filter(F.col("best.dist") < radius).select(
+        *keys, "base_gid", (F.col("best.along") / F.col("length_m")).alias("fraction"), F.col("best.x").alias("lon"), F.col("best.y").alias("lat"),
+        F.col("best.dist").alias("dist"), "oneway")
 
 
 def both_directions(found: DataFrame) -> DataFrame:
