@@ -44,6 +44,27 @@ def _(f):
     return found.select("event_id", "road_id", F.round("fraction", 6).alias("fraction"), F.round("dist", 5).alias("dist"))
 
 
+SPHERE = f"""
+  SELECT event_id, base_gid, oneway, fraction, dist FROM (
+    SELECT *, (before + t * leg_length) / length_m AS fraction, row_number() OVER (PARTITION BY event_id, base_gid ORDER BY dist, leg) AS place
+    FROM (SELECT * EXCLUDE (dist), {sql_haversine('lon', 'lat', '(x1 + (x2 - x1) * t)', '(y1 + (y2 - y1) * t)')} AS dist FROM projected))
+  WHERE place = 1"""
+
+
+@query("X4_radius_on_the_sphere", sql("SELECT event_id, road_id, round(fraction, 6) AS fraction, round(dist, 4) AS dist FROM directed",
+                                      "samples", "base_roads", **{**LOCAL, "closest": SPHERE}, directed=DIRECTED))
+def _(f):
+    found = SP.radius_candidates(f.samples(), f.base_roads(), 100.0, ["event_id"], metric="haversine")
+    return found.select("event_id", "road_id", F.round("fraction", 6).alias("fraction"), F.round("dist", 4).alias("dist"))
+
+
+@query("X4_nearest_on_the_sphere", sql("""
+    SELECT event_id, round(min(dist), 4) AS dist FROM closest GROUP BY event_id""", "samples", "base_roads", **{**GLOBAL, "closest": SPHERE}))
+def _(f):
+    found = SP.nearest(f.samples(), f.base_roads(), ["event_id"], metric="haversine")
+    return found.groupBy("event_id").agg(F.round(F.min("dist"), 4).alias("dist"))
+
+
 @query("J3_nearest_road", sql("""
     SELECT event_id, base_gid, round(dist, 5) AS dist FROM (SELECT *, rank() OVER (PARTITION BY event_id ORDER BY dist) AS place FROM closest)
     WHERE place = 1""", "samples", "base_roads", **GLOBAL))

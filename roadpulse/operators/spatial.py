@@ -45,16 +45,19 @@ def _cell(lon: str, lat: str, size: float) -> list[Column]:
     return [F.floor(F.col(lon) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy")]
 
 
-def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: list[str], metric: str = "planar") -> DataFrame:
     """Closest point of every road nearer than ``radius`` to each sample.
 
+    The closest point of a leg is found on the plane; its distance is that of ``metric`` ("planar" or "haversine").
+
     A cell lists each road once with its legs there, so the closest leg is found inside the joined row: candidates are
     neither sorted nor shuffled.
     """
     size = cell_size(radius)
     legs = F.collect_list(F.struct("leg", "lon1", "lat1", "lon2", "lat2", "before", "leg_length"))
     # Stored: its size is checked before it is joined. A road has few legs in a cell.
-    covered = broadcast_if_small(cut(_cover(segments, radius, size).groupBy("cx", "cy", "base_gid", "oneway", "length_m").agg(legs.alias("legs"))))
+    # Metrics differ by under one percent, so that much more is covered.
+    covered = broadcast_if_small(cut(_cover(segments, radius * 1.01, size).groupBy("cx", "cy", "base_gid", "oneway", "length_m").agg(legs.alias("legs"))))
     # Dealt by sample before the join: its candidates then lie together, and groupings by sample need no exchange.
     points = samples.select(*keys, "lon", "lat", *_cell("lon", "lat", size)).repartition(*keys)
     kx, ky = geo.metres_per_degree(F.col("lat"))
@@ -68,7 +71,11 @@ def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: li
 
     def placed(p: Column) -> Column:
         x, y = geo.interpolate_segment(p.l.lon1, p.l.lat1, p.l.lon2, p.l.lat2, p.t)
-        return F.struct(F.hypot((x - F.col("lon")) * F.col("kx"), (y - F.col("lat")) * F.col("ky")).alias("dist"), p.l.leg.alias("leg"),
+        if metric == "planar":
+            dist = F.hypot((x - F.col("lon")) * F.col("kx"), (y - F.col("lat")) * F.col("ky"))
+        else:
+            dist = geo.distance(F.col("lon"), F.col("lat"), x, y, metric)
+        return F.struct(dist.alias("dist"), p.l.leg.alias("leg"),
                         (p.l.before + p.t * p.l.leg_length).alias("along"), x.alias("x"), y.alias("y"))
 
     best = near.select(*keys, "base_gid", "oneway", "length_m", F.array_min(F.transform(F.transform("legs", projected), placed)).alias("best"))
@@ -87,11 +94,11 @@ def both_directions(found: DataFrame) -> DataFrame:
     )
 
 
-def radius_candidates(samples: DataFrame, base: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    return both_directions(base_radius(samples, road_segments(base), radius, keys))
+def radius_candidates(samples: DataFrame, base: DataFrame, radius: float, keys: list[str], metric: str = "planar") -> DataFrame:
+    return both_directions(base_radius(samples, road_segments(base), radius, keys, metric))
 
 
-def _widening(samples: DataFrame, base: DataFrame, keys: list[str], enough, radius: float = 100.0) -> DataFrame:
+def _widening(samples: DataFrame, base: DataFrame, keys: list[str], enough, metric: str, radius: float = 100.0) -> DataFrame:
     """Repeats the radius join with doubled radius for samples not yet served.
 
     Stops when every sample is served or the radius covers the whole map, so a
@@ -103,12 +110,12 @@ def _widening(samples: DataFrame, base: DataFrame, keys: list[str], enough, radi
     ).first()
     reach = samples.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     if box[0] is None or reach[0] is None:
-        return base_radius(samples, segments, radius, keys)
+        return base_radius(samples, segments, radius, keys, metric)
     span = max(max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2]))
     limit = span * 160000.0 + 1
     open_samples, done = samples, None
     while True:
-        found = base_radius(open_samples, segments, radius, keys)
+        found = base_radius(open_samples, segments, radius, keys, metric)
         served = enough(found) if radius < limit else found
         served = cut(served)
         done = served if done is None else done.unionByName(served)
@@ -125,21 +132,21 @@ def _ranked(found: DataFrame, keys: list[str], order: list[str], fn) -> DataFram
     return found.withColumn("place", fn.over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def nearest(samples: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+def nearest(samples: DataFrame, base: DataFrame, keys: list[str], metric: str = "planar") -> DataFrame:
     """Nearest road of each sample, all ties kept."""
-    found = _widening(samples, base, keys, lambda df: df)
+    found = _widening(samples, base, keys, lambda df: df, metric)
     closest = found.groupBy(*keys).agg(F.min("dist").alias("closest"))
     return found.join(closest, keys).filter(F.col("dist") == F.col("closest")).drop("closest")
 
 
-def k_nearest(samples: DataFrame, base: DataFrame, k: int, keys: list[str]) -> DataFrame:
+def k_nearest(samples: DataFrame, base: DataFrame, k: int, keys: list[str], metric: str = "planar") -> DataFrame:
     """The ``k`` nearest roads of each sample, fewer when the map has fewer."""
 
     def full(found: DataFrame) -> DataFrame:
         counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*keys)
         return found.join(counts, keys, "left_semi")
 
-    found = _widening(samples, base, keys, full)
+    found = _widening(samples, base, keys, full, metric)
     return _ranked(found, keys, ["dist", "base_gid"], F.row_number()).filter(F.col("place") <= k)
 
 
