@@ -225,7 +225,11 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp")), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct-fingerprints")
-    edges = stored(links(distinct.select("fp")).distinct(), "fingerprint-links")
+    return labelled(marked, distinct, stored(links(distinct.select("fp")).distinct(), "fingerprint-links"))
+
+
+def labelled(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, fp, group, component_id`` from ``marked(doc_id, fp)``, ``distinct(fp, _least)`` and ``edges(a, b)``, all stored."""
     members = stored(connected_components(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), edges), "fingerprint-components")
     # Only fingerprints with a link are looked up; the others are their own component.
     linked = members.join(distinct, members["node"] == distinct["fp"]).select("fp", F.col("component").alias("_group"), "_least")
@@ -241,13 +245,16 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule=None) -> DataFrame:
     """One document of each component, with all its columns: the one that names it.
 
+    ``rule`` is a module with ``components`` and ``fingerprint``; without one, this one's rule of few differing bits holds.
+
     Rows that share an id, and rows without one, are told apart by their fingerprints: of those that name their component
     one stays, the first by text; so does one where a component has no id at all.
     """
-    found = stored(components(docs, text, doc_id), "near-copies")
+    grouped, marked = (rule.components, rule.fingerprint) if rule else (components, fingerprint)
+    found = stored(grouped(docs, text, doc_id), "near-copies")
     counts = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_copy"))
     repeated = stored(counts.where("_n > 1").select(F.col("doc_id").alias("_other")), "repeated-ids")
@@ -256,7 +263,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     plain = docs.where(key.isNotNull()).join(other, key == F.col("_other"), "left_anti")
     unclear = docs.where(key.isNull()).unionByName(docs.join(repeated, key == F.col("_other"), "left_semi"))
     # Few rows in sound data; copies are put together before they are shuffled.
-    packed = unclear.select(F.struct("*").alias("_doc"), key.alias("_id"), fingerprint(text).alias("_fp"), F.struct(F.col(text), F.xxhash64(*docs.columns)).alias("_rank"))
+    packed = unclear.select(F.struct("*").alias("_doc"), key.alias("_id"), marked(text).alias("_fp"), F.struct(F.col(text), F.xxhash64(*docs.columns)).alias("_rank"))
     first = packed.groupBy("_id", "_fp").agg(F.min("_rank").alias("_best"), F.min_by("_doc", "_rank").alias("_doc"))
     groups = found.select(F.col("fp").alias("_fp"), F.col("group").alias("_group"), F.col("component_id").alias("_component")).distinct()
     named = first.join(groups, "_fp").where(F.col("_component").isNull() | F.col("_id").eqNullSafe(F.col("_component")))

@@ -7,7 +7,7 @@ import numpy as np
 import plain
 import pytest
 
-from roadpulse.llm import compression, decontamination, mixing, pii, quality_rules, secrets, simhash, toxicity, urls, warc
+from roadpulse.llm import compression, decontamination, mixing, pii, quality_rules, secrets, shingles, simhash, toxicity, urls, warc
 from roadpulse.llm.queries import BLOCKED_HOSTS, QUERIES, URL_RULES
 
 SMALL = "/root/testdata/sf0.001"
@@ -134,6 +134,50 @@ def test_keep_one(odd_documents, table):
     assert simhash.keep_one(odd_documents.where("false")).count() == 0
 
 
+def test_pipeline_links_shingle_copies(spark, odd_documents):
+    """Components of all pairs with a 5-word Jaccard similarity of 0.8 or more, by an inverted index, on sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets = {}
+    for doc, text in held(docs):
+        words = plain.WORDS.findall((text or "").translate(plain.FOLD))
+        sets.setdefault(frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)]), []).append(doc)
+    names = list(sets)
+    # The rarest shingles first: a similar pair shares one among the first fifth of both.
+    seen = Counter(s for x in names for s in x)
+    where, pairs = {}, set()
+    for i, x in enumerate(names):
+        for s in sorted(x, key=lambda s: (seen[s], s))[: len(x) - -(-8 * len(x) // 10) + 1]:
+            pairs |= {(j, i) for j in where.setdefault(s, [])}
+            where[s].append(i)
+    similar = [(i, j) for i, j in pairs if 10 * len(names[i] & names[j]) >= 8 * len(names[i] | names[j])]
+    got = {r["doc_id"]: r["component_id"] for r in shingles.components(docs).collect()}
+    together = sum(got[sets[names[i]][0]] == got[sets[names[j]][0]] for i, j in similar)
+    print("similar pairs", len(similar), "together", together)
+    assert len(similar) > 40 and together == len(similar)
+    parent = list(range(len(names)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in similar:
+        parent[root(j)] = root(i)
+    least = {}
+    for i, x in enumerate(names):
+        least[root(i)] = min(*sets[x], least.get(root(i), sets[x][0]))
+    assert got == {d: least[root(i)] for i, x in enumerate(names) for d in sets[x]}
+    odd = simhash.keep_one(odd_documents, rule=shingles)
+    assert rows(odd, "doc_id") == Counter((i,) for i in (-9, 2, 5, 6, 7, 8, None))
+
+
+def test_crowded_band_is_linked(spark):
+    """Over EACH near copies of one text share their bands and come together."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(200)], "doc_id long, text string")
+    assert {r["component_id"] for r in shingles.components(docs).collect()} == {0}
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     sizes = Counter({r["source"]: 0 for r in docs.collect()})
