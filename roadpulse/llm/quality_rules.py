@@ -17,8 +17,10 @@ from roadpulse.llm.common import as_bytes, parts, ragged, with_flag
 BITS = 16
 #: Added to every bucket's count in both multinomials.
 SMOOTHING = 1.0
-#: Documents whose mean log-likelihood ratio per n-gram is lower are not kept.
-THRESHOLD = -0.5
+#: Cut of the mean log-likelihood ratio per n-gram with fewer than LEAST_LABELLED documents of a label; else labels set it.
+THRESHOLD, LEAST_LABELLED = -0.5, 20
+#: Scores are counted in steps of this size to find the cut.
+STEP = 1 / 512
 LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -101,7 +103,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """Log-likelihood ratio of each bucket, trusted to raw. Raw counts cover all documents, trusted ones all with quality 1.
+    """Log-likelihood ratio of each bucket, trusted to raw, from the counts of ``bucket_counts``."""
+    return _ratios(bucket_counts(docs, labels, text, doc_id))
+
+
+def bucket_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+    """Counts of each bucket in raw and in trusted text. Raw counts cover all documents, trusted ones all with quality 1.
 
     Tasks add up before they shuffle, so a task sends one row a bucket. The driver gets one row a bucket, 2 ** BITS at most.
     Without trusted documents all ratios are 0 and the method rejects nothing.
@@ -112,12 +119,75 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counts = np.zeros((2, 1 << BITS))
     for row in sums.collect():
         counts[:, row["bucket"]] = row["raw"], row["trusted"]
+    return counts
+
+
+def _ratios(counts: np.ndarray) -> np.ndarray:
     if not counts[1].sum():
         return np.zeros(1 << BITS)
     shares = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
     return np.log(shares[1] / shares[0])
 
 
+def _unseen(counts: np.ndarray, grams: np.ndarray, trusted: bool) -> float:
+    """Score of a text as if it were not among the trusted ones."""
+    if not len(grams):
+        return 0.0
+    at, own = np.unique(grams, return_counts=True)
+    good = counts[1][at] - (own if trusted else 0)
+    of = counts[1].sum() - (len(grams) if trusted else 0)
+    if not of:
+        return 0.0
+    size = SMOOTHING * counts.shape[1]
+    ratio = np.log((good + SMOOTHING) / (of + size)) - np.log((counts[0][at] + SMOOTHING) / (counts[0].sum() + size))
+    return float((ratio * own).sum() / len(grams))
+
+
+def _labelled_scores(counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Task function: label and step of the score of every text that passes the base rules."""
+        table = counts.value
+        for batch in batches:
+            flags, done = batch.column("_quality").to_pylist(), 0
+            out = []
+            for texts in parts(batch.column("_text")):
+                base, hashes, rows = _base(texts)
+                cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
+                for i in range(len(texts)):
+                    if base[0][i] >= LEAST_WORDS and 100 * base[4][i] <= MOST_REPEATED_PERCENT * base[0][i]:
+                        words = hashes[cuts[i] : cuts[i + 1]]
+                        grams = _buckets(words, np.zeros(len(words), np.int64))[0]
+                        out.append((flags[done + i], int(np.floor(_unseen(table, grams, flags[done + i] == 1) / STEP))))
+                done += len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([s for _, s in out], pa.int64())], names=["quality", "step"])
+
+    return run
+
+
+def find_cut(docs: DataFrame, labels: DataFrame, counts, text: str = "text", doc_id: str = "doc_id") -> float:
+    """The score that tells quality 1 from quality 0 best: the largest sum of the share of 1 kept and that of 0 rejected.
+
+    Every labelled document that passes the base rules counts, scored as if it were not trusted, which is how unlabelled
+    text is scored. An id with both labels counts as 1. Of equal cuts the lowest is taken. ``counts`` is a broadcast array.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("_quality"))
+    body = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("_text"))
+    found = body.join(known, "_id").select("_quality", "_text").mapInArrow(_labelled_scores(counts), "quality int, step long")
+    tally: dict[int, list[int]] = {}
+    for row in found.groupBy("quality", "step").count().collect():  # steps of a mean log ratio, some ten thousand at most
+        tally.setdefault(row["step"], [0, 0])[row["quality"]] = row["count"]
+    bad, good = (sum(t[q] for t in tally.values()) for q in (0, 1))
+    if min(bad, good) < LEAST_LABELLED:
+        return THRESHOLD
+    best, cut, rejected, lost = 0.0, min(tally), 0, 0
+    for step in sorted(tally):
+        gain = rejected / bad - lost / good
+        if gain > best:
+            best, cut = gain, step
+        rejected, lost = rejected + tally[step][0], lost + tally[step][1]
+    return cut * STEP
+
+
 def rules(text: str | Column, ratios, threshold: float = THRESHOLD) -> Column:
     """Struct of the base columns, ``score``, ``base_failed`` and ``kept`` of a text. ``ratios`` is a broadcast array."""
 
@@ -136,15 +206,20 @@ def rules(text: str | Column, ratios, threshold: float = THRESHOLD) -> Column:
     return judged(as_bytes(text))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float | None = None) -> DataFrame:
     """``doc_id``, the base columns, ``base_failed``, ``kept`` and ``score`` of every document.
 
     The score is the mean over a text's unigrams and bigrams of the log ratio of their buckets' shares in trusted text and
     in all text. A text fails the base rules with under LEAST_WORDS words, or if over MOST_REPEATED_PERCENT percent of them
-    lie in repeated windows; of the others those with a score of ``threshold`` or more are kept. Null texts are empty and
+    lie in repeated windows; of the others those with a score of ``threshold`` or more are kept, by default
+    the cut that ``find_cut`` takes from the labels. Null texts are empty and
     fail. Repeated rows and null ids are judged one by one; other columns are ignored; an empty table gives an empty result.
     """
-    ratios = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, doc_id))
+    counts = bucket_counts(docs, labels, text, doc_id)
+    send = docs.sparkSession.sparkContext.broadcast
+    ratios = send(_ratios(counts))
+    if threshold is None:
+        threshold = find_cut(docs, labels, send(counts), text, doc_id) if counts[1].any() else THRESHOLD
     judged = docs.select(F.col(doc_id).alias("doc_id"), rules(text, ratios).alias("_r"))
     failed = (F.col("_r.n_words") < LEAST_WORDS) | (100 * F.col("_r.n_repeat_words") > MOST_REPEATED_PERCENT * F.col("_r.n_words"))
     return judged.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in _COLUMNS], failed.alias("base_failed"),

@@ -49,6 +49,15 @@ def test_quality_score(table):
     assert all(abs(got[d] - (ratio[g].mean() if len(g) else 0)) < 1e-9 for d, g in grams.items())
 
 
+def test_quality_cut_follows_labels(spark):
+    """Shares of both labels that pass the base rules and are rejected by the score, on sf0.1."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.apply_rules(docs, labels).where("NOT base_failed").join(labels, "doc_id").select("kept", "quality", "score").collect()
+    rejected = [[not r["kept"] for r in got if r["quality"] == q] for q in (0, 1)]
+    print("rejected", [(sum(r), len(r)) for r in rejected], "lowest kept", min(r["score"] for r in got if r["kept"]))
+    assert np.mean(rejected[0]) > 0.9 and np.mean(rejected[1]) < 0.05
+
+
 def test_no_trusted_text_rejects_nothing(table):
     got = quality_rules.apply_rules(table("documents"), table("labels").where("false")).collect()
     assert all(r["kept"] != r["base_failed"] and r["score"] == 0 for r in got)
