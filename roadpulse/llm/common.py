@@ -76,15 +76,20 @@ def with_flag(left: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000)
     return left.join(F.broadcast(marked) if few else marked, key, "left").withColumn("_flag", F.coalesce("_flag", F.lit(False)))
 
 
+def allowed_labels(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, where: Column) -> DataFrame:
+    """``_id, _label`` of the labelled ids that ``docs`` has and ``where`` (on ``_id``) allows; of several labels the largest."""
+    known = docs.select(F.col(doc_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    labelled = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    return labelled.where(where).join(known, "_id", "left_semi")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str, doc_id: str, where: Column) -> DataFrame:
     """``_id, _label, _order, _text`` of at most ``rows`` labelled documents of each label, the same in every run.
 
     Ids are chosen by a hash, among those that ``docs`` has and ``where`` (on ``_id``) allows, before any text is read. An id
     with several labels has the largest; of several documents with one id, one stands for it.
     """
-    known = docs.select(F.col(doc_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    labelled = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    allowed = labelled.where(where).join(known, "_id", "left_semi").withColumn("_order", F.xxhash64(F.lit(1), "_id"))
+    allowed = allowed_labels(docs, labels, label, doc_id, where).withColumn("_order", F.xxhash64(F.lit(1), "_id"))
     chosen = [allowed.where(F.col("_label") == value).orderBy("_order", "_id").limit(rows) for value in (0, 1)]
     # At most 2 * rows ids, a documented bound.
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))

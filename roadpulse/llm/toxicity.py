@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import as_bytes, fold, parts, ragged, sampled
+from roadpulse.llm.common import allowed_labels, as_bytes, fold, parts, ragged, sampled
 
 #: Words are runs of ASCII letters and digits and of all other characters, A-Z lower-cased.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -93,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Ftrl, text: str = "text", do
 
     Learns from a bounded sample of the labelled documents outside the held-out fold, the same in every run: ``sample`` of
     each class, by a hash of the id. Each shard learns by itself; weights are averaged by their sums of squared gradients,
-    which favours the shards that saw a feature. One class alone, or none, gives no weights.
+    which favours the shards that saw a feature. One class alone, or none, gives no weights. The intercept is moved by
+    ``prior_shift``.
     """
     chosen = sampled(docs, labels.where(F.col("toxic").isin(0, 1)), "toxic", params.sample, text, doc_id, (fold("_id", modulus) != held)).withColumn(
         "_shard", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(params.shards)))
@@ -102,9 +103,23 @@ def fit(docs: DataFrame, labels: DataFrame, params: Ftrl, text: str = "text", do
     weights = np.zeros((1 << params.bits) + 1)
     for row in mixed.collect():  # at most one row a bucket; L1 leaves few
         weights[row["bucket"]] = row["w"]
+    if weights.any():
+        weights[-1] += prior_shift(docs, labels, params, doc_id, modulus, held)
     return weights
 
 
+def prior_shift(docs: DataFrame, labels: DataFrame, params: Ftrl, doc_id: str = "doc_id", modulus: int = 5, held: int = 0) -> float:
+    """Log odds of toxic to clean among all labelled documents that may be learned from, less those of the sample.
+
+    Added to the intercept, it makes scores refer to the labels' own shares, whichever class the sample cuts; 0 where it cuts none.
+    """
+    allowed = allowed_labels(docs, labels.where(F.col("toxic").isin(0, 1)), "toxic", doc_id, fold("_id", modulus) != held)
+    every = {r["_label"]: r["count"] for r in allowed.groupBy("_label").count().collect()}
+    if len(every) < 2:
+        return 0.0
+    return float(np.log(every[1] / every[0]) - np.log(min(every[1], params.sample) / min(every[0], params.sample)))
+
+
 def score(text: str | Column, weights, params: Ftrl) -> Column:
     """Probability that a text is toxic. ``weights`` is a broadcast pair of sorted buckets and weights, and the intercept."""
 

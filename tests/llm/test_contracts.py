@@ -85,6 +85,21 @@ def test_held_out_accuracy(spark, operator, label, least):
     assert min(share) > least, share
 
 
+def test_toxicity_prior_does_not_follow_the_sample(spark):
+    """With a sample below the class sizes the classes learned from are even; held-out clean text must still pass."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = [r["toxic"] for r in labels.where("toxic IN (0, 1) AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").collect()]
+    small = toxicity.Ftrl(sample=300)
+    assert min(Counter(known).values()) > 300
+    shift = toxicity.prior_shift(docs, labels, small)
+    assert abs(shift - np.log(sum(known) / (len(known) - sum(known)))) < 1e-9 and toxicity.prior_shift(docs, labels, toxicity.Ftrl()) == 0
+    got = toxicity.score_documents(docs, labels, small).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    flagged = [sum(r["predicted"] for r in got if r["toxic"] == v) for v in (0, 1)]
+    sizes = [sum(r["toxic"] == v for r in got) for v in (0, 1)]
+    print("flagged", flagged, "of", sizes)
+    assert flagged[0] <= 0.005 * sizes[0] and flagged[1] >= 0.6 * sizes[1]
+
+
 def test_labels_of_held_out_rows_do_not_matter(table):
     from pyspark.sql import functions as F
 
