@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from roadpulse.llm.common import as_bytes, fold, parts, sampled
 
 #: Labelled documents of each class that the dictionaries are built from, and as many for the calibration.
 SAMPLE = 1500
-#: Size of a dictionary, and the longest document in it: one text must not fill it.
+#: Size of a dictionary, and the most that one document gives it: one text must not fill it.
 DICT_BYTES, LONGEST = 400 << 10, 32 << 10
+#: Texts are compressed in pieces of this size, each against the dictionaries alone: a longer history would hide them.
+PIECE = 16 << 10
 #: Higher levels look further back into the dictionary.
 LEVEL = 6
 
@@ -26,18 +29,29 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def build(texts: list[bytes]) -> bytes:
-    """A content dictionary: whole texts in their order, as many as fit; content tells classes apart better than a trained one."""
+    """A content dictionary: texts in their order, as many as fit; content tells classes apart better than a trained one.
+
+    A text over LONGEST gives one piece of that size, chosen by its digest.
+    """
     chosen, size = [b"\n" * 8], 8
     for text in texts:
-        if len(text) <= LONGEST and size + len(text) < DICT_BYTES:
+        if len(text) > LONGEST:
+            at = xxhash.xxh64_intdigest(text) % (len(text) // LONGEST) * LONGEST
+            text = text[at : at + LONGEST]
+        if size + len(text) < DICT_BYTES:
             chosen.append(text)
             size += len(text) + 1
     return b"\n".join(chosen)
 
 
 def differences(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    """Compressed size with the bad dictionary less that with the good one, over the plain size; 0 for an empty text."""
-    return np.array([(len(bad.compress(t)) - len(good.compress(t))) / len(t) if t else 0.0 for t in texts])
+    """Compressed size of all pieces with the bad dictionary less that with the good one, over the plain size; 0 for an empty text."""
+
+    def less(text: bytes) -> int:
+        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+        return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces)
+
+    return np.array([less(t) / len(t) if t else 0.0 for t in texts])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -98,7 +112,7 @@ def _difference(data: Column, pair) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
-    Only the text is scored, whole. Empty and null texts have difference 0. Without both classes every score is 0.5. A null
+    Only the text is scored, whole, piece by piece. Empty and null texts have difference 0. Without both classes every score is 0.5. A null
     id is in no labelled row, and in fold 0. Labels other than 0 and 1 are not used; an id with both counts as 1. Repeated
     rows are scored alike; other columns are ignored; an empty table gives an empty result.
     """

@@ -100,6 +100,25 @@ def test_toxicity_prior_does_not_follow_the_sample(spark):
     assert flagged[0] <= 0.005 * sizes[0] and flagged[1] >= 0.6 * sizes[1]
 
 
+def test_long_texts_are_scored_beyond_their_beginning(spark):
+    """The difference of long text stays that of its pieces, and long labelled texts reach the dictionary."""
+    random = np.random.default_rng(3)
+
+    def speech(words, size):
+        text = b""
+        while len(text) < size:
+            text += b" ".join(words[i] for i in random.integers(0, len(words), 2000)) + b" "
+        return text[:size]
+
+    good_words, bad_words = ([bytes(random.integers(97, 123, random.integers(4, 10)).tolist()) for _ in range(3000)] for _ in range(2))
+    good, bad = (compression._compressor(compression.build([speech(w, 100_000) for _ in range(12)])) for w in (good_words, bad_words))
+    assert len(compression.build([speech(good_words, 100_000)])) > compression.LONGEST
+    short, *longer = [compression.differences([speech(good_words, n)], good, bad)[0] for n in (10_000, 200_000, 3_000_000)]
+    assert short > 0 and all(x > 0.5 * short for x in longer), (short, longer)
+    # A good beginning does not hide a bad rest.
+    assert compression.differences([speech(good_words, 100_000) + speech(bad_words, 900_000)], good, bad)[0] < 0
+
+
 def test_labels_of_held_out_rows_do_not_matter(table):
     from pyspark.sql import functions as F
 
