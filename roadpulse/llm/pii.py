@@ -9,12 +9,22 @@ from roadpulse.llm.spans import Kind, count_of, found, luhn, named
 
 # A match can only begin where a run of its characters begins, or where the match before it ended inside the run (\G).
 # Starting at every character instead would take the square of a long run's length. Possessive loops don't recurse.
+# Characters after the check digits of a country's account codes (IBAN registry).
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK|FO|FI|GL|NL|FK|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|MN|XK", 17: "CH|CR|HR|LI|LV", 18: "BG|BH|DE|GB|GE|IE|ME|RS|VA",
+    19: "AE|GI|IL|IQ|OM|SO|TL", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "LY|PT|ST", 22: "IS|TR", 23: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    24: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
+}
+_LISTED = "(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: A code of a listed country has its length; any other run of groups goes on up to where a listed code begins, and _trimmed finds its end.
+_IBAN_CODE = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_LISTED}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_LISTED})\x20?[A-Z0-9]){{11,30}}+)"
+
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    Kind("iban", _IBAN_CODE),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     Kind("local_phone", r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z-])"),
 )
@@ -54,7 +64,28 @@ def _checked(kind: Column, hit: Column) -> Column:
     )
 
 
+def _trimmed(hit: Column, after: Column) -> Column:
+    """The longest start of an account code's match that ends where a word ends and passes mod 97; empty if none does."""
+    words = F.split(hit, " ")
+    # A match that was cut inside a word ends with the word before.
+    whole = F.when(after.rlike("^[a-z0-9]"), F.size(words) - 1).otherwise(F.size(words))
+    starts = F.when(whole > 0, F.transform(F.sequence(whole, F.lit(1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).otherwise(F.array().cast("array<string>"))
+
+    # Where the country fixes the length, no shorter start is tried.
+    fixed = hit.rlike("^(?:" + "|".join(IBAN_LENGTHS.values()) + ")")
+
+    def valid(start: Column) -> Column:
+        code = F.replace(start, F.lit(" "), F.lit(""))
+        return (~fixed | (start == hit)) & F.length(code).between(15, 34) & (mod_97(code) == 1)
+
+    return F.coalesce(F.try_element_at(F.filter(starts, valid), F.lit(1)), F.lit(""))
+
+
 def _scored(matches: DataFrame) -> DataFrame:
+    trimmed = F.when(F.col("kind") == _IBAN, _trimmed(F.col("hit"), F.col("after"))).otherwise(F.col("hit"))
+    rest = F.concat(F.lower(F.substring(F.col("hit"), F.length("_hit") + 1, F.length("hit"))), F.col("after"))
+    matches = matches.withColumn("_hit", trimmed).withColumn("after", F.when(F.col("kind") == _IBAN, rest).otherwise(F.col("after")))
+    matches = matches.withColumn("end", F.col("start") + F.length("_hit")).drop("hit").withColumnRenamed("_hit", "hit")
     kind, near = F.col("kind"), F.concat_ws(" ", "before", "after")
     near_word = F.lit(False)
     for i, k in enumerate(KINDS):

@@ -298,6 +298,24 @@ def test_pii_edges(spark):
     assert got[6]["spans"].count("iban:") == 2 and "local_phone:10:24" in got[7]["spans"] and got[8]["spans"].startswith("ssn:4:15") and "local_phone" not in got[9]["spans"]
 
 
+CODES = [
+    ("pay DE89 3704 0044 0532 0130 00 Bank of X", ["DE89 3704 0044 0532 0130 00"]), ("account DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+    ("iban GB82WEST12345698765432 Please", ["GB82WEST12345698765432"]), ("iban DE89 3704 0044 0532 0130 00 12 days", ["DE89 3704 0044 0532 0130 00"]),
+    ("iban DE89370400440532013000 GB82WEST12345698765432 NO9386011117947", ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"]),
+    ("REF AB12 GB82 WEST 1234 5698 7654 32 EUR 500", ["GB82 WEST 1234 5698 7654 32"]), ("iban DE89370400440532013001 BIC", []), ("iban GB82WEST12345698765432X", []),
+    # A country that is not listed: the longest valid end.
+    ("iban ZZ33 1234 5678 9012 345 ABC 77", ["ZZ33 1234 5678 9012 345"]),
+]
+
+
+def test_account_codes_before_capitals_and_digits(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CODES)], "doc_id long, text string")
+    got = {r["doc_id"]: [CODES[r["doc_id"]][0][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for r in pii.find_pii(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(CODES)}
+    for r in pii.redact(docs).collect():
+        assert not any(code in r["text"] for code in CODES[r["doc_id"]][1])
+
+
 def test_redaction(spark, odd_documents, table):
     for docs in (odd_documents, table("documents"), spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")):
         spans = {}
