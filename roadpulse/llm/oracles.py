@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from roadpulse.llm.oracle_repair import REPAIR
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": REPAIR,
+    "op11_lattice_near_dedup": """
+        WITH RECURSIVE rows AS (
+            SELECT row_number() OVER () AS row_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+                   label IS NOT NULL AND len(list_filter(v, lambda x: isfinite(x))) = len(v) AND len(list_filter(v, lambda x: x <> 0)) > 0 AS sound
+            FROM embeddings),
+        links AS (
+            SELECT x.row_id AS a, y.row_id AS b FROM rows x JOIN rows y ON x.label = y.label AND len(x.v) = len(y.v) AND x.row_id <> y.row_id
+            WHERE x.sound AND y.sound AND CASE WHEN x.sound AND y.sound THEN list_cosine_similarity(x.v, y.v) >= 0.93 ELSE false END),
+        reached(a, b) AS (SELECT row_id, row_id FROM rows UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+        least AS (SELECT reached.a, min(vec_id) AS component_id FROM reached JOIN rows ON rows.row_id = reached.b GROUP BY reached.a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+        FROM rows JOIN least ON least.a = row_id LEFT JOIN counts ON counts.a = row_id""",
     "op6_url_filter": """
         WITH urls AS (
             SELECT row_number() OVER () AS row_id, page_id,

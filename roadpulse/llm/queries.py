@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import compression, decontamination, mixing, pii, quality_rules, secrets, simhash, toxicity, urls, warc
+from roadpulse.llm import compression, conversation, decontamination, lattice, mixing, pii, quality_rules, secrets, simhash, toxicity, urls, warc
+from roadpulse.llm.common import stored
 from roadpulse.llm.oracles import ORACLES
 from roadpulse.plans.lineage import scratch_path
 from roadpulse.session import ship
@@ -60,6 +61,16 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def lattice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
+def conversation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation.damaged(_table(spark, sf_dir, "conversations"))
+    planned = stored(conversation.plans(rows), "conversation-plans")
+    return conversation.digest(planned, conversation.repair(rows, planned))
+
+
 _ALL = {
     "op1_quality_rules": quality_rules_query,
     "op2_toxicity": toxicity_query,
@@ -71,6 +82,8 @@ _ALL = {
     "op8_decontamination": decontamination_query,
     "op9_warc": warc_query,
     "op10_secrets": secrets_query,
+    "op11_lattice_near_dedup": lattice_query,
+    "op12_conversation_repair": conversation_query,
 }
 
 
