@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from roadpulse.llm.oracle_repair import REPAIR
+from roadpulse.llm.oracle_variants import VARIANTS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op12_conversation_repair": REPAIR,
+    "op13_spelling_variants": VARIANTS,
     "op11_lattice_near_dedup": """
         WITH RECURSIVE rows AS (
             SELECT row_number() OVER () AS row_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS v,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import compression, conversation, decontamination, lattice, mixing, pii, quality_rules, secrets, simhash, toxicity, urls, warc
+from roadpulse.llm import compression, conversation, decontamination, lattice, mixing, pii, quality_rules, secrets, simhash, toxicity, urls, variants, warc
 from roadpulse.llm.common import stored
 from roadpulse.llm.oracles import ORACLES
 from roadpulse.plans.lineage import scratch_path
@@ -71,6 +71,10 @@ def conversation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.digest(planned, conversation.repair(rows, planned))
 
 
+def variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 _ALL = {
     "op1_quality_rules": quality_rules_query,
     "op2_toxicity": toxicity_query,
@@ -84,6 +88,7 @@ _ALL = {
     "op10_secrets": secrets_query,
     "op11_lattice_near_dedup": lattice_query,
     "op12_conversation_repair": conversation_query,
+    "op13_spelling_variants": variants_query,
 }
 
 
