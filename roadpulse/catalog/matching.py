@@ -202,14 +202,7 @@ def _(f):
 @query("X5_own_model")
 def _(f):
     """Decoding with routes priced by length instead of time."""
-    vecs = M.with_predecessor(f.vectors())
-    roads = f.roads()
-    wanted = M.steps(vecs)
-    own = RT.routes_between(wanted.select("src", "tgt", "bound"), roads, f.successors(), cost="distance")
-    routed = f.routed().drop("routes").join(
-        wanted.withColumn("bound", F.col("bound").cast("double")).join(own, ["src", "tgt", "bound"])
-        .groupBy(*M.SAMPLE).agg(F.collect_list(F.struct("src", "tgt", "inner_cost", "inner_length", "path")).alias("routes")),
-        M.SAMPLE, "left")
+    routed = M.with_routes(M.with_predecessor(f.vectors()), f.roads(), f.successors(), cost="distance")
     return M.decode_traces(routed).select("suid", "utc", "road_id")
 
 

@@ -17,7 +17,7 @@ from roadpulse.functions import geo
 from roadpulse.functions import scalar as S
 from roadpulse.operators import spatial
 from roadpulse.operators.roads import with_cost
-from roadpulse.operators.routing import routes_between
+from roadpulse.operators.routing import RoadTiles, fitting, fronts_between
 from roadpulse.params import MatchParams
 from roadpulse.plans.lineage import cut
 from roadpulse.plans.sized import broadcast_if_small
@@ -57,15 +57,19 @@ def steps(vecs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     ).select(*SAMPLE, "bound", "src", F.explode("tgts").alias("tgt"))
 
 
-def with_routes(vecs: DataFrame, roads: DataFrame, successors: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
-    """Adds to each sample the usable routes from the previous sample's roads."""
+def with_routes(vecs: DataFrame, roads: DataFrame | RoadTiles, successors: DataFrame | None = None, p: MatchParams = MatchParams(), cost="time_priority") -> DataFrame:
+    """Adds to each sample the usable routes from the previous sample's roads, cheapest first for each pair of roads.
+
+    A pair has several where a dearer one may be needed to stay within the bound. ``roads`` may be prepared tiles.
+    """
+    tiles = roads if isinstance(roads, RoadTiles) else RoadTiles(roads, successors, cost)
     wanted = steps(vecs, p)
     # Written once: its size is checked before it is joined.
-    routes = cut(routes_between(wanted.select("src", "tgt", "bound"), roads, successors))
-    usable = wanted.withColumn("bound", F.col("bound").cast("double")).join(broadcast_if_small(routes, 300_000), ["src", "tgt", "bound"])
-    listed = usable.groupBy(*SAMPLE).agg(
-        F.collect_list(F.struct("src", "tgt", "inner_cost", "inner_length", "path")).alias("routes")
-    )
+    fronts = cut(fronts_between(wanted.select("src", "tgt", "bound"), tiles))
+    met = wanted.join(broadcast_if_small(fronts, 300_000), ["src", "tgt"]).withColumn(
+        "front", F.filter("front", lambda label: label.inner_length <= F.col("bound")))
+    each = F.transform("front", lambda label: F.struct("src", "tgt", label.inner_cost.alias("inner_cost"), label.inner_length.alias("inner_length"), label.path.alias("path")))
+    listed = met.groupBy(*SAMPLE).agg(F.flatten(F.collect_list(each)).alias("routes"))
     return vecs.join(listed, SAMPLE, "left").withColumn(
         "straight",
         F.when(F.col("prev").isNotNull(), geo.planar(F.col("prev.slon"), F.col("prev.slat"), F.col("slon"), F.col("slat"))),
@@ -93,12 +97,13 @@ def _leg(pred: dict, cand: dict, routes: dict, bound: float):
     if pred["road"] == cand["road"] and g >= f:
         cost, length, path = (g - f) * cand["cost"], (g - f) * cand["length"], [cand["road"]]
     else:
-        inner = routes.get((pred["road"], cand["road"]))
+        ends = (1 - f) * pred["length"] + g * cand["length"]
+        # In order of cost, so the first that is short enough is the cheapest.
+        inner = next((r for r in routes.get((pred["road"], cand["road"]), ()) if r[1] + ends <= bound), None)
         if inner is None:
             return None
         cost = (1 - f) * pred["cost"] + inner[0] + g * cand["cost"]
-        length = (1 - f) * pred["length"] + inner[1] + g * cand["length"]
-        path = inner[2]
+        length, path = inner[1] + ends, inner[2]
     return (cost, path) if length <= bound else None
 
 
@@ -172,8 +177,11 @@ def unpack(row) -> tuple[list[dict], dict]:
              cost=c["road_cost"], length=c["road_length"])
         for c in row.cs
     ]
-    listed = row.routes if row.routes is not None else ()
-    routes = {(r["src"], r["tgt"]): (r["inner_cost"], r["inner_length"], [int(x) for x in r["path"]]) for r in listed}
+    routes: dict[tuple, list[tuple]] = {}
+    for r in row.routes if row.routes is not None else ():
+        routes.setdefault((r["src"], r["tgt"]), []).append((r["inner_cost"], r["inner_length"], [int(x) for x in r["path"]]))
+    for front in routes.values():
+        front.sort(key=lambda label: label[0])
     return cands, routes
 
 
@@ -320,8 +328,11 @@ def transition_rows(routed: DataFrame, p: MatchParams = MatchParams()) -> DataFr
     w = Window.partitionBy(*TRACE).orderBy("utc")
     paired = routed.withColumn("before", F.lag("cs").over(w)).filter(F.col("before").isNotNull())
 
+    limit = S.search_bound((F.col("utc") - F.col("prev.utc")) * 1000, p)
+
     def leg(a, b):
-        route = F.get(F.filter("routes", lambda r: (r.src == a.road_id) & (r.tgt == b.road_id)), F.lit(0))
+        pair = F.array_sort(F.filter("routes", lambda r: (r.src == a.road_id) & (r.tgt == b.road_id)), lambda x, y: F.signum(x.inner_cost - y.inner_cost).cast("int"))
+        route = fitting(pair, limit, (1 - a.fraction) * a.road_length + b.fraction * b.road_length)
         return F.struct(
             a.road_id.alias("src"), b.road_id.alias("tgt"), a.fraction.alias("f"), b.fraction.alias("g"),
             a.road_cost.alias("cost_a"), b.road_cost.alias("cost_b"), a.road_length.alias("length_a"), b.road_length.alias("length_b"),

@@ -1,8 +1,12 @@
 """Cheapest routes between roads.
 
 A route from road ``src`` to road ``tgt`` is the cheapest chain of successors
-between them whose length stays within the bound. Costs and
-lengths kept here exclude both end roads, so that positions inside them are
+between them whose length stays within the bound. The bound counts what is
+driven: the roads in between and the pieces of the end roads, which a request
+names; without positions that is the whole target road. Since a dearer chain may
+be the only one short enough for given end pieces, a pair of roads keeps its
+front of chains, each shorter and dearer than the one before. Costs and
+lengths of a front exclude both end roads, so that positions inside them are
 applied afterwards with the linear rule of path costs.
 """
 
@@ -58,21 +62,21 @@ def reachable(roads: DataFrame, successors: DataFrame, sources: DataFrame, bound
 # -- requested pairs -------------------------------------------------------------
 
 def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Cheapest chains within their bounds for the requests of one tile, one search per source road."""
+    """Fronts of the requested pairs of one tile, one search per source road."""
     after: dict[int, list[int]] = {}
     price = dict(zip(edges["id"].tolist(), zip(edges["cost"].tolist(), edges["length_m"].tolist())))
     for road, nexts in zip(edges["id"].tolist(), edges["next"].tolist()):
         after[road] = [int(n) for n in nexts if n in price]
     rows = []
     for src, group in requests.groupby("src", sort=True):
-        wanted: dict[int, list[float]] = {}
-        for tgt, limit in zip(group["tgt"].tolist(), group["bound"].tolist()):
-            wanted.setdefault(tgt, []).append(limit)
-        bound = float(group["bound"].max())
+        # Up to which length chains count, and from which one on no end pieces of any request can make it too long.
+        wanted = {t: (most, sure) for t, most, sure in zip(group["tgt"].tolist(), group["most"].tolist(), group["sure"].tolist())}
+        fronts: dict[int, list[tuple[float, float, list[int]]]] = {}
+        bound = float(group["most"].max())
         # A label is (cost, length up to the start of its road, road, label it came from), settled in order of cost.
         labels: list[tuple[float, float, int, int]] = []
         shortest: dict[int, float] = {}
-        heap = [(0.0, 0.0, int(nxt), -1) for nxt in after.get(src, ())]
+        heap = [(0.0, 0.0, int(nxt), -1) for nxt in group["src_next"].iloc[0] if nxt in price]
         heapq.heapify(heap)
         while heap and wanted:
             cost, length, road, came = heapq.heappop(heap)
@@ -82,82 +86,100 @@ def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             shortest[road] = length
             labels.append((cost, length, road, came))
             place = len(labels) - 1
-            # Labels of a road come in order of cost, so the first that fits a bound is its cheapest route.
-            met = [limit for limit in wanted.get(road, ()) if length <= limit]
-            if met:
-                wanted[road] = [limit for limit in wanted[road] if length > limit]
-                if not wanted[road]:
-                    del wanted[road]
+            if road in wanted and length <= wanted[road][0]:
                 path, at = [], place
                 while at >= 0:
                     path.append(labels[at][2])
                     at = labels[at][3]
-                rows += [(src, road, limit, cost, length, [int(src), *path[::-1]]) for limit in met]
+                fronts.setdefault(road, []).append((cost, length, [int(src), *path[::-1]]))
+                if length <= wanted[road][1]:
+                    del wanted[road]
             own_cost, own_length = price[road]
             if length + own_length <= bound:
                 for nxt in after[road]:
                     heapq.heappush(heap, (cost + own_cost, length + own_length, nxt, place))
-    return pd.DataFrame(rows, columns=["src", "tgt", "bound", "inner_cost", "inner_length", "path"])
+        rows += [(src, tgt, [dict(zip(("inner_cost", "inner_length", "path"), label)) for label in front]) for tgt, front in fronts.items()]
+    return pd.DataFrame(rows, columns=["src", "tgt", "front"])
 
 
-def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame, cost="time_priority", sources_per_group: int = 100) -> DataFrame:
-    """Cheapest route within its bound for each requested ``(src, tgt, bound)``, one row each that has one.
+FRONT = "array<struct<inner_cost:double,inner_length:double,path:array<bigint>>>"
 
-    Requests are grouped by the map tile their source ends in, and a tile gets
-    the roads of its surroundings: a route within the bound does not leave that
-    halo, whatever its cost. Tiles come in sizes that double with the bound, and
-    a tile with many sources is split into groups of ``sources_per_group``, so
-    a group's size depends on the roads within a few bounds, not on the traffic
-    or on the slowest road. A route back to its own source road is a loop. The
-    bound counts what lies between the two roads; ends are added later.
-    """
-    priced = with_cost(roads, cost)
-    start, end = F.element_at("points", 1), F.element_at("points", -1)
-    ends = priced.select(F.col("id").alias("src"), end.lon.alias("lon"), end.lat.alias("lat"))
-    unique = requests.select("src", "tgt", F.col("bound").cast("double").alias("bound")).distinct()
-    zoom = F.greatest(F.lit(0), F.ceil(F.log2(F.col("bound") / 1000)))
-    # Degrees of longitude shrink toward the poles; the roads farthest from the equator set the width.
-    farthest = roads.agg(F.max(F.greatest(F.abs(start.lat), F.abs(end.lat)))).first()[0] or 0.0
-
-    def side(z: Column) -> Column:
+
+def fitting(front: Column, bound: Column, ends: Column) -> Column:
+    """The cheapest chain of a front that is within the bound together with the end pieces."""
+    return F.get(F.filter(front, lambda label: label.inner_length + ends <= bound), F.lit(0))
+
+
+class RoadTiles:
+    """Roads as the search reads them. Built once and stored, it serves any number of batches of requests."""
+
+    def __init__(self, roads: DataFrame, successors: DataFrame, cost="time_priority"):
+        start, end = F.element_at("points", 1), F.element_at("points", -1)
+        following = successors.groupBy("id").agg(F.collect_set("succ_id").alias("next"))
+        none = F.expr("cast(array() as array<bigint>)")
+        priced = with_cost(roads, cost).select(
+            "id", "cost", "length_m", start.lon.alias("lon"), start.lat.alias("lat"), end.lon.alias("end_lon"), end.lat.alias("end_lat"))
+        self.edges = cut(priced.join(following, "id", "left").withColumn("next", F.coalesce("next", none)))
+        # Degrees of longitude shrink toward the poles; the roads farthest from the equator set the width.
+        self.farthest = float(self.edges.agg(F.max(F.greatest(F.abs("lat"), F.abs("end_lat")))).first()[0] or 0.0)
+
+    def side(self, z: Column) -> Column:
         """Tile side in degrees of latitude: the largest bound of the zoom."""
         return F.pow(F.lit(2.0), z) * (1000 * 1.001 / METRES_PER_DEGREE)
 
-    def width(z: Column) -> Column:
-        return side(z) / F.cos(F.radians(F.least(F.lit(89.0), F.lit(float(farthest)) + side(z))))
+    def width(self, z: Column) -> Column:
+        return self.side(z) / F.cos(F.radians(F.least(F.lit(89.0), F.lit(self.farthest) + self.side(z))))
 
-    placed = unique.withColumn("zoom", zoom.cast("int")).join(ends, "src").select(
-        "src", "tgt", "bound", "zoom",
-        F.floor(F.col("lon") / width(F.col("zoom"))).alias("tx"), F.floor(F.col("lat") / side(F.col("zoom"))).alias("ty"),
-    )
-    placed = cut(placed)
-    tiles = placed.groupBy("zoom", "tx", "ty").agg(F.approx_count_distinct("src").alias("n")).select(
-        "zoom", "tx", "ty", F.ceil(F.col("n") / sources_per_group).cast("int").alias("parts")
-    )
-    tiles = cut(tiles)
-    grouped = placed.join(tiles, ["zoom", "tx", "ty"]).select(
-        "src", "tgt", "bound", "zoom", "tx", "ty", F.pmod(F.hash("src"), F.col("parts")).alias("part")
-    )
-    following = successors.groupBy("id").agg(F.collect_set("succ_id").alias("next"))
-    edges = priced.select("id", "cost", "length_m", start.lon.alias("lon"), start.lat.alias("lat")).join(following, "id", "left").select(
-        "id", "cost", "length_m", F.coalesce("next", F.expr("cast(array() as array<bigint>)")).alias("next"), "lon", "lat"
-    )
-    zooms = tiles.select("zoom").distinct()
+
+def fronts_between(requests: DataFrame, tiles: RoadTiles, sources_per_group: int = 100) -> DataFrame:
+    """``src, tgt, front`` of every pair of ``requests(src, tgt, bound)`` that has a route, whatever the end pieces.
+
+    A pair is searched once, however many requests with whatever bounds name it. Its front holds the chains in order of cost
+    up to the first that no end pieces can make longer than its smallest bound, and none longer than its largest.
+    Requests are grouped by the map tile their source ends in, and a tile gets the roads of its surroundings: a route within
+    the bound does not leave that halo, whatever its cost. Tiles come in sizes that double with the bound, and
+    a tile with many sources is split into groups of ``sources_per_group``, so
+    a group's size depends on the roads within a few bounds, not on the traffic
+    or on the slowest road. A route back to its own source road is a loop.
+    """
+    spark = requests.sparkSession
+    pairs = requests.groupBy("src", "tgt").agg(F.max("bound").cast("double").alias("most"), F.min("bound").cast("double").alias("least"))
+    source = tiles.edges.select(F.col("id").alias("src"), F.col("next").alias("src_next"), F.col("length_m").alias("_from"), F.col("end_lon").alias("lon"), F.col("end_lat").alias("lat"))
+    target = tiles.edges.select(F.col("id").alias("tgt"), F.col("length_m").alias("_to"))
+    zoom = F.greatest(F.lit(0), F.ceil(F.log2(F.col("most") / 1000)))
+    placed = cut(pairs.join(source, "src").join(target, "tgt").withColumn("zoom", zoom.cast("int")).select(
+        "src", "tgt", "most", (F.col("least") - F.col("_from") - F.col("_to")).alias("sure"), "src_next", "zoom",
+        F.floor(F.col("lon") / tiles.width(F.col("zoom"))).alias("tx"), F.floor(F.col("lat") / tiles.side(F.col("zoom"))).alias("ty")))
+    used = cut(placed.groupBy("zoom", "tx", "ty").agg(F.approx_count_distinct("src").alias("n")).select(
+        "zoom", "tx", "ty", F.ceil(F.col("n") / sources_per_group).cast("int").alias("parts")))
+    grouped = placed.join(used, ["zoom", "tx", "ty"]).withColumn("part", F.pmod(F.hash("src"), F.col("parts"))).drop("parts")
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     # Every road is offered to its tile and the eight around it, per zoom in use (at most five).
-    levels = [r[0] for r in zooms.collect()]
-    spread = edges.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in levels] or [F.lit(0)]))).withColumn("o", F.explode(offsets)).select(
+    levels = [r[0] for r in used.select("zoom").distinct().collect()]
+    spread = tiles.edges.select("id", "cost", "length_m", "next", "lon", "lat").withColumn(
+        "zoom", F.explode(F.array(*[F.lit(z) for z in levels] or [F.lit(0)]))).withColumn("o", F.explode(offsets)).select(
         "id", "cost", "length_m", "next", "zoom",
-        (F.floor(F.col("lon") / width(F.col("zoom"))) + F.col("o.i")).alias("tx"),
-        (F.floor(F.col("lat") / side(F.col("zoom"))) + F.col("o.j")).alias("ty"),
-    ).join(tiles, ["zoom", "tx", "ty"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
+        (F.floor(F.col("lon") / tiles.width(F.col("zoom"))) + F.col("o.i")).alias("tx"),
+        (F.floor(F.col("lat") / tiles.side(F.col("zoom"))) + F.col("o.j")).alias("ty"),
+    ).join(used, ["zoom", "tx", "ty"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["zoom", "tx", "ty", "part"]
-
     # A fixed number of partitions: the searches cost far more than their small inputs suggest.
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped, spread = grouped.repartition(n, *keys), spread.drop("parts").repartition(n, *keys)
-    return grouped.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
-        _search, "src bigint, tgt bigint, bound double, inner_cost double, inner_length double, path array<bigint>"
-    )
+    return grouped.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_search, f"src bigint, tgt bigint, front {FRONT}")
+
+
+def routes_between(requests: DataFrame, roads: DataFrame, successors: DataFrame, cost="time_priority", sources_per_group: int = 100) -> DataFrame:
+    """Cheapest route within its bound for each requested ``(src, tgt, bound[, ends])``, one row each that has one.
+
+    ``ends`` is the length of the pieces of both end roads that the bound counts besides the roads in between; without that
+    column it is the whole target road, as for :func:`reachable`.
+    """
+    tiles = RoadTiles(roads, successors, cost)
+    named = [c for c in ("src", "tgt", "bound", "ends") if c in requests.columns]
+    unique = requests.select(*named).withColumn("bound", F.col("bound").cast("double")).distinct()
+    if "ends" not in named:
+        unique = unique.join(roads.select(F.col("id").alias("tgt"), F.col("length_m").alias("ends")), "tgt")
+    found = unique.join(fronts_between(unique, tiles, sources_per_group), ["src", "tgt"]).withColumn(
+        "best", fitting(F.col("front"), F.col("bound"), F.col("ends")))
+    return found.filter(F.col("best").isNotNull()).select(*named, "best.*")

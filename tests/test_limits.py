@@ -51,6 +51,23 @@ def test_cheapest_route_within_the_bound(spark):
         assert far[9] == path
 
 
+def test_dearer_chain_serves_long_ends(spark):
+    """Chains of 900 m (cost 20) and 700 m (cost 25) within 1,000 m: with 180 m of ends only the second fits."""
+    schema = "id bigint, points array<struct<lon:double,lat:double>>, length_m double, maxspeed double, priority double"
+    roads = spark.createDataFrame([_road(1, 50.0, 100, 1), _road(2, 50.0, 900, 20), _road(3, 50.0, 700, 25), _road(9, 50.0, 100, 1)], schema)
+    follow = spark.createDataFrame([(1, 2), (2, 9), (1, 3), (3, 9)], "id bigint, succ_id bigint")
+    cost = lambda length, speed, priority: priority
+    wanted = spark.createDataFrame([(1, 9, 1000.0, e) for e in (0.0, 100.0, 180.0, 300.0, 301.0)], "src bigint, tgt bigint, bound double, ends double")
+    got = {r["ends"]: (r["path"], r["inner_cost"]) for r in routing.routes_between(wanted, roads, follow, cost).collect()}
+    assert got == {0.0: ([1, 2, 9], 20.0), 100.0: ([1, 2, 9], 20.0), 180.0: ([1, 3, 9], 25.0), 300.0: ([1, 3, 9], 25.0)}
+    front = routing.fronts_between(wanted, routing.RoadTiles(roads, follow, cost)).first()["front"]
+    assert [(x["inner_cost"], x["inner_length"]) for x in front] == [(20.0, 900.0), (25.0, 700.0)]
+    point = lambda road, fraction: dict(road=road, fraction=fraction, lon=0.0, lat=0.0, emission=1.0, cost=1.0, length=100.0)
+    routes = {(1, 9): [(x["inner_cost"], x["inner_length"], x["path"]) for x in front]}
+    assert matching._leg(point(1, 0.1), point(9, 0.9), routes, 1000.0) == (0.9 + 25 + 0.9, [1, 3, 9])
+    assert matching._leg(point(1, 0.9), point(9, 0.5), routes, 1000.0) == (pytest.approx(0.1 + 20 + 0.5), [1, 2, 9])
+
+
 @pytest.mark.parametrize("change", ["north", "slow"])
 def test_routes_far_north_and_with_a_slow_road(spark, change):
     f = Fixtures(spark, SF_DIR)
@@ -61,8 +78,8 @@ def test_routes_far_north_and_with_a_slow_road(spark, change):
     else:
         roads = roads.withColumn("maxspeed", F.when(F.col("id") == 6, 0.01).otherwise(F.col("maxspeed")))
     full = routing.reachable(roads, follow, roads.select(F.col("id").alias("src")), 700.0)
-    price = routing.with_cost(roads).select(F.col("id").alias("tgt"), F.col("cost").alias("own"), F.col("length_m").alias("last"))
-    wanted = full.select("src", "tgt").join(price, "tgt").select("src", "tgt", (F.lit(700.0) - F.col("last")).alias("bound"))
+    price = routing.with_cost(roads).select(F.col("id").alias("tgt"), F.col("cost").alias("own"))
+    wanted = full.select("src", "tgt", F.lit(700.0).alias("bound"))
     got = routing.routes_between(wanted, roads, follow, sources_per_group=20)
     both = full.join(got, ["src", "tgt"], "full").join(price, "tgt")
     assert both.filter("inner_cost IS NULL OR cost IS NULL OR abs(inner_cost + own - cost) > 1e-6").count() == 0
