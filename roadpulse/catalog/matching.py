@@ -206,6 +206,81 @@ def _(f):
     return M.decode_traces(routed).select("suid", "utc", "road_id")
 
 
+# A user's own model: near roads are likely, staying on one is more so, and a gap over ten minutes cuts the chain.
+OWN_STATES = """
+  SELECT s.suid, s.utc // 86400 AS day, s.utc, c.base_gid AS state, c.fraction, 1 / (1 + c.dist) AS emission
+  FROM closest c JOIN samples s ON s.event_id = c.event_id WHERE c.dist < 100"""
+OWN_MOVES = """
+  SELECT a.suid, a.day, a.utc, b.state AS src, a.state AS tgt,
+    CASE WHEN a.state = b.state THEN 0.9e0 ELSE 0.1e0 / (1 + abs(a.fraction - b.fraction)) END AS transition
+  FROM (SELECT DISTINCT suid, day, utc, lag(utc) OVER (PARTITION BY suid, day ORDER BY utc) AS pre FROM (SELECT DISTINCT suid, day, utc FROM own_states)) o
+  JOIN own_states a ON a.suid = o.suid AND a.utc = o.utc JOIN own_states b ON b.suid = o.suid AND b.utc = o.pre
+  WHERE o.utc - o.pre <= 600"""
+VECTORS = """
+  SELECT s.suid, s.day, s.utc, row_number() OVER (PARTITION BY s.suid, s.day ORDER BY s.utc) AS n, s.states, coalesce(m.moves, []) AS moves FROM (
+    SELECT suid, day, utc, list({'state': state, 'emission': emission} ORDER BY state) AS states FROM own_states GROUP BY ALL) s
+  LEFT JOIN (SELECT suid, utc, list({'src': src, 'tgt': tgt, 't': transition} ORDER BY src) AS moves FROM own_moves GROUP BY ALL) m ON m.suid = s.suid AND m.utc = s.utc"""
+STARTED = "list_transform(states, lambda s: {'state': s.state, 'filt': s.emission, 'seq': log10(s.emission), 'pred': NULL::BIGINT})"
+WAY = "list_filter(moves, lambda m: m.tgt = s.state AND len(list_filter(vec, lambda v: v.state = m.src)) > 0)"
+HELD = "list_filter(vec, lambda v: v.state = m.src)[1]"
+REACHED = f"""list_transform(list_filter(states, lambda s: len({WAY}) > 0), lambda s: {{'state': s.state,
+    'filt': s.emission * list_sum(list_transform({WAY}, lambda m: m.t * {HELD}.filt)),
+    'best': list_max(list_transform({WAY}, lambda m: {{'seq': {HELD}.seq + log10(m.t) + log10(s.emission), 'src': -m.src}}))}})"""
+FORWARD = f"""
+  SELECT suid, day, utc, n, {STARTED} AS vec, false AS broke FROM vectors WHERE n = 1
+  UNION ALL
+  SELECT suid, day, utc, n, list_transform(new, lambda x: {{'state': x.state, 'filt': x.filt / list_sum(list_transform(new, lambda y: y.filt)), 'seq': x.seq, 'pred': x.pred}}), broke FROM (
+    SELECT v.suid, v.day, v.utc, v.n, len({REACHED}) = 0 AS broke, CASE WHEN len({REACHED}) = 0 THEN {STARTED} ELSE
+      list_transform({REACHED}, lambda x: {{'state': x.state, 'filt': x.filt, 'seq': x.best.seq, 'pred': -x.best.src}}) END AS new
+    FROM forward f JOIN vectors v ON v.suid = f.suid AND v.day = f.day AND v.n = f.n + 1)"""
+TOP = "list_max(list_transform(f.vec, lambda v: {'seq': v.seq, 'state': -v.state}))"
+BACK = f"""
+  SELECT f.suid, f.day, f.n, -({TOP}).state AS state FROM forward f JOIN (SELECT suid, day, max(n) AS n FROM forward GROUP BY ALL) USING (suid, day, n)
+  UNION ALL
+  SELECT f.suid, f.day, f.n, coalesce(list_filter(g.vec, lambda v: v.state = b.state)[1].pred, -({TOP}).state)
+  FROM back b JOIN forward g ON g.suid = b.suid AND g.day = b.day AND g.n = b.n JOIN forward f ON f.suid = b.suid AND f.day = b.day AND f.n = b.n - 1"""
+WEIGHED = """SELECT *, list_filter(vec, lambda v: v.state = state)[1] AS own, list_sum(list_transform(vec, lambda v: v.filt)) AS total
+  FROM back JOIN forward USING (suid, day, n)"""
+
+
+def own_tables(f: Fixtures):
+    """Emissions and transitions of the model above."""
+    from pyspark.sql import Window
+
+    from roadpulse.operators import spatial as SP
+
+    day = F.floor(F.col("utc") / 86400).alias("day")
+    found = SP.base_radius(f.samples(), SP.road_segments(f.base_roads()), 100.0, ["suid", "utc"]).select(
+        "suid", day, "utc", F.col("base_gid").alias("state"), "fraction", (1 / (1 + F.col("dist"))).alias("emission"))
+    # A vehicle's day of thinned samples.
+    order = found.select("suid", "day", "utc").distinct().withColumn("pre", F.lag("utc").over(Window.partitionBy("suid", "day").orderBy("utc")))
+    before = found.select("suid", F.col("utc").alias("pre"), F.col("state").alias("src"), F.col("fraction").alias("f"))
+    joined = order.filter(F.col("utc") - F.col("pre") <= 600).join(found, ["suid", "day", "utc"]).join(before, ["suid", "pre"])
+    change = 0.1 / (1 + F.abs(F.col("fraction") - F.col("f")))
+    moves = joined.select("suid", "day", "utc", "src", F.col("state").alias("tgt"), F.when(F.col("src") == F.col("state"), 0.9).otherwise(change).alias("transition"))
+    return found.select("suid", "day", "utc", "state", "emission"), moves
+
+
+@query("X5_own_tables", sql("""
+    SELECT suid, utc, state, round(own.filt / total, 6) AS filt, round(own.seq, 6) AS seq, broke FROM weighed""",
+    "samples", "base_roads", **LOCAL, own_states=OWN_STATES, own_moves=OWN_MOVES, vectors=VECTORS, forward=FORWARD, back=BACK, weighed=WEIGHED))
+def _(f):
+    """Decoding with own states, emissions and transitions, in chunks of four hours."""
+    from roadpulse.operators import model
+
+    found = model.decode(*own_tables(f), ["suid", "day"], "utc", F.floor(F.col("utc") / 14400))
+    return found.select("suid", "utc", "state", F.round("filt", 6).alias("filt"), F.round("seq", 6).alias("seq"), "broke")
+
+
+@query("X5_tables_from_matcher")
+def _(f):
+    """The matcher's own emissions and transitions, decoded as tables."""
+    from roadpulse.operators import model
+
+    found = model.decode(*M.model_tables(f.routed()), M.TRACE, "utc", F.floor(F.col("utc") / 14400))
+    return found.select("suid", "utc", F.col("state").alias("road_id"), F.round("seq", 6).alias("seq"), "broke")
+
+
 # -- quality ----------------------------------------------------------------------
 
 SEQS = """

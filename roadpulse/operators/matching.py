@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from roadpulse.functions import geo
 from roadpulse.functions import scalar as S
 from roadpulse.operators import spatial
-from roadpulse.operators.roads import with_cost
 from roadpulse.operators.routing import RoadTiles, fitting, fronts_between
 from roadpulse.params import MatchParams
 from roadpulse.plans.lineage import cut
@@ -26,13 +25,26 @@ SAMPLE = ["suid", "date", "utc", "slon", "slat"]
 TRACE = ["suid", "date"]
 
 
+class MatchMap:
+    """What matching reads of the roads, prepared once for any number of batches of samples."""
+
+    def __init__(self, base: DataFrame, roads: DataFrame, successors: DataFrame, p: MatchParams = MatchParams()):
+        self.cells = spatial.RoadCells(spatial.road_segments(base), p.radius)
+        self.tiles = RoadTiles(roads, successors)
+        edges = self.tiles.edges
+        self.prices = broadcast_if_small(edges.select(F.col("id").alias("road_id"), F.col("cost").alias("road_cost"), F.col("length_m").alias("road_length")))
+        self.following = broadcast_if_small(edges.filter(F.size("next") > 0).select("id", "next"))
+
+    def candidates(self, samples: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+        """Reduced candidates of each sample with emission, road cost and length."""
+        named = samples.select("suid", "date", "utc", F.col("lon").alias("slon"), F.col("lat").alias("slat"), "lon", "lat")
+        kept = spatial.minimise(spatial.radius_candidates(named, self.cells, p.radius, SAMPLE), self.following, SAMPLE)
+        return kept.join(self.prices, "road_id").withColumn("emission", S.emission(F.col("dist"), p))
+
+
 def candidates(samples: DataFrame, base: DataFrame, roads: DataFrame, successors: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Reduced candidates of each sample with emission, road cost and length."""
-    named = samples.select("suid", "date", "utc", F.col("lon").alias("slon"), F.col("lat").alias("slat"), "lon", "lat")
-    found = spatial.radius_candidates(named, base, p.radius, SAMPLE)
-    kept = spatial.minimise(found, successors, SAMPLE)
-    prices = with_cost(roads).select(F.col("id").alias("road_id"), F.col("cost").alias("road_cost"), F.col("length_m").alias("road_length"))
-    return kept.join(broadcast_if_small(prices), "road_id").withColumn("emission", S.emission(F.col("dist"), p))
+    return MatchMap(base, roads, successors, p).candidates(samples, p)
 
 
 def vectors(cands: DataFrame) -> DataFrame:
@@ -111,14 +123,8 @@ def _log10(value: float) -> float:
     return math.log10(value) if value > 0 else -math.inf
 
 
-def advance(before: list[dict], seconds: float | None, straight: float | None, sample: tuple[float, float], cands: list[dict], routes: dict, p: MatchParams) -> tuple[list[dict], bool]:
-    """One step of the filter: surviving candidates of a sample and whether the chain broke.
-
-    A candidate that would move backwards on the road of a predecessor takes the
-    predecessor's point. Every survivor carries its filter probability, the log
-    probability of the best sequence, the index of its predecessor and the roads
-    in between.
-    """
+def held_points(before: list[dict], sample: tuple[float, float], cands: list[dict], p: MatchParams) -> list[dict]:
+    """Candidates, where one that would move backwards on the road of a predecessor takes the predecessor's point."""
     held = {c["road"]: c for c in before}
     points = []
     for c in cands:
@@ -127,26 +133,42 @@ def advance(before: list[dict], seconds: float | None, straight: float | None, s
             dist = _flat_distance(sample[0], sample[1], old["lon"], old["lat"])
             c = {**c, "fraction": old["fraction"], "lon": old["lon"], "lat": old["lat"], "emission": _emission(dist, p)}
         points.append(c)
+    return points
+
+
+def move(pred: dict, c: dict, seconds: float, straight: float, routes: dict, p: MatchParams) -> tuple[float, list] | None:
+    """Transition probability between two points and the roads in between, if there is a way within the bound."""
+    leg = _leg(pred, c, routes, max(p.min_bound, min(p.max_distance, math.floor(seconds) * p.bound_speed)))
+    if leg is None:
+        return None
+    beta = 1 / p.lam if p.lam else 2.0 * max(1.0, seconds * 1000) / 1000
+    trans = math.exp(-max(0.0, leg[0] - straight / 60) / beta) / beta
+    return (trans, leg[1]) if trans > 0 else None
+
+
+def advance(before: list[dict], seconds: float | None, straight: float | None, sample: tuple[float, float], cands: list[dict], routes: dict, p: MatchParams) -> tuple[list[dict], bool]:
+    """One step of the filter: surviving candidates of a sample and whether the chain broke.
+
+    A candidate that would move backwards on the road of a predecessor takes the
+    predecessor's point. Every survivor carries its filter probability, the log
+    probability of the best sequence, the index of its predecessor and the roads
+    in between.
+    """
+    points = held_points(before, sample, cands, p)
     result = []
-    if before:
-        ms = seconds * 1000
-        bound = max(p.min_bound, min(p.max_distance, math.floor(seconds) * p.bound_speed))
-        beta = 1 / p.lam if p.lam else 2.0 * max(1.0, ms) / 1000
-        for c in points:
-            total, best = 0.0, None
-            for i, pred in enumerate(before):
-                leg = _leg(pred, c, routes, bound)
-                if leg is None:
-                    continue
-                trans = math.exp(-max(0.0, leg[0] - straight / 60) / beta) / beta
-                if trans == 0:
-                    continue
-                total += trans * pred["filt"]
-                seq = pred["seq"] + math.log10(trans) + _log10(c["emission"])
-                if best is None or seq > best[0]:
-                    best = (seq, i, leg[1])
-            if total * c["emission"] > 0:
-                result.append({**c, "filt": total * c["emission"], "seq": best[0], "pred": best[1], "path": best[2]})
+    for c in points if before else ():
+        total, best = 0.0, None
+        for i, pred in enumerate(before):
+            step = move(pred, c, seconds, straight, routes, p)
+            if step is None:
+                continue
+            trans, path = step
+            total += trans * pred["filt"]
+            seq = pred["seq"] + math.log10(trans) + _log10(c["emission"])
+            if best is None or seq > best[0]:
+                best = (seq, i, path)
+        if total * c["emission"] > 0:
+            result.append({**c, "filt": total * c["emission"], "seq": best[0], "pred": best[1], "path": best[2]})
     broke = bool(before) and bool(points) and not result
     if not result:
         result = [
@@ -225,6 +247,33 @@ def decode_traces(routed: DataFrame, p: MatchParams = MatchParams()) -> DataFram
     return routed.repartition(n, *TRACE).groupBy(*TRACE).applyInPandas(walk, MATCH_SCHEMA)
 
 
+def model_tables(routed: DataFrame, p: MatchParams = MatchParams()) -> tuple[DataFrame, DataFrame]:
+    """The matcher's own model as tables for ``model.decode``: emissions of the points, transitions between those that survive."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, before, last = [], [], None
+        for row in pdf.sort_values("utc").itertuples(index=False):
+            cands, routes = unpack(row)
+            seconds, sample = None if last is None else float(row.utc - last), (row.slon, row.slat)
+            vector, _ = advance(before, seconds, row.straight, sample, cands, routes, p)
+            if vector:
+                for c in held_points(before, sample, cands, p):
+                    out.append((row.suid, row.date, row.utc, None, c["road"], c["emission"]))
+                    for pred in before:
+                        step = move(pred, c, seconds, row.straight, routes, p)
+                        if step:
+                            out.append((row.suid, row.date, row.utc, pred["road"], c["road"], step[0]))
+                before, last = vector, row.utc
+        found = pd.DataFrame(out, columns=["suid", "date", "utc", "src", "tgt", "value"])
+        found["src"] = found["src"].astype("Int64")
+        return found
+
+    n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(routed.repartition(n, *TRACE).groupBy(*TRACE).applyInPandas(walk, "suid bigint, date string, utc bigint, src bigint, tgt bigint, value double"))
+    states = rows.filter("src IS NULL").select(*TRACE, "utc", F.col("tgt").alias("state"), F.col("value").alias("emission"))
+    return states, rows.filter("src IS NOT NULL").select(*TRACE, "utc", "src", "tgt", F.col("value").alias("transition"))
+
+
 def thin_vectors(vecs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Offline thinning against the last sample kept in the state.
 
@@ -248,8 +297,9 @@ def thin_vectors(vecs: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
 
 def match_traces(samples: DataFrame, base: DataFrame, roads: DataFrame, successors: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """Offline matching of whole traces."""
-    vecs = thin_vectors(vectors(candidates(samples, base, roads, successors, p)), p)
-    return decode_traces(with_routes(with_predecessor(vecs), roads, successors, p), p)
+    ways = MatchMap(base, roads, successors, p)
+    vecs = thin_vectors(vectors(ways.candidates(samples, p)), p)
+    return decode_traces(with_routes(with_predecessor(vecs), ways.tiles, p=p), p)
 
 
 # -- online ------------------------------------------------------------------------

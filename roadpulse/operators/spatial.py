@@ -45,19 +45,33 @@ def _cell(lon: str, lat: str, size: float) -> list[Column]:
     return [F.floor(F.col(lon) / size).alias("cx"), F.floor(F.col(lat) / size).alias("cy")]
 
 
-def base_radius(samples: DataFrame, segments: DataFrame, radius: float, keys: list[str], metric: str = "planar") -> DataFrame:
-    """Closest point of every road nearer than ``radius`` to each sample.
+class RoadCells:
+    """The cells that roads widened by a radius touch. Built once and stored, they serve any number of joins.
+
+    A cell lists each road once with its legs there; a road has few legs in a cell. Metrics differ by under one percent, so
+    that much more is covered.
+    """
+
+    def __init__(self, segments: DataFrame, radius: float):
+        self.radius, self.size = radius, cell_size(radius)
+        legs = F.collect_list(F.struct("leg", "lon1", "lat1", "lon2", "lat2", "before", "leg_length"))
+        covered = cut(_cover(segments, radius * 1.01, self.size).groupBy("cx", "cy", "base_gid", "oneway", "length_m").agg(legs.alias("legs")))
+        # Stored, so that its size is checked once.
+        self.covered = broadcast_if_small(covered)
+
+
+def base_radius(samples: DataFrame, segments: DataFrame | RoadCells, radius: float, keys: list[str], metric: str = "planar") -> DataFrame:
+    """Closest point of every road nearer than ``radius`` to each sample; ``segments`` may be cells made for that radius.
 
     The closest point of a leg is found on the plane; its distance is that of ``metric`` ("planar" or "haversine").
 
     A cell lists each road once with its legs there, so the closest leg is found inside the joined row: candidates are
     neither sorted nor shuffled.
     """
-    size = cell_size(radius)
-    legs = F.collect_list(F.struct("leg", "lon1", "lat1", "lon2", "lat2", "before", "leg_length"))
-    # Stored: its size is checked before it is joined. A road has few legs in a cell.
-    # Metrics differ by under one percent, so that much more is covered.
-    covered = broadcast_if_small(cut(_cover(segments, radius * 1.01, size).groupBy("cx", "cy", "base_gid", "oneway", "length_m").agg(legs.alias("legs"))))
+    cells = segments if isinstance(segments, RoadCells) else RoadCells(segments, radius)
+    if cells.radius != radius:
+        raise ValueError(f"cells are made for {cells.radius} m, not {radius} m")
+    covered, size = cells.covered, cells.size
     # Dealt by sample before the join: its candidates then lie together, and groupings by sample need no exchange.
     points = samples.select(*keys, "lon", "lat", *_cell("lon", "lat", size)).repartition(*keys)
     kx, ky = geo.metres_per_degree(F.col("lat"))
@@ -94,8 +108,8 @@ def both_directions(found: DataFrame) -> DataFrame:
     )
 
 
-def radius_candidates(samples: DataFrame, base: DataFrame, radius: float, keys: list[str], metric: str = "planar") -> DataFrame:
-    return both_directions(base_radius(samples, road_segments(base), radius, keys, metric))
+def radius_candidates(samples: DataFrame, base: DataFrame | RoadCells, radius: float, keys: list[str], metric: str = "planar") -> DataFrame:
+    return both_directions(base_radius(samples, base if isinstance(base, RoadCells) else road_segments(base), radius, keys, metric))
 
 
 def _widening(samples: DataFrame, base: DataFrame, keys: list[str], enough, metric: str, radius: float = 100.0) -> DataFrame:
@@ -155,11 +169,12 @@ def minimise(candidates: DataFrame, successors: DataFrame, keys: list[str]) -> D
 
     A candidate at the very start of a road goes when a road leading to it is a
     candidate too. A candidate at the very end goes when all roads after it are
-    candidates that are not at their start.
+    candidates that are not at their start. ``successors`` has a row a step, or an array ``next`` a road.
     """
-    following = successors.groupBy("id").agg(F.collect_set("succ_id").alias("next"))
+    if "next" not in successors.columns:
+        successors = broadcast_if_small(successors.groupBy("id").agg(F.collect_set("succ_id").alias("next")))
     rest = [c for c in candidates.columns if c not in keys]
-    listed = candidates.join(broadcast_if_small(following), candidates.road_id == following.id, "left").select(
+    listed = candidates.join(successors, candidates.road_id == successors.id, "left").select(
         *candidates.columns, F.coalesce("next", F.expr("cast(array() as array<bigint>)")).alias("next")
     )
     grouped = listed.groupBy(*keys).agg(F.collect_list(F.struct(*rest, "next")).alias("cs"))
