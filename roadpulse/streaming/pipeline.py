@@ -21,6 +21,7 @@ from roadpulse.operators import traffic as TR
 from roadpulse.params import MatchParams, TrafficParams
 from roadpulse.plans import clamped
 from roadpulse.plans.lineage import cut
+from roadpulse.session import ship
 from roadpulse.streaming.processors import (
     CONVERGED_SCHEMA, PREVIOUS_SCHEMA, MatchProcessor, PreviousProcessor, ThinProcessor,
 )
@@ -87,7 +88,14 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 def keyed_state(df: DataFrame, processor, schema, ttl_ms: int | None = None) -> DataFrame:
     """State per vehicle; the state store has to be RocksDB for this operator."""
-    df.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    spark = df.sparkSession
+    spark.conf.set(_PROVIDER, _ROCKS)
+    ship(spark)
+    # The state's worker beside the driver reads no shipped files; it finds the package by its path.
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     mode = "ProcessingTime" if ttl_ms else "None"
     return df.groupBy("suid").transformWithStateInPandas(processor, schema, "Append", mode)
 
@@ -97,14 +105,19 @@ def thin_stream(samples: DataFrame, p: TrafficParams = TrafficParams(), ttl_ms:
     return keyed_state(samples, ThinProcessor(samples.columns, p, ttl_ms), samples.schema, ttl_ms)
 
 
-def candidates_stage(thinned: DataFrame, base: DataFrame, roads: DataFrame, succ: DataFrame, path: str, p: MatchParams = MatchParams()):
+#: Files that a stage hands over per batch.
+HANDED_FILES = 8
+
+
+def candidates_stage(thinned: DataFrame, ways: M.MatchMap, path: str, p: MatchParams = MatchParams()):
     """Writer that stores the candidates of every batch of thinned samples."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        vecs = M.vectors(M.candidates(batch, base, roads, succ, p))
+        # Written first, because the state must be read once per batch.
+        vecs = M.vectors(ways.candidates(cut(batch), p))
         listed = vecs.select("*", F.transform("cs", lambda c: c.road_id).alias("roads"), F.to_json("cs").alias("cs_json")).drop("cs")
         # A vehicle's rows of a batch go to one file: the next stage may take the files in several batches of its own.
-        write_batch(listed.repartition("suid"), path, batch_id)
+        write_batch(listed.repartition(HANDED_FILES, "suid"), path, batch_id)
 
     return thinned.writeStream.foreachBatch(each)
 
@@ -113,7 +126,7 @@ VECTOR_SCHEMA = "suid bigint, date string, utc bigint, slon double, slat double,
 CS_SCHEMA = "array<struct<road_id:bigint,fraction:double,lon:double,lat:double,dist:double,emission:double,road_cost:double,road_length:double>>"
 
 
-def routes_stage(vecs: DataFrame, roads: DataFrame, succ: DataFrame, path: str, p: MatchParams = MatchParams(), ttl_ms: int | None = None):
+def routes_stage(vecs: DataFrame, ways: M.MatchMap, path: str, p: MatchParams = MatchParams(), ttl_ms: int | None = None):
     """Writer that finds the routes from each vehicle's previous sample."""
     paired = keyed_state(vecs, PreviousProcessor(ttl_ms), PREVIOUS_SCHEMA, ttl_ms)
 
@@ -123,7 +136,7 @@ def routes_stage(vecs: DataFrame, roads: DataFrame, succ: DataFrame, path: str,
         # Written first, because the state must be read once per batch.
         kept = cut(batch.select(
             *M.SAMPLE, F.from_json("cs_json", CS_SCHEMA).alias("cs"), F.when(F.col("pre_utc").isNotNull(), prev).alias("prev")))
-        write_batch(M.with_routes(kept, roads, succ, p).repartition("suid"), path, batch_id)
+        write_batch(M.with_routes(kept, ways.tiles, p=p).repartition(HANDED_FILES, "suid"), path, batch_id)
 
     return paired.writeStream.foreachBatch(each)
 
@@ -154,16 +167,18 @@ def match_online(
     With an ``interval`` all three run at once, each taking what the one before it has written; the running queries are
     returned. Without one, the available stream is drained stage by stage and the converged points are returned. State is
     carried over the micro-batches of every stage, so the points do not depend on how the input is cut into batches.
+    What is read of the roads is prepared once, before the first batch.
     """
     spark = samples.sparkSession
+    ways = M.MatchMap(base, roads, succ, p)
     folder = lambda name: os.path.join(root, name)
     path = spark._jvm.org.apache.hadoop.fs.Path
     for name in ("vectors", "routed"):  # a stage may start before the one before it has written
         made = path(folder(name))
         made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
     stages = [
-        (lambda: candidates_stage(thin_stream(samples), base, roads, succ, folder("vectors"), p), "state-thin"),
-        (lambda: routes_stage(read_batches(spark, folder("vectors"), VECTOR_SCHEMA, files), roads, succ, folder("routed"), p), "state-routes"),
+        (lambda: candidates_stage(thin_stream(samples), ways, folder("vectors"), p), "state-thin"),
+        (lambda: routes_stage(read_batches(spark, folder("vectors"), VECTOR_SCHEMA, files), ways, folder("routed"), p), "state-routes"),
         (lambda: match_stream(read_batches(spark, folder("routed"), ROUTED_SCHEMA, files), p).writeStream.format("parquet").option(
             "path", folder("matched")), "state-match"),
     ]
