@@ -66,14 +66,38 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def with_flag(left: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """Adds ``_flag``: whether ``key`` is in ``ids``, which holds it once and never null.
+#: Bits of a filter of ids: its size is the same whatever the number of ids, 16 MB. Beyond some ten million ids more rows pass it.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4
 
-    Up to ``most`` ids are sent to every task; more of them are shuffled with the rows.
+
+def _places(key: Column) -> list[Column]:
+    """Bits that stand for a key."""
+    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]
+
+
+def id_filter(ids: DataFrame, key: str) -> Column:
+    """Whether ``key`` may be among ``ids``: true for all that are, and for few others. Null is not.
+
+    The bits are set in tasks and joined in pieces of 4 KB, so the driver gets 16 MB at most, whatever the number of ids.
     """
-    marked = ids.withColumn("_flag", F.lit(True))
-    few = ids.limit(most + 1).count() <= most
-    return left.join(F.broadcast(marked) if few else marked, key, "left").withColumn("_flag", F.coalesce("_flag", F.lit(False)))
+    # Spark counts bits and pieces from 1.
+    spots = ids.where(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key)))).alias("_bit")).select((F.col("_bit") + 1).alias("_bit"))
+    pieces = spots.groupBy(F.bitmap_bucket_number("_bit").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    size = 4096
+    bits = bytearray(FILTER_BITS // 8)
+    for row in pieces.collect():
+        bits[(row["_piece"] - 1) * size : row["_piece"] * size] = row["_bits"]
+    held = ids.sparkSession.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
+
+    @F.arrow_udf("boolean")
+    def maybe(*places: pa.Array) -> pa.Array:
+        out = np.ones(len(places[0]), bool)
+        for place in places:
+            at = place.to_numpy(zero_copy_only=False)
+            out &= held.value[at // 8] >> (at % 8).astype(np.uint8) & 1 == 1
+        return pa.array(out)
+
+    return F.col(key).isNotNull() & maybe(*_places(F.col(key)))
 
 
 def allowed_labels(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, where: Column) -> DataFrame:

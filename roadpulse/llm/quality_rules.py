@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import as_bytes, parts, ragged, with_flag
+from roadpulse.llm.common import as_bytes, id_filter, parts, ragged, stored
 
 #: Buckets of unigrams and bigrams.
 BITS = 16
 #: Added to every bucket's count in both multinomials.
 SMOOTHING = 1.0
-#: Cut of the mean log-likelihood ratio per n-gram with fewer than LEAST_LABELLED documents of a label; else labels set it.
-THRESHOLD, LEAST_LABELLED = -0.5, 20
+#: Cut of the mean log-likelihood ratio per n-gram that labels start from, and the documents of each label that stand for it.
+THRESHOLD, PRIOR = -0.5, 20
 #: Scores are counted in steps of this size to find the cut.
 STEP = 1 / 512
 LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
@@ -87,19 +87,18 @@ def _base(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function: counts of each bucket over all texts and over the trusted ones, one row a bucket and task."""
-    raw, trusted = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    """Task function: counts of each bucket, one row a bucket and task."""
+    total = np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        flags = np.asarray(batch.column("_flag").to_pylist(), bool)
-        done = 0
         for texts in parts(batch.column("_text")):
             hashes, counts = _hashed(texts)
-            grams, rows = _buckets(hashes, ragged(counts))
-            raw += np.bincount(grams, minlength=len(raw))
-            trusted += np.bincount(grams[flags[done : done + len(texts)][rows]], minlength=len(raw))
-            done += len(texts)
-    used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(trusted[used])], names=["bucket", "raw", "trusted"])
+            total += np.bincount(_buckets(hashes, ragged(counts))[0], minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+
+def _trusted(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
@@ -107,18 +106,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return _ratios(bucket_counts(docs, labels, text, doc_id))
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+def bucket_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", maybe: Column | None = None) -> np.ndarray:
     """Counts of each bucket in raw and in trusted text. Raw counts cover all documents, trusted ones all with quality 1.
 
     Tasks add up before they shuffle, so a task sends one row a bucket. The driver gets one row a bucket, 2 ** BITS at most.
+    Only texts that pass the filter of trusted ids (``maybe``, made here by default) go on to meet those ids.
     Without trusted documents all ratios are 0 and the method rejects nothing.
     """
-    trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    marked = with_flag(docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("_text")), trusted, "_id").select("_text", "_flag")
-    sums = marked.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    ids = _trusted(labels)
+    body = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("_text"))
+    # Hashed at every size, so that shuffles grow as the trusted texts do.
+    good = body.where(id_filter(ids, "_id") if maybe is None else maybe).join(ids.hint("shuffle_hash"), "_id", "left_semi")
     counts = np.zeros((2, 1 << BITS))
-    for row in sums.collect():
-        counts[:, row["bucket"]] = row["raw"], row["trusted"]
+    for i, texts in enumerate((body, good)):
+        for row in texts.select("_text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            counts[i, row["bucket"]] = row["n"]
     return counts
 
 
@@ -129,81 +131,71 @@ def _ratios(counts: np.ndarray) -> np.ndarray:
     return np.log(shares[1] / shares[0])
 
 
-def _unseen(counts: np.ndarray, grams: np.ndarray, trusted: bool) -> float:
-    """Score of a text as if it were not among the trusted ones."""
-    if not len(grams):
+def _unseen(counts: np.ndarray, grams: np.ndarray) -> float:
+    """Score of a trusted text as if it were not among the trusted ones."""
+    of = counts[1].sum() - len(grams)
+    if not len(grams) or of <= 0:
         return 0.0
     at, own = np.unique(grams, return_counts=True)
-    good = counts[1][at] - (own if trusted else 0)
-    of = counts[1].sum() - (len(grams) if trusted else 0)
-    if not of:
-        return 0.0
     size = SMOOTHING * counts.shape[1]
-    ratio = np.log((good + SMOOTHING) / (of + size)) - np.log((counts[0][at] + SMOOTHING) / (counts[0].sum() + size))
+    ratio = np.log((counts[1][at] - own + SMOOTHING) / (of + size)) - np.log((counts[0][at] + SMOOTHING) / (counts[0].sum() + size))
     return float((ratio * own).sum() / len(grams))
 
 
-def _labelled_scores(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Task function: label and step of the score of every text that passes the base rules."""
-        table = counts.value
-        for batch in batches:
-            flags, done = batch.column("_quality").to_pylist(), 0
-            out = []
-            for texts in parts(batch.column("_text")):
-                base, hashes, rows = _base(texts)
-                cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
-                for i in range(len(texts)):
-                    if base[0][i] >= LEAST_WORDS and 100 * base[4][i] <= MOST_REPEATED_PERCENT * base[0][i]:
-                        words = hashes[cuts[i] : cuts[i + 1]]
-                        grams = _buckets(words, np.zeros(len(words), np.int64))[0]
-                        out.append((flags[done + i], int(np.floor(_unseen(table, grams, flags[done + i] == 1) / STEP))))
-                done += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([s for _, s in out], pa.int64())], names=["quality", "step"])
-
-    return run
-
-
-def find_cut(docs: DataFrame, labels: DataFrame, counts, text: str = "text", doc_id: str = "doc_id") -> float:
+def find_cut(judged: DataFrame, labels: DataFrame) -> float:
     """The score that tells quality 1 from quality 0 best: the largest sum of the share of 1 kept and that of 0 rejected.
 
-    Every labelled document that passes the base rules counts, scored as if it were not trusted, which is how unlabelled
-    text is scored. An id with both labels counts as 1. Of equal cuts the lowest is taken. ``counts`` is a broadcast array.
+    ``judged`` has ``doc_id, base_failed, score, unseen``. Every labelled document that passes the base rules counts, scored
+    as if it were not trusted, which is how unlabelled text is scored. An id with both labels counts as 1. PRIOR documents of
+    each label are added on either side of THRESHOLD, so with few labels the cut stays there and with many it follows them.
+    Of equal cuts the lowest is taken.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("_quality"))
-    body = docs.select(F.col(doc_id).alias("_id"), as_bytes(text).alias("_text"))
-    found = body.join(known, "_id").select("_quality", "_text").mapInArrow(_labelled_scores(counts), "quality int, step long")
-    tally: dict[int, list[int]] = {}
-    for row in found.groupBy("quality", "step").count().collect():  # steps of a mean log ratio, some ten thousand at most
-        tally.setdefault(row["step"], [0, 0])[row["quality"]] = row["count"]
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
+    seen = judged.where(~F.col("base_failed")).join(known, "doc_id").select(
+        "_quality", F.floor(F.when(F.col("_quality") == 1, F.col("unseen")).otherwise(F.col("score")) / STEP).alias("_step"))
+    start = int(np.floor(THRESHOLD / STEP))
+    tally: dict[int, list[int]] = {start - 1: [PRIOR, 0], start: [0, PRIOR]}
+    for row in seen.groupBy("_quality", "_step").count().collect():  # steps of a mean log ratio, some ten thousand at most
+        tally.setdefault(row["_step"], [0, 0])[row["_quality"]] += row["count"]
+    return best_step(tally) * STEP
+
+
+def best_step(tally: dict[int, list[int]]) -> int:
+    """The step with the largest share of label 0 below less that of label 1, the lowest of equal ones, from counts of both by step."""
     bad, good = (sum(t[q] for t in tally.values()) for q in (0, 1))
-    if min(bad, good) < LEAST_LABELLED:
-        return THRESHOLD
     best, cut, rejected, lost = 0.0, min(tally), 0, 0
     for step in sorted(tally):
         gain = rejected / bad - lost / good
         if gain > best:
             best, cut = gain, step
         rejected, lost = rejected + tally[step][0], lost + tally[step][1]
-    return cut * STEP
+    return cut
 
 
-def rules(text: str | Column, ratios, threshold: float = THRESHOLD) -> Column:
-    """Struct of the base columns, ``score``, ``base_failed`` and ``kept`` of a text. ``ratios`` is a broadcast array."""
+def rules(text: str | Column, maybe: Column, counts) -> Column:
+    """Struct of the base columns, ``score`` and, where ``maybe`` holds, ``unseen`` of a text. ``counts`` is a broadcast array."""
 
-    @F.arrow_udf("struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,score:double>")
-    def judged(texts: pa.Array) -> pa.Array:
-        base, scores = [np.zeros((5, 0), np.int64)], [np.zeros(0)]
+    @F.arrow_udf("struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,score:double,unseen:double>")
+    def judged(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        ratios = _ratios(counts.value)
+        base, scores, unseen, done = [np.zeros((5, 0), np.int64)], [np.zeros(0)], [], 0
+        flags = marks.to_pylist()
         for part in parts(texts):
             columns, hashes, rows = _base(part)
             grams, owners = _buckets(hashes, rows)
             total = np.bincount(owners, minlength=len(part))
-            sums = np.bincount(owners, weights=ratios.value[grams], minlength=len(part))
+            sums = np.bincount(owners, weights=ratios[grams], minlength=len(part))
             base.append(columns)
             scores.append(sums / np.maximum(total, 1))
-        return pa.StructArray.from_arrays([*map(pa.array, np.concatenate(base, axis=1)), pa.array(np.concatenate(scores))], names=[*_COLUMNS, "score"])
+            cuts = np.searchsorted(rows, np.arange(len(part) + 1))
+            for i in range(len(part)):
+                words = hashes[cuts[i] : cuts[i + 1]]
+                unseen.append(_unseen(counts.value, _buckets(words, np.zeros(len(words), np.int64))[0]) if flags[done + i] else None)
+            done += len(part)
+        return pa.StructArray.from_arrays([*map(pa.array, np.concatenate(base, axis=1)), pa.array(np.concatenate(scores)), pa.array(unseen, pa.float64())],
+                                          names=[*_COLUMNS, "score", "unseen"])
 
-    return judged(as_bytes(text))
+    return judged(as_bytes(text), maybe)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float | None = None) -> DataFrame:
@@ -214,13 +206,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     lie in repeated windows; of the others those with a score of ``threshold`` or more are kept, by default
     the cut that ``find_cut`` takes from the labels. Null texts are empty and
     fail. Repeated rows and null ids are judged one by one; other columns are ignored; an empty table gives an empty result.
+
+    Texts are read where they lie: what meets the labels are ids and scores, and the texts that a filter of the trusted ids lets through.
     """
-    counts = bucket_counts(docs, labels, text, doc_id)
-    send = docs.sparkSession.sparkContext.broadcast
-    ratios = send(_ratios(counts))
-    if threshold is None:
-        threshold = find_cut(docs, labels, send(counts), text, doc_id) if counts[1].any() else THRESHOLD
-    judged = docs.select(F.col(doc_id).alias("doc_id"), rules(text, ratios).alias("_r"))
-    failed = (F.col("_r.n_words") < LEAST_WORDS) | (100 * F.col("_r.n_repeat_words") > MOST_REPEATED_PERCENT * F.col("_r.n_words"))
-    return judged.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in _COLUMNS], failed.alias("base_failed"),
-                         (~failed & (F.col("_r.score") >= threshold)).alias("kept"), F.col("_r.score").alias("score"))
+    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_body"))
+    maybe = id_filter(_trusted(labels), "_id")
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(marked, labels, "_body", "_id", maybe))
+    told = marked.select(F.col("_id").alias("doc_id"), rules("_body", maybe, counts).alias("_r"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    judged = stored(told.select("doc_id", "_r.*").withColumn("base_failed", failed), "judged-texts")
+    cut = find_cut(judged, labels) if threshold is None else threshold
+    return judged.select("doc_id", *_COLUMNS, "base_failed", (~F.col("base_failed") & (F.col("score") >= cut)).alias("kept"), "score")
