@@ -77,6 +77,12 @@ def base_radius(samples: DataFrame, segments: DataFrame | RoadCells, radius: flo
     kx, ky = geo.metres_per_degree(F.col("lat"))
     near = points.withColumn("kx", kx).withColumn("ky", ky).join(covered, ["cx", "cy"])
 
+    return _closest(near, keys, metric).filter(F.col("dist") < radius)
+
+
+def _closest(near: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """Closest point of the road in each row of samples (``lon, lat, kx, ky``) with roads (``legs``)."""
+
     def projected(leg: Column) -> Column:
         dx, dy = (leg.lon2 - leg.lon1) * F.col("kx"), (leg.lat2 - leg.lat1) * F.col("ky")
         px, py = (F.col("lon") - leg.lon1) * F.col("kx"), (F.col("lat") - leg.lat1) * F.col("ky")
@@ -93,7 +99,7 @@ def base_radius(samples: DataFrame, segments: DataFrame | RoadCells, radius: flo
                         (p.l.before + p.t * p.l.leg_length).alias("along"), x.alias("x"), y.alias("y"))
 
     best = near.select(*keys, "base_gid", "oneway", "length_m", F.array_min(F.transform(F.transform("legs", projected), placed)).alias("best"))
-    return best.filter(F.col("best.dist") < radius).select(
+    return best.select(
         *keys, "base_gid", (F.col("best.along") / F.col("length_m")).alias("fraction"), F.col("best.x").alias("lon"), F.col("best.y").alias("lat"),
         F.col("best.dist").alias("dist"), "oneway")
 
@@ -112,33 +118,77 @@ def radius_candidates(samples: DataFrame, base: DataFrame | RoadCells, radius: f
     return both_directions(base_radius(samples, base if isinstance(base, RoadCells) else road_segments(base), radius, keys, metric))
 
 
-def _widening(samples: DataFrame, base: DataFrame, keys: list[str], enough, metric: str, radius: float = 100.0) -> DataFrame:
-    """Repeats the radius join with doubled radius for samples not yet served.
+#: Cells along each side of a cell of the next level, as bits.
+_SHIFT = 2
+
+
+class RoadTree:
+    """Roads in a hierarchy of cells, each with the box around its roads and their number. Built once, it serves any number of searches.
+
+    A road lies in the cell of its first point; boxes hold whole roads, so a cell's box may be larger than the cell.
+    """
 
-    Stops when every sample is served or the radius covers the whole map, so a
-    map smaller than asked for ends with fewer roads.
+    def __init__(self, base: DataFrame, size: float = 0.002):
+        legs = road_segments(base)
+        box = [F.min(F.least("lon1", "lon2")).alias("west"), F.max(F.greatest("lon1", "lon2")).alias("east"),
+               F.min(F.least("lat1", "lat2")).alias("south"), F.max(F.greatest("lat1", "lat2")).alias("north")]
+        leg = F.struct("leg", "lon1", "lat1", "lon2", "lat2", "before", "leg_length")
+        roads = cut(legs.groupBy("base_gid", "oneway", "length_m").agg(F.collect_list(leg).alias("legs"), F.min_by("lon1", "leg").alias("lon"), F.min_by("lat1", "leg").alias("lat"), *box))
+        west, south = roads.agg(F.min("lon"), F.min("lat")).first()
+        self.roads = roads.withColumn("px", F.floor((F.col("lon") - (west or 0.0)) / size)).withColumn("py", F.floor((F.col("lat") - (south or 0.0)) / size)).drop("lon", "lat")
+        #: From single cells up to one; ``px, py`` name the cell above.
+        self.levels: list[DataFrame] = []
+        inner = [F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north")]
+        cells = self.roads.withColumn("n", F.lit(1).cast("long")).select("px", "py", "west", "east", "south", "north", "n")
+        while True:
+            grouped = cells.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(*inner, F.sum("n").alias("n"))
+            level = cut(grouped.withColumn("px", F.shiftright("x", _SHIFT)).withColumn("py", F.shiftright("y", _SHIFT)))
+            self.levels.append(broadcast_if_small(level))
+            if level.limit(2).count() < 2:
+                return
+            cells = level
+
+
+def _box_bounds(metric: str) -> tuple[Column, Column]:
+    """Least and largest distance from a sample to a point of the box ``west .. north``."""
+    lon, lat = F.col("lon"), F.col("lat")
+    gap = lambda v, a, b: F.greatest(F.col(a) - v, v - F.col(b), F.lit(0.0))
+    far = lambda v, a, b: F.greatest(F.abs(F.col(a) - v), F.abs(F.col(b) - v))
+    if metric == "planar":
+        bound = lambda side: F.hypot(side(lon, "west", "east") * F.col("kx"), side(lat, "south", "north") * F.col("ky"))
+        return bound(gap), bound(far)
+    # Each part of the haversine formula is taken at its least and its largest value in the box.
+    half = lambda degrees: F.pow(F.sin(F.radians(F.least(degrees, F.lit(180.0)) / 2)), 2)
+    wide = F.cos(F.radians(F.when((F.col("south") <= 0) & (F.col("north") >= 0), 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))))
+    narrow = F.cos(F.radians(F.greatest(F.abs("south"), F.abs("north"))))
+    around = lambda degrees: F.least(degrees, F.greatest(360.0 - degrees, F.lit(0.0)))
+    total = lambda y, x, across: 2 * geo.MEAN_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(half(y) + F.cos(F.radians(lat)) * across * half(x))))
+    west_east = F.least(gap(lon, "west", "east"), around(far(lon, "west", "east")))
+    return total(gap(lat, "south", "north"), west_east, narrow) * 0.99, total(far(lat, "south", "north"), far(lon, "west", "east"), wide) * 1.01
+
+
+def _best_first(samples: DataFrame, tree: RoadTree, k: int, keys: list[str], metric: str) -> DataFrame:
+    """Roads that may be among the ``k`` nearest of each sample, with their closest points.
+
+    Cells are opened level by level. One is left closed when its box lies farther away than the farthest points of nearer
+    boxes that hold ``k`` roads together, so a sample meets the roads near its nearest ones, however far off it lies.
     """
-    segments = cut(road_segments(base))
-    box = segments.agg(
-        F.min(F.least("lon1", "lon2")), F.max(F.greatest("lon1", "lon2")), F.min(F.least("lat1", "lat2")), F.max(F.greatest("lat1", "lat2"))
-    ).first()
-    reach = samples.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
-    if box[0] is None or reach[0] is None:
-        return base_radius(samples, segments, radius, keys, metric)
-    span = max(max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2]))
-    limit = span * 160000.0 + 1
-    open_samples, done = samples, None
-    while True:
-        found = base_radius(open_samples, segments, radius, keys, metric)
-        served = enough(found) if radius < limit else found
-        served = cut(served)
-        done = served if done is None else done.unionByName(served)
-        if radius >= limit:
-            return done
-        open_samples = cut(open_samples.join(served.select(*keys).distinct(), keys, "left_anti"))
-        if open_samples.isEmpty():
-            return done
-        radius *= 2
+    least, largest = _box_bounds(metric)
+    by_far = Window.partitionBy(*keys).orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    kx, ky = geo.metres_per_degree(F.col("lat"))
+    point = [*keys, "lon", "lat", "kx", "ky"]
+
+    def opened(frontier: DataFrame, below: DataFrame) -> DataFrame:
+        # The open cells of a sample are few: those around its nearest roads.
+        met = frontier.join(below, ["px", "py"]).withColumn("near", least).withColumn("far", largest)
+        enough = met.withColumn("held", F.sum("n").over(by_far)).withColumn("limit", F.min(F.when(F.col("held") >= k, F.col("far"))).over(whole))
+        return enough.filter(F.col("limit").isNull() | (F.col("near") * (1 - 1e-12) <= F.col("limit")))
+
+    frontier = samples.select(*keys, "lon", "lat").repartition(*keys).withColumn("kx", kx).withColumn("ky", ky).select(*point, F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
+    for level in tree.levels[-2::-1]:
+        frontier = opened(frontier, level).select(*point, F.col("x").alias("px"), F.col("y").alias("py"))
+    return _closest(opened(frontier, tree.roads.withColumn("n", F.lit(1))), keys, metric)
 
 
 def _ranked(found: DataFrame, keys: list[str], order: list[str], fn) -> DataFrame:
@@ -146,21 +196,16 @@ def _ranked(found: DataFrame, keys: list[str], order: list[str], fn) -> DataFram
     return found.withColumn("place", fn.over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def nearest(samples: DataFrame, base: DataFrame, keys: list[str], metric: str = "planar") -> DataFrame:
+def nearest(samples: DataFrame, base: DataFrame | RoadTree, keys: list[str], metric: str = "planar") -> DataFrame:
     """Nearest road of each sample, all ties kept."""
-    found = _widening(samples, base, keys, lambda df: df, metric)
-    closest = found.groupBy(*keys).agg(F.min("dist").alias("closest"))
-    return found.join(closest, keys).filter(F.col("dist") == F.col("closest")).drop("closest")
+    found = _best_first(samples, base if isinstance(base, RoadTree) else RoadTree(base), 1, keys, metric)
+    closest = F.min("dist").over(Window.partitionBy(*keys))
+    return found.withColumn("closest", closest).filter(F.col("dist") == F.col("closest")).drop("closest")
 
 
-def k_nearest(samples: DataFrame, base: DataFrame, k: int, keys: list[str], metric: str = "planar") -> DataFrame:
+def k_nearest(samples: DataFrame, base: DataFrame | RoadTree, k: int, keys: list[str], metric: str = "planar") -> DataFrame:
     """The ``k`` nearest roads of each sample, fewer when the map has fewer."""
-
-    def full(found: DataFrame) -> DataFrame:
-        counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*keys)
-        return found.join(counts, keys, "left_semi")
-
-    found = _widening(samples, base, keys, full, metric)
+    found = _best_first(samples, base if isinstance(base, RoadTree) else RoadTree(base), k, keys, metric)
     return _ranked(found, keys, ["dist", "base_gid"], F.row_number()).filter(F.col("place") <= k)
 
 
