@@ -2,8 +2,8 @@
 
 Every update of a smoothed value is ``v -> min(hi, max(lo, a + b * v))`` with
 ``b >= 0``, and such functions are closed under composition. Updates are
-therefore combined chunk by chunk in parallel, and only one function per slice
-is walked in order for each key. A key with very many updates is spread over
+therefore combined chunk by chunk in parallel, then slice by slice and day by
+day. A key with very many updates is spread over
 its chunks instead of being gathered in one task.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadpulse.plans.lineage import cut
+
 WIDE = 1e300
 
 
@@ -52,35 +54,51 @@ def per_slice(df: DataFrame, keys: list[str], slot: str, chunk: str, order: list
     return _gather(chunks, [*keys, slot], F.col(chunk))
 
 
+#: Functions in a row of the tree over days.
+BLOCK = 64
+
+
+def _entries(value: Column, members: Column) -> Column:
+    """What each of ``members(n, f)``, in order, begins with: ``_n, v``."""
+    kind = "array<struct<_n:bigint,v:double>>"
+    return F.aggregate(
+        members,
+        F.struct(value.alias("v"), F.expr(f"cast(array() as {kind})").alias("out")),
+        lambda acc, x: F.struct(
+            apply(x.f, acc.v).alias("v"), F.concat(acc.out, F.array(F.struct(x.n.alias("_n"), acc.v.alias("v")))).alias("out")),
+        lambda acc: acc.out,
+    )
+
+
 def walk(slices: DataFrame, start: DataFrame, keys: list[str], slot: str, per_day: int) -> DataFrame:
     """Value at the end of each slice, beginning with ``start.v``.
 
-    A key contributes one function per slice, so its size is set by the length
-    of the calendar and not by the number of updates.
+    The slices of a key and day are one row, of at most ``per_day`` functions, and one function together. Days are composed in
+    a tree of rows of at most BLOCK functions; down the tree every block, and at last every day, gets the value it begins
+    with. So no row grows with the calendar, and the days of a key are walked side by side.
     """
-    day = F.floor((F.col(slot) - 1) / per_day).alias("_day")
-    days = slices.groupBy(*keys, day).agg(F.array_sort(F.collect_list(F.struct(slot, "f"))).alias("fs"))
-    all_days = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_day", "fs"))).alias("days"))
+    number = F.floor((F.col(slot) - 1) / per_day).cast("long").alias("_n")
+    days = cut(slices.groupBy(*keys, number).agg(F.array_sort(F.collect_list(F.struct(slot, "f"))).alias("fs")))
+    low, high = days.agg(F.min("_n"), F.max("_n")).first()
+    low, span = low or 0, (high or 0) - (low or 0)
+    level = days.select(*keys, (F.col("_n") - low).alias("_n"), compose(F.transform("fs", lambda x: x.f)).alias("f"))
+    blocks: list[DataFrame] = []
+    while span > 0:
+        listed = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), "f"))).alias("members")
+        blocks.append(cut(level.groupBy(*keys, F.floor(F.col("_n") / BLOCK).cast("long").alias("_up")).agg(listed)))
+        level = blocks[-1].select(*keys, F.col("_up").alias("_n"), compose(F.transform("members", lambda x: x.f)).alias("f"))
+        span //= BLOCK
+    begun = start.select(*keys, F.lit(0).cast("long").alias("_n"), "v")
+    for block in reversed(blocks):
+        begun = block.join(begun.withColumnRenamed("_n", "_up"), [*keys, "_up"]).select(*keys, F.inline(_entries(F.col("v"), F.col("members"))))
     kind = f"array<struct<{slot}:bigint,v:double>>"
-
-    def within(v, fs):
-        return F.aggregate(
-            fs,
-            F.struct(v.alias("v"), F.expr(f"cast(array() as {kind})").alias("out")),
-            lambda acc, x: F.struct(
-                apply(x.f, acc.v).alias("v"),
-                F.concat(acc.out, F.array(F.struct(x[slot].alias(slot), apply(x.f, acc.v).alias("v")))).alias("out"),
-            ),
-        )
-
-    def over_days(acc, d):
-        inner = within(acc.v, d.fs)
-        return F.struct(inner.v.alias("v"), F.concat(acc.out, F.array(inner.out)).alias("out"))
-
     walked = F.aggregate(
-        "days",
-        F.struct(F.col("v").alias("v"), F.expr(f"cast(array() as array<{kind}>)").alias("out")),
-        over_days,
-        lambda acc: F.flatten(acc.out),
+        "fs",
+        F.struct(F.col("v").alias("v"), F.expr(f"cast(array() as {kind})").alias("out")),
+        lambda acc, x: F.struct(
+            apply(x.f, acc.v).alias("v"),
+            F.concat(acc.out, F.array(F.struct(x[slot].alias(slot), apply(x.f, acc.v).alias("v")))).alias("out"),
+        ),
+        lambda acc: acc.out,
     )
-    return all_days.join(start, keys).select(*keys, F.inline(walked))
+    return days.withColumn("_n", F.col("_n") - low).join(begun, [*keys, "_n"]).select(*keys, F.inline(walked))

@@ -65,6 +65,25 @@ def test_composed_updates_equal_sequential_ones(spark):
     assert got == pytest.approx(value, abs=1e-9)
 
 
+@pytest.mark.parametrize("days, per_day", [(1, 4), (365, 1), (5000, 1), (130, 3)])
+def test_walk_over_many_days(spark, days, per_day):
+    """Each row holds a day or a block of days, and the values are those of a walk slice by slice."""
+    rng = random.Random(days)
+    steps = {k: sorted(rng.sample(range(1 + 7 * per_day, (days + 7) * per_day + 1), max(1, days * per_day // 2))) for k in (1, 2)}
+    rows, want = [], {}
+    for k, slots in steps.items():
+        value = 7.0
+        for slot in slots:
+            a, b, lo, hi = rng.random() * 10, rng.choice([0.0, 0.5, 0.9]), 1.5, rng.choice([5.0, 20.0])
+            value = max(lo, min(hi, a + b * value))
+            rows.append((k, slot, (a, b, lo, hi)))
+            want[k, slot] = value
+    slices = spark.createDataFrame(rows, "road int, slot bigint, f struct<a:double,b:double,lo:double,hi:double>")
+    start = spark.createDataFrame([(1, 7.0), (2, 7.0), (3, 7.0)], "road int, v double")
+    got = {(r.road, r.slot): r.v for r in clamped.walk(slices, start, ["road"], "slot", per_day).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_allocated_times_sum_to_interval(fixtures):
     elements = traffic.route_elements(fixtures.pairs(), fixtures.road_state())
     parts = traffic.allocate(elements)
