@@ -120,3 +120,155 @@ def _digest(found, names):
     joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))
     counts = Counter(k for _, k, _ in found)
     return (*[counts[k] for k in range(len(names))], hashlib.sha256(joined.encode()).hexdigest())
+
+
+def near_copies(rows, least=0.93):
+    """(id, links, smallest id reachable) of each (id, vector, label) row, by all pairs."""
+    import numpy as np
+
+    def sound(v, label):
+        return label is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    scaled = [np.array(v, float) / np.abs(np.array(v, float)).max() if sound(v, label) else None for _, v, label in rows]
+    units = [None if v is None else v / np.linalg.norm(v) for v in scaled]
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(units):
+        for j in range(i):
+            b = units[j]
+            if a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b) and float(a @ b) >= least:
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    least_id = {}
+    for i, (ident, _, _) in enumerate(rows):
+        if ident is not None:
+            least_id[root(i)] = min(ident, least_id.get(root(i), ident))
+    return [(ident, links[i], least_id.get(root(i))) for i, (ident, _, _) in enumerate(rows)]
+
+
+def faults(turns):
+    """(fault, initial) of each (role, text) row in order."""
+    seen, out = set(), []
+    for role, text in turns:
+        last = text.rstrip(" \t\n\x0b\x0c\r")[-1:]
+        fault = "blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last not in ".!?" else ""
+        seen.add((role, text))
+        out.append((fault, role[:1]))
+    return out
+
+
+def cheapest_edits(marked):
+    """(cost, letters) of the best edits, by trying them all: up to two insertions before, between and after the rows."""
+    best = None
+
+    def go(at, roles, cost, letters, inserted):
+        nonlocal best
+        if best is not None and cost > best[0]:
+            return
+        if at == len(marked) and re.fullmatch("(s?(ua)+)?", roles):
+            best = min(best or (cost, letters), (cost, letters))
+        # Whatever the rest, the roles so far must begin a legal row.
+        if not re.fullmatch("s?(ua)*u?", roles):
+            return
+        if inserted < 2:
+            for role in "ua":
+                go(at, roles + role, cost + 5, letters + "I", inserted + 1)
+        if at < len(marked):
+            fault, initial = marked[at]
+            go(at + 1, roles, cost + 2, letters + "D", 0)
+            if fault not in ("blank", "duplicate"):
+                extra = 5 if fault == "truncated" else 0
+                go(at + 1, roles + (initial or "?"), cost + extra, letters + "K", 0)
+                for role in "ua":
+                    go(at + 1, roles + role, cost + extra + 1, letters + "R", 0)
+
+    go(0, "", 0, "", 0)
+    return best
+
+
+def repaired(turns, letters):
+    """The lines that the letters leave."""
+    out, at = [], 0
+    for letter in letters:
+        row = None
+        if letter != "I":
+            row, at = turns[at], at + 1
+        if letter == "D":
+            continue
+        wanted = "assistant" if out and out[-1].startswith("u") else "user"
+        out.append(f"{wanted}:" if letter == "I" else f"{row[0] if letter == 'K' else wanted}:{row[1]}")
+    return "\n".join(out)
+
+
+def damage(rows):
+    """Rows (conv, turn, role, text) by conversation after the query's damage, in order."""
+    import zlib
+
+    out = {}
+    shown = lambda x: " " if x is None else str(x)
+    for conv, turn, role, text in rows:
+        fault, role, text = zlib.crc32(f"{shown(conv)}:{shown(turn)}".encode()) % 20, shown(role), shown(text)
+        kept = out.setdefault(conv, [])
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        kept += [(turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    key = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest())
+    return {conv: sorted(kept, key=key) for conv, kept in out.items()}
+
+
+def conversation(kept):
+    """The contract's columns of one damaged conversation."""
+    turns = [(role, text) for _, role, text in kept]
+    marked = faults(turns)
+    numbers = [t for t, _, _ in kept if t is not None]
+    count = Counter(f for f, _ in marked)
+    illegal = sum(a[1] + b[1] not in ("su", "ua", "au") for a, b in zip(marked, marked[1:], strict=False))
+    cost, letters = cheapest_edits(marked)
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    lines = repaired(turns, letters)
+    return gaps, count["blank"], count["duplicate"], count["truncated"], illegal, cost, letters, hashlib.sha256(lines.encode()).hexdigest()
+
+
+def variants(docs):
+    """(word, form, root, n, near words, n of the form) of all words of (id, text) rows."""
+    import zlib
+
+    counts = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(FOLD)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    shorter = {}
+    for w in words:
+        for i in range(len(w)):
+            shorter.setdefault((w[:i], w[i + 1 :]), set()).add(w)
+    near = {w: set() for w in words}
+    for (head, tail), group in shorter.items():
+        for w in group:
+            near[w] |= group - {w}
+            if head + tail in words and head + tail != w:
+                near[w].add(head + tail)
+                near[head + tail].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-words[o], o), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return [(w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()]

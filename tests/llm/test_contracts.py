@@ -444,9 +444,11 @@ def test_battery_against_plain(spark):
 
 
 def test_queries_run_on_given_tables(spark):
-    assert set(QUERIES) == {"op1_quality_rules", "op2_toxicity", "op3_compression_quality", "op4_simhash", "op5_mixing", "op6_url_filter", "op7_pii", "op8_decontamination", "op9_warc", "op10_secrets"}
+    assert set(QUERIES) == {"op1_quality_rules", "op2_toxicity", "op3_compression_quality", "op4_simhash", "op5_mixing", "op6_url_filter", "op7_pii", "op8_decontamination", "op9_warc", "op10_secrets",
+                            "op11_lattice_near_dedup", "op12_conversation_repair", "op13_spelling_variants"}
+    counts = {"op6_url_filter": 50, "op9_warc": 50, "op11_lattice_near_dedup": 500, "op12_conversation_repair": 20, "op13_spelling_variants": 2829}
     for name, query in QUERIES.items():
-        assert query(spark, SMALL).count() == (50 if name in ("op6_url_filter", "op9_warc") else 200), name
+        assert query(spark, SMALL).count() == counts.get(name, 200), name
 
 
 def test_pipeline(spark, table):
