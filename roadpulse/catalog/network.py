@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import struct
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from roadpulse.catalog.fixtures import CLASS_IDS, Fixtures, sql, sql_planar
@@ -289,3 +291,48 @@ def _(f):
 @query("G5_route_geometry")
 def _(f):
     return R.path_geometry(paths(f), f.roads(), ["suid", "utc"]).select("suid", "utc", geo.wkt_line(F.col("points")).alias("wkt"))
+
+
+# -- stored copies, as the readers find them ------------------------------------------
+
+def _wkb(points):
+    """WKB line strings for the stored copy, every other one with its most significant byte first."""
+
+    @F.pandas_udf("binary")
+    def packed(lines: pd.Series, gid: pd.Series) -> pd.Series:
+        return pd.Series([
+            struct.pack("<BII" if g % 2 else ">BII", g % 2, 2, len(line)) + struct.pack(("<" if g % 2 else ">") + f"{2 * len(line)}d", *[x for v in line for x in (v["lon"], v["lat"])])
+            for line, g in zip(lines, gid)])
+
+    return packed(points, F.col("gid"))
+
+
+@query("S6_stored_ways", sql("""
+    SELECT gid, osm_id, CAST(class_id AS SMALLINT) AS class_id, source, target, reverse_cost, lon0, lat0, lon1, lat1, lon2, lat2 FROM ways""", "ways"))
+def _(f):
+    """The road table read back from a copy with WKB polylines."""
+    path = scratch_path(f.spark, "wkb-ways")
+    kinds = {c.name: c.dataType for c in RS.WAYS_SCHEMA}
+    f.ways().withColumn("geom", _wkb(F.col("points"))).withColumns(
+        {c: F.col(c).cast(kinds[c]) if c in f.ways().columns else F.lit(None).cast(kinds[c]) for c in kinds if c != "geom"}).select(*kinds).write.parquet(path)
+    point = lambda i, c: F.element_at("points", i + 1)[c].alias(f"{c}{i}")
+    return RS.read_ways(f.spark, path).select("gid", "osm_id", "class_id", "source", "target", "reverse_cost", *[point(i, c) for i in range(3) for c in ("lon", "lat")])
+
+
+@query("S3_stored_day", sql("SELECT suid, utc, lat, lon, head, passenger FROM gps", "gps"))
+def _(f):
+    """A day table read back from a copy with status texts."""
+    from roadpulse.sources import gps as G
+
+    path = scratch_path(f.spark, "day")
+    f.raw_gps().write.parquet(path)
+    return G.read_gps_table(f.spark, path)
+
+
+@query("S9_stored_history", sql(
+    "SELECT gid, CAST(seq AS INTEGER) AS seq, base_gid, class_id, round(average_speed, 6) AS average_speed FROM history", "history"))
+def _(f):
+    """History read back from a copy."""
+    path = scratch_path(f.spark, "history-copy")
+    f.history().write.parquet(path)
+    return RS.read_history(f.spark, path).select("gid", "seq", "base_gid", "class_id", F.round("average_speed", 6).alias("average_speed"))

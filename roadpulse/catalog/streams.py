@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,113 @@ def _(f):
     return f.spark.read.parquet(out).select("event_id", "suid", "utc", "lat", "lon")
 
 
+def text_files(f: Fixtures) -> str:
+    """The lines as text files, broken ones among them, parted by a stream; run once for the queries below."""
+    from roadpulse.catalog import fixtures
+
+    key = (f.spark.sparkContext.applicationId, f.dir, "text_files")
+    if key not in fixtures._stored:
+        path, out = scratch_path(f.spark, "text"), scratch_path(f.spark, "parted")
+        f.gps_lines().select("value").repartition(PARTS).write.text(path)
+        ST.run(ST.lines_stage(G.stream_lines(f.spark, path), out), state(f, "state"))
+        fixtures._stored[key] = out
+    return fixtures._stored[key]
+
+
+@stream_query("S2_text_files", sql("SELECT date, suid, utc, lat, lon, head, passenger FROM gps WHERE event_id % 97 <> 96", "gps"))
+def _(f):
+    """Rows of a stream of text files."""
+    return f.spark.read.parquet(os.path.join(text_files(f), "rows")).drop("batch_id")
+
+
+@stream_query("S2_broken_lines", sql(
+    "SELECT concat_ws(' ', date, suid, utc, lat, lon, head) AS value FROM gps WHERE event_id % 97 = 96", "gps"))
+def _(f):
+    """Lines of the same files that have a field too few."""
+    return f.spark.read.parquet(os.path.join(text_files(f), "broken")).select("value")
+
+
+# A feed out of order: four files of points from all over the day. Rows an hour behind the newest of the files before the
+# last one are late.
+LATE_AFTER = 3600
+SHUFFLED = """
+  SELECT event_id, suid, utc, place, CAST((place - lo) // w AS BIGINT) AS batch FROM (SELECT *, (event_id * 7919) % 100003 AS place FROM gps),
+    (SELECT min((event_id * 7919) % 100003) AS lo, (max((event_id * 7919) % 100003) - min((event_id * 7919) % 100003)) // 4 + 1 AS w FROM gps)"""
+MARKS = f"""
+  SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - {LATE_AFTER} AS mark
+  FROM (SELECT batch, max(utc) AS newest FROM shuffled GROUP BY batch)"""
+TOLD = """
+  SELECT s.*, coalesce(s.utc <= m.mark, false) AS late FROM shuffled s JOIN marks m USING (batch)"""
+SEEN = """
+  SELECT suid, batch, max(newest) OVER (PARTITION BY suid ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT suid, batch, max(utc) AS newest FROM told WHERE NOT late GROUP BY suid, batch)"""
+FATES = """
+  SELECT t.event_id, t.suid, t.utc, t.batch, s.seen, CASE WHEN late THEN 'late' WHEN t.utc < s.seen THEN 'out_of_order' ELSE 'in_order' END AS fate
+  FROM told t LEFT JOIN seen s ON s.suid = t.suid AND s.batch = t.batch AND NOT t.late"""
+LATE = dict(shuffled=SHUFFLED, marks=MARKS, told=TOLD, seen=SEEN, fates=FATES)
+
+
+def shuffled_run(f: Fixtures) -> tuple[str, ST.BatchMetrics]:
+    """Fates of the shuffled feed and the metrics of its batches; run once for the queries below."""
+    from roadpulse.catalog import fixtures
+
+    key = (f.spark.sparkContext.applicationId, f.dir, "shuffled")
+    if key not in fixtures._stored:
+        points = P.decode_coordinates(f.gps()).withColumn("place", F.pmod(F.col("event_id") * 7919, F.lit(100003)))
+        path, out = feed(f, "shuffled", points, "place"), scratch_path(f.spark, "fates")
+        metrics = ST.BatchMetrics(f.spark, scratch_path(f.spark, "late-metrics"))
+        stream = f.spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(path).drop("place")
+        f.spark.streams.addListener(metrics)
+        try:
+            fates = ST.fate_stream(stream, f"{LATE_AFTER} seconds")
+            ST.run(fates.writeStream.foreachBatch(lambda batch, i: ST.write_batch(batch, out, i)), state(f, "state"))
+            f.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        finally:
+            f.spark.streams.removeListener(metrics)
+        fixtures._stored[key] = out, metrics
+    return fixtures._stored[key]
+
+
+@stream_query("T6_stream_fates", sql("SELECT batch AS batch_id, fate, count(*) AS n FROM fates GROUP BY ALL", "gps", **LATE))
+def _(f):
+    """Late, out-of-order and ordered rows of every batch of a shuffled feed: from the metrics, and from the state's side output."""
+    out, metrics = shuffled_run(f)
+    fate = F.when(F.col("fate") == "out_of_order", "out_of_order").otherwise("in_order").alias("fate")
+    told = f.spark.read.parquet(out).groupBy(F.col("batch_id").cast("bigint").alias("batch_id"), fate).agg(F.count(F.lit(1)).alias("n"))
+    late = metrics.table().filter(F.col("dropped") > 0).select("batch_id", F.lit("late").alias("fate"), F.col("dropped").alias("n"))
+    return told.unionByName(late)
+
+
+@stream_query("T7_order_errors", sql("SELECT event_id, suid, utc, seen FROM fates WHERE fate = 'out_of_order'", "gps", **LATE))
+def _(f):
+    """Rows older than one of their vehicle from an earlier batch, as error rows."""
+    out, _ = shuffled_run(f)
+    return f.spark.read.parquet(out).filter("fate = 'out_of_order'").select("event_id", "suid", "utc", "seen")
+
+
+def sliding(f: Fixtures, k: int = -1, age: int = 0):
+    path = feed(f, "slide", f.samples().select("suid", "utc"), "utc")
+    stream = f.spark.readStream.schema("suid bigint, utc bigint").option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(f.spark, "windows")
+    ST.run(ST.slide_stream(stream, k, age).writeStream.format("parquet").option("path", out), state(f, "state"))
+    return f.spark.read.parquet(out)
+
+
+SLIDE = "SELECT suid, utc, count(*) OVER w AS n, min(utc) OVER w AS oldest FROM samples WINDOW w AS (PARTITION BY suid ORDER BY utc {frame} AND CURRENT ROW)"
+
+
+@stream_query("W11_window_by_count", sql(SLIDE.format(frame="ROWS BETWEEN 6 PRECEDING"), "samples"))
+def _(f):
+    """Sliding window of the last seven samples of a vehicle."""
+    return sliding(f, k=6)
+
+
+@stream_query("W11_window_by_age", sql(SLIDE.format(frame="RANGE BETWEEN 900 PRECEDING"), "samples"))
+def _(f):
+    """Sliding window of a vehicle's samples of the last fifteen minutes."""
+    return sliding(f, age=900)
+
+
 @stream_query("T1_micro_batches", sql(f"""
     SELECT CAST((utc - lo) // w AS BIGINT) AS batch_id, count(*) AS n FROM gps, (SELECT min(utc) AS lo, (max(utc) - min(utc)) // {PARTS} + 1 AS w FROM gps)
     GROUP BY 1""", "gps"))
@@ -217,6 +325,23 @@ def _(f):
     return f.spark.read.parquet(out).select("event_id", "suid", "utc")
 
 
+@stream_query("T12_expired_visits", sql("""
+    SELECT suid, min(utc) AS first, max(utc) AS last, count(*) AS n FROM gps, (SELECT (min(utc) + max(utc)) // 2 AS half FROM gps) WHERE utc < half GROUP BY suid""", "gps"))
+def _(f):
+    """Visits of the first half of the day: all vehicles are idle for longer than the timeout before the second half comes."""
+    points = f.gps().select("suid", "utc")
+    low, high = points.agg(F.min("utc"), F.max("utc")).first()
+    half = (low + high) // 2
+    path, out, at = scratch_path(f.spark, "halves"), scratch_path(f.spark, "visits"), state(f, "state")
+    for part in (points.filter(F.col("utc") < half), points.filter(F.col("utc") >= half)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = f.spark.readStream.schema("suid bigint, utc bigint").parquet(path)
+        ST.run_rows(ST.visit_stream(stream, 1000).writeStream.format("parquet").option("path", out), at, part.count())
+        time.sleep(2)
+    # A vehicle that did not start anew would have one visit over both halves.
+    return f.spark.read.parquet(out).filter(F.col("first") < half)
+
+
 @stream_query("K7_batch_metrics", sql(f"""
     SELECT CAST((utc - lo) // w AS BIGINT) AS batch_id, count(*) AS rows, CAST((utc - lo) // w AS BIGINT) AS ordinal, TRUE AS timed
     FROM gps, (SELECT min(utc) AS lo, (max(utc) - min(utc)) // {PARTS} + 1 AS w FROM gps) GROUP BY ALL""", "gps"))

@@ -52,8 +52,12 @@ def read_gps_table(spark: SparkSession, path: str, fmt: str = "parquet", **optio
 
 
 def stream_gps_text(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return complete(parse_gps(lines))
+    return complete(parse_gps(stream_lines(spark, path, files_per_batch)))
+
+
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Lines of the text files in a folder, as they arrive."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
 def day_bounds(gps: DataFrame) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,24 +28,32 @@ WAYS_SCHEMA = T.StructType([
 ROAD_CLASS_SCHEMA = "class_id smallint, priority double, maxspeed int"
 
 
+def _wkb_number(digits: Column, at: Column, size: int, little: Column) -> Column:
+    """Hex digits of ``size`` bytes that begin at byte ``at``, the most significant first."""
+    byte = lambda k: F.substring(digits, 2 * (at + k) + 1, F.lit(2))
+    return F.when(little, F.concat(*[byte(k) for k in reversed(range(size))])).otherwise(F.substring(digits, 2 * at + 1, F.lit(2 * size)))
+
+
+def _wkb_double(bits: Column) -> Column:
+    """The number that 16 hex digits of IEEE 754 stand for; null where that is none. Every step is exact."""
+    head = F.conv(F.substring(bits, 1, 3), 16, 10).cast("int")
+    power = head % 2048
+    part = F.conv(F.substring(bits, 4, 13), 16, 10).cast("bigint").cast("double") / 2.0**52
+    size = F.when(power == 0, part * F.pow(F.lit(2.0), F.lit(-1022.0))).when(power < 2047, (1 + part) * F.pow(F.lit(2.0), (power - 1023).cast("double")))
+    return F.when(head >= 2048, -size).otherwise(size)
+
+
 def parse_wkb_line(geom: Column | str) -> Column:
-    """Vertices of WKB LINESTRING values, either byte order."""
-
-    def vertices(raw):
-        if raw is None:
-            return None
-        order = "<" if raw[0] == 1 else ">"
-        kind, count = struct.unpack(order + "II", raw[1:9])
-        if kind != 2:
-            return None
-        flat = np.frombuffer(raw, dtype=order + "f8", offset=9, count=2 * count)
-        return [{"lon": float(x), "lat": float(y)} for x, y in flat.reshape(-1, 2)]
-
-    @F.pandas_udf(POINTS)
-    def parsed(lines: pd.Series) -> pd.Series:
-        return lines.map(vertices)
-
-    return parsed(geom)
+    """Vertices of WKB LINESTRING values, either byte order; null for another shape, for cut values and for what is no number."""
+    raw = F.col(geom) if isinstance(geom, str) else geom
+    digits, little = F.hex(raw), F.hex(F.substring(raw, 1, 1)) == "01"
+    whole = lambda at: F.conv(_wkb_number(digits, F.lit(at), 4, little), 16, 10).cast("bigint")
+    double = lambda at: _wkb_double(_wkb_number(digits, at, 8, little))
+    place = lambda n: (9 + 16 * n).cast("int")
+    points = F.transform(F.sequence(F.lit(0), F.greatest(whole(5) - 1, F.lit(0)).cast("int")), lambda n: F.struct(
+        double(place(n)).alias("lon"), double(place(n) + 8).alias("lat")))
+    sound = (F.length(raw) >= 9) & (whole(1) == 2) & (whole(5) > 0) & (F.length(raw) >= 9 + 16 * whole(5))
+    return F.when(sound, F.when(F.forall(points, lambda v: v.lon.isNotNull() & v.lat.isNotNull()), points))
 
 
 def parse_wkt_line(text: Column) -> Column:

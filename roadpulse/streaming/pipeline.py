@@ -22,8 +22,10 @@ from roadpulse.params import MatchParams, TrafficParams
 from roadpulse.plans import clamped
 from roadpulse.plans.lineage import cut
 from roadpulse.session import ship
+from roadpulse.sources.gps import complete, parse_gps, quarantined
 from roadpulse.streaming.processors import (
-    CONVERGED_SCHEMA, PREVIOUS_SCHEMA, MatchProcessor, PreviousProcessor, ThinProcessor,
+    CONVERGED_SCHEMA, PREVIOUS_SCHEMA, SLIDE_SCHEMA, VISIT_SCHEMA, FateProcessor, IdleProcessor, MatchProcessor, PreviousProcessor,
+    SlideProcessor, ThinProcessor,
 )
 
 
@@ -86,8 +88,11 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keyed_state(df: DataFrame, processor, schema, ttl_ms: int | None = None) -> DataFrame:
-    """State per vehicle; the state store has to be RocksDB for this operator."""
+def keyed_state(df: DataFrame, processor, schema, ttl_ms: int | None = None, event_time: bool = False) -> DataFrame:
+    """State per vehicle; the state store has to be RocksDB for this operator.
+
+    With ``event_time`` rows behind the watermark of ``df`` are dropped and counted by the engine before they reach the state.
+    """
     spark = df.sparkSession
     spark.conf.set(_PROVIDER, _ROCKS)
     ship(spark)
@@ -96,7 +101,7 @@ def keyed_state(df: DataFrame, processor, schema, ttl_ms: int | None = None) ->
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    mode = "ProcessingTime" if ttl_ms else "None"
+    mode = "EventTime" if event_time else "ProcessingTime" if ttl_ms else "None"
     return df.groupBy("suid").transformWithStateInPandas(processor, schema, "Append", mode)
 
 
@@ -105,6 +110,38 @@ def thin_stream(samples: DataFrame, p: TrafficParams = TrafficParams(), ttl_ms:
     return keyed_state(samples, ThinProcessor(samples.columns, p, ttl_ms), samples.schema, ttl_ms)
 
 
+def fate_stream(samples: DataFrame, delay: str | None = None, p: TrafficParams = TrafficParams()) -> DataFrame:
+    """Every sample with its fate, see :class:`FateProcessor`; with ``delay`` rows older than the watermark are left out.
+
+    The engine counts what it leaves out in its progress reports; :class:`BatchMetrics` keeps the count of every batch.
+    """
+    schema = T.StructType([*samples.schema.fields, T.StructField("fate", T.StringType()), T.StructField("seen", T.LongType())])
+    timed = samples.withColumn("_at", F.timestamp_seconds("utc")).withWatermark("_at", delay) if delay else samples
+    return keyed_state(timed, FateProcessor(samples.columns, p), schema, event_time=bool(delay))
+
+
+def visit_stream(samples: DataFrame, ttl_ms: int) -> DataFrame:
+    """Visits of vehicles that were idle for ``ttl_ms``, see :class:`IdleProcessor`."""
+    return keyed_state(samples, IdleProcessor(ttl_ms), VISIT_SCHEMA, ttl_ms)
+
+
+def slide_stream(samples: DataFrame, k: int = -1, age: int = 0) -> DataFrame:
+    """Sliding windows of vehicles, see :class:`SlideProcessor`."""
+    return keyed_state(samples, SlideProcessor(k, age), SLIDE_SCHEMA)
+
+
+def lines_stage(lines: DataFrame, path: str):
+    """Writer that parts a stream of text lines into GPS rows below ``path/rows`` and broken lines below ``path/broken``."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_gps(batch, ["value"]).persist()
+        write_batch(complete(parsed).drop("value"), os.path.join(path, "rows"), batch_id)
+        write_batch(quarantined(parsed).select("value"), os.path.join(path, "broken"), batch_id)
+        parsed.unpersist()
+
+    return lines.writeStream.foreachBatch(each)
+
+
 #: Files that a stage hands over per batch.
 HANDED_FILES = 8
 
@@ -309,15 +346,19 @@ class PairState(RoadState):
 METRICS_SCHEMA = T.StructType([
     T.StructField("query", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("batch_time", T.StringType()),
     T.StructField("processing_ms", T.LongType()), T.StructField("scheduling_ms", T.LongType()), T.StructField("total_ms", T.LongType()),
-    T.StructField("rows", T.LongType()),
+    T.StructField("rows", T.LongType()), T.StructField("dropped", T.LongType()),
 ])
 
 
 def progress_row(p) -> tuple:
-    """Processing is the batch itself; scheduling is what comes before it in the trigger: offsets, logs and planning."""
+    """Processing is the batch itself; scheduling is what comes before it in the trigger: offsets, logs and planning.
+
+    ``dropped`` are the rows that came behind the watermark.
+    """
     durations = p.durationMs
     total, batch = int(durations.get("triggerExecution", 0)), int(durations.get("addBatch", 0))
-    return p.name or str(p.id), int(p.batchId), str(p.timestamp), batch, max(0, total - batch), total, int(p.numInputRows)
+    return p.name or str(p.id), int(p.batchId), str(p.timestamp), batch, max(0, total - batch), total, int(p.numInputRows), sum(
+        int(o.numRowsDroppedByWatermark) for o in p.stateOperators)
 
 
 class BatchMetrics(StreamingQueryListener):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -42,6 +43,120 @@ class ThinProcessor(StatefulProcessor):
         pass
 
 
+class FateProcessor(StatefulProcessor):
+    """Thinning that loses no row: each comes out with its ``fate`` and the newest second seen before it.
+
+    A row older than one of its vehicle that came in an earlier batch is ``out_of_order``; of the others those at least
+    ``min_gap`` seconds after the last kept one are ``kept``, the rest is ``thinned``.
+    """
+
+    def __init__(self, columns: list[str], p: TrafficParams = TrafficParams()):
+        self.columns = columns
+        self.gap = p.min_gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.marks = handle.getValueState("marks", "kept bigint, seen bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values(["utc", "event_id"], kind="stable")
+        kept, seen = self.marks.get() if self.marks.exists() else (None, None)
+        fates, before = [], []
+        for utc in pdf["utc"].tolist():
+            before.append(seen)
+            if seen is not None and utc < seen:
+                fates.append("out_of_order")
+                continue
+            seen = utc
+            if kept is None or utc >= kept + self.gap:
+                kept = utc
+                fates.append("kept")
+            else:
+                fates.append("thinned")
+        if seen is not None:
+            self.marks.update((int(kept), int(seen)))
+        out = pdf[self.columns].copy()
+        out["fate"], out["seen"] = fates, pd.array(before, dtype="Int64")
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class IdleProcessor(StatefulProcessor):
+    """A vehicle's visit: its points until it is idle for ``ttl_ms`` of processing time.
+
+    A timer ends the visit and emits it; a point that comes later, even in the batch that would have fired the timer, begins
+    the next one.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.visit = handle.getValueState("visit", "first bigint, last bigint, n bigint, touched bigint")
+
+    def _frame(self, key, visits: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *v[:3]) for v in visits], columns=["suid", "first", "last", "n"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        seconds = pd.concat(list(rows))["utc"]
+        ended, visit = [], tuple(self.visit.get()) if self.visit.exists() else None
+        if visit and now - visit[3] >= self.ttl_ms:
+            ended, visit = [visit], None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        low, high, n = int(seconds.min()), int(seconds.max()), len(seconds)
+        self.visit.update((min(low, visit[0]), max(high, visit[1]), n + visit[2], now) if visit else (low, high, n, now))
+        self.handle.registerTimer(now + self.ttl_ms)
+        yield self._frame(key, ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ended = [tuple(self.visit.get())] if self.visit.exists() else []
+        self.visit.clear()
+        yield self._frame(key, ended)
+
+    def close(self) -> None:
+        pass
+
+
+VISIT_SCHEMA = "suid bigint, first bigint, last bigint, n bigint"
+
+
+class SlideProcessor(StatefulProcessor):
+    """Sliding window of a vehicle's samples by count, by age, or both, without emission of what leaves it.
+
+    After each sample it says how many samples the window holds and which is the oldest. ``k`` keeps that many samples
+    before the newest, ``age`` those at most that many seconds older; older rows than the newest are dropped.
+    """
+
+    def __init__(self, k: int = -1, age: int = 0):
+        self.k, self.age = k, age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getListState("window", "utc bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        window = deque(r[0] for r in self.window.get()) if self.window.exists() else deque()
+        out = []
+        for utc in sorted(pd.concat(list(rows))["utc"].tolist()):
+            if window and utc < window[-1]:
+                continue
+            window.append(utc)
+            while (self.k >= 0 and len(window) > self.k + 1) or (self.age > 0 and utc - window[0] > self.age):
+                window.popleft()
+            out.append((key[0], utc, len(window), window[0]))
+        self.window.put([(int(utc),) for utc in window])
+        yield pd.DataFrame(out, columns=["suid", "utc", "n", "oldest"])
+
+    def close(self) -> None:
+        pass
+
+
+SLIDE_SCHEMA = "suid bigint, utc bigint, n bigint, oldest bigint"
+
+
 class PreviousProcessor(StatefulProcessor):
     """Adds the roads of the vehicle's previous sample with candidates."""
 
