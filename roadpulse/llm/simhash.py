@@ -251,17 +251,19 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule=N
     ``rule`` is a module with ``components`` and ``fingerprint``; without one, this one's rule of few differing bits holds.
 
     Rows that share an id, and rows without one, are told apart by their fingerprints: of those that name their component
-    one stays, the first by text; so does one where a component has no id at all.
+    one stays, the first by text; so does one where a component has no id at all. Null and empty texts are one component.
+    Other columns are kept whatever their names; an empty table gives an empty result.
     """
     grouped, marked = (rule.components, rule.fingerprint) if rule else (components, fingerprint)
     found = stored(grouped(docs, text, doc_id), "near-copies")
     counts = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_copy"))
-    repeated = stored(counts.where("_n > 1").select(F.col("doc_id").alias("_other")), "repeated-ids")
-    other = counts.where("_n > 1 OR _copy").select(F.col("doc_id").alias("_other"))
+    side = next(n for n in (f"_other{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    repeated = stored(counts.where("_n > 1").select(F.col("doc_id").alias(side)), "repeated-ids")
+    other = counts.where("_n > 1 OR _copy").select(F.col("doc_id").alias(side))
     key = F.col(doc_id)
-    plain = docs.where(key.isNotNull()).join(other, key == F.col("_other"), "left_anti")
-    unclear = docs.where(key.isNull()).unionByName(docs.join(repeated, key == F.col("_other"), "left_semi"))
+    plain = docs.where(key.isNotNull()).join(other, key == F.col(side), "left_anti")
+    unclear = docs.where(key.isNull()).unionByName(docs.join(repeated, key == F.col(side), "left_semi"))
     # Few rows in sound data; copies are put together before they are shuffled.
     packed = unclear.select(F.struct("*").alias("_doc"), key.alias("_id"), marked(text).alias("_fp"), F.struct(F.col(text), F.xxhash64(*docs.columns)).alias("_rank"))
     first = packed.groupBy("_id", "_fp").agg(F.min("_rank").alias("_best"), F.min_by("_doc", "_rank").alias("_doc"))
