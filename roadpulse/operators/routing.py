@@ -61,8 +61,78 @@ def reachable(roads: DataFrame, successors: DataFrame, sources: DataFrame, bound
 
 # -- requested pairs -------------------------------------------------------------
 
+def _cheapest(start: list[int], wanted: dict, bound: float, price: dict, after: dict) -> tuple[dict, dict]:
+    """Fronts of the targets whose cheapest chain no end pieces can make too long; each road is settled once.
+
+    The second value has the other targets that may have a chain, and up to which length one of theirs can be of use.
+    """
+    came: dict[int, int] = {}
+    fronts: dict[int, list[tuple]] = {}
+    open_, rest, cut_off = set(wanted), {}, False
+    heap = [(0.0, 0.0, road, -1) for road in start]
+    heapq.heapify(heap)
+    while heap and open_:
+        cost, length, road, before = heapq.heappop(heap)
+        if road in came:
+            continue
+        came[road] = before
+        if road in open_:
+            open_.discard(road)
+            most, sure, ends = wanted[road]
+            if length <= sure:
+                path, at = [], road
+                while at >= 0:
+                    path.append(at)
+                    at = came[at]
+                fronts[road] = [(cost, length, path[::-1])]
+            else:
+                # A bound that holds this chain with any ends needs no other.
+                rest[road] = min(most, length + ends)
+        own_cost, own_length = price[road]
+        if length + own_length > bound:
+            cut_off = True
+            continue
+        for following in after[road]:
+            if following not in came:
+                heapq.heappush(heap, (cost + own_cost, length + own_length, following, road))
+    if cut_off:
+        rest |= {road: wanted[road][0] for road in open_}
+    return fronts, rest
+
+
+def _fronts(start: list[int], wanted: dict, bound: float, price: dict, after: dict) -> dict:
+    """Fronts of the targets, in order of cost; a road is settled again by each label shorter than all before it."""
+    wanted, fronts = dict(wanted), {}
+    # A label is (cost, length up to the start of its road, road, label it came from).
+    labels: list[tuple[float, float, int, int]] = []
+    shortest: dict[int, float] = {}
+    heap = [(0.0, 0.0, road, -1) for road in start]
+    heapq.heapify(heap)
+    while heap and wanted:
+        cost, length, road, came = heapq.heappop(heap)
+        # A dearer label matters only where it is shorter than all before it.
+        if length >= shortest.get(road, float("inf")):
+            continue
+        shortest[road] = length
+        labels.append((cost, length, road, came))
+        place = len(labels) - 1
+        if road in wanted and length <= wanted[road][0]:
+            path, at = [], place
+            while at >= 0:
+                path.append(labels[at][2])
+                at = labels[at][3]
+            fronts.setdefault(road, []).append((cost, length, path[::-1]))
+            if length <= wanted[road][1]:
+                del wanted[road]
+        own_cost, own_length = price[road]
+        if length + own_length <= bound:
+            for following in after[road]:
+                heapq.heappush(heap, (cost + own_cost, length + own_length, following, place))
+    return fronts
+
+
 def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Fronts of the requested pairs of one tile, one search per source road."""
+    """Fronts of the requested pairs of one tile, a search per source road and a second one where lengths decide."""
     after: dict[int, list[int]] = {}
     price = dict(zip(edges["id"].tolist(), zip(edges["cost"].tolist(), edges["length_m"].tolist())))
     for road, nexts in zip(edges["id"].tolist(), edges["next"].tolist()):
@@ -70,35 +140,12 @@ def _search(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for src, group in requests.groupby("src", sort=True):
         # Up to which length chains count, and from which one on no end pieces of any request can make it too long.
-        wanted = {t: (most, sure) for t, most, sure in zip(group["tgt"].tolist(), group["most"].tolist(), group["sure"].tolist())}
-        fronts: dict[int, list[tuple[float, float, list[int]]]] = {}
-        bound = float(group["most"].max())
-        # A label is (cost, length up to the start of its road, road, label it came from), settled in order of cost.
-        labels: list[tuple[float, float, int, int]] = []
-        shortest: dict[int, float] = {}
-        heap = [(0.0, 0.0, int(nxt), -1) for nxt in group["src_next"].iloc[0] if nxt in price]
-        heapq.heapify(heap)
-        while heap and wanted:
-            cost, length, road, came = heapq.heappop(heap)
-            # A dearer label matters only where it is shorter than all before it.
-            if length >= shortest.get(road, float("inf")):
-                continue
-            shortest[road] = length
-            labels.append((cost, length, road, came))
-            place = len(labels) - 1
-            if road in wanted and length <= wanted[road][0]:
-                path, at = [], place
-                while at >= 0:
-                    path.append(labels[at][2])
-                    at = labels[at][3]
-                fronts.setdefault(road, []).append((cost, length, [int(src), *path[::-1]]))
-                if length <= wanted[road][1]:
-                    del wanted[road]
-            own_cost, own_length = price[road]
-            if length + own_length <= bound:
-                for nxt in after[road]:
-                    heapq.heappush(heap, (cost + own_cost, length + own_length, nxt, place))
-        rows += [(src, tgt, [dict(zip(("inner_cost", "inner_length", "path"), label)) for label in front]) for tgt, front in fronts.items()]
+        wanted = dict(zip(group["tgt"].tolist(), zip(group["most"].tolist(), group["sure"].tolist(), group["ends"].tolist())))
+        start = [int(n) for n in group["src_next"].iloc[0] if n in price]
+        fronts, rest = _cheapest(start, wanted, float(group["most"].max()), price, after)
+        if rest:
+            fronts |= _fronts(start, {t: (limit, wanted[t][1]) for t, limit in rest.items()}, max(rest.values()), price, after)
+        rows += [(src, tgt, [dict(inner_cost=c, inner_length=l, path=[int(src), *path]) for c, l, path in front]) for tgt, front in fronts.items()]
     return pd.DataFrame(rows, columns=["src", "tgt", "front"])
 
 
@@ -148,7 +195,7 @@ def fronts_between(requests: DataFrame, tiles: RoadTiles, sources_per_group: int
     target = tiles.edges.select(F.col("id").alias("tgt"), F.col("length_m").alias("_to"))
     zoom = F.greatest(F.lit(0), F.ceil(F.log2(F.col("most") / 1000)))
     placed = cut(pairs.join(source, "src").join(target, "tgt").withColumn("zoom", zoom.cast("int")).select(
-        "src", "tgt", "most", (F.col("least") - F.col("_from") - F.col("_to")).alias("sure"), "src_next", "zoom",
+        "src", "tgt", "most", (F.col("least") - F.col("_from") - F.col("_to")).alias("sure"), (F.col("_from") + F.col("_to")).alias("ends"), "src_next", "zoom",
         F.floor(F.col("lon") / tiles.width(F.col("zoom"))).alias("tx"), F.floor(F.col("lat") / tiles.side(F.col("zoom"))).alias("ty")))
     used = cut(placed.groupBy("zoom", "tx", "ty").agg(F.approx_count_distinct("src").alias("n")).select(
         "zoom", "tx", "ty", F.ceil(F.col("n") / sources_per_group).cast("int").alias("parts")))
