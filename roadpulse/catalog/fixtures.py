@@ -41,7 +41,8 @@ def stored(build):
 
     @functools.wraps(build)
     def read(self: Fixtures) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, build.__name__)
+        own = type(self).__name__ if build.__name__ in self.OWN else ""
+        key = (self.spark.sparkContext.applicationId, self.dir, own + build.__name__)
         if key not in _stored:
             path = scratch_path(self.spark, build.__name__)
             # Small tables would end in one file, and reading them back in one task.
@@ -53,6 +54,9 @@ def stored(build):
 
 
 class Fixtures:
+    #: Stored tables that a subclass builds in its own way.
+    OWN: frozenset[str] = frozenset()
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")

@@ -11,6 +11,8 @@ from roadpulse.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The functions themselves, to run them on other fixtures.
+FUNCTIONS: dict[str, Callable[[Fixtures], DataFrame]] = {}
 
 
 def query(name: str, check: str | None = None):
@@ -24,7 +26,7 @@ def query(name: str, check: str | None = None):
             ship(spark)
             return fn(Fixtures(spark, sf_dir))
 
-        QUERIES[name] = run
+        QUERIES[name], FUNCTIONS[name] = run, fn
         if check:
             ORACLES[name] = check
         return fn
