@@ -34,7 +34,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     Of the rows with equal payloads of ``least`` bytes or more, the one with the largest id is the response; among rows that
     share that id, and where all ids are null, every one is. Digests are joined on ids and numbers alone, so a payload that
     a third of all rows share is spread, and payloads are not shuffled unless the table of repeated digests is too large to
-    send to every task, which Spark decides by its size.
+    send to every task, which Spark decides by its size. Every record has the time of the query as its date, and an id; a row
+    without one gets a random name.
     """
     body = _payload(html)
     known = pages.select(F.col(page_id).alias("_id"), F.octet_length(body).cast("long").alias("_bytes"), F.sha1(body.cast("binary")).alias("_sha"))
@@ -48,7 +49,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     line = "\r\n"
     header = F.concat(
         F.lit(VERSION + "WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit(line),
-        F.coalesce(F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("_id").cast("string"), F.lit(">" + line)), F.lit("")),
+        F.lit("WARC-Record-ID: <"), F.coalesce(F.concat(F.lit("urn:page:"), F.col("_id").cast("string")), F.concat(F.lit("urn:uuid:"), F.uuid())),
+        F.lit(">" + line + "WARC-Date: "), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(line),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), _one_line(F.col("_url")), F.lit(line)), F.lit("")),
         F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" + line + "WARC-Refers-To: <urn:page:"),
                                F.col("_kept").cast("string"), F.lit(">" + line))).otherwise(""),

@@ -390,6 +390,21 @@ def test_archive(spark, table, tmp_path):
         assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
 
 
+def test_mandatory_headers(spark, tmp_path):
+    """Every record names its type, length, id and date, whatever the row lacks."""
+    import re
+
+    pages = spark.createDataFrame([(1, "u", "a"), (None, None, None), (None, "x", "b" * 2000), (5, "x", "b" * 2000)], "page_id long, url string, html string")
+    warc.write_archive(pages.coalesce(1), str(tmp_path / "w"))
+    text = next((tmp_path / "w").glob("part-*")).read_bytes().decode()
+    heads = [h.split("\r\n\r\n")[0] for h in text.split("WARC/1.0\r\n")[1:]]
+    names = [set(re.findall(r"^([A-Za-z-]+): ", h, re.M)) for h in heads]
+    assert len(heads) == 4 and all({"WARC-Type", "Content-Length", "WARC-Record-ID", "WARC-Date"} <= n for n in names)
+    assert all(re.search(r"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h) for h in heads)
+    assert len({re.search("WARC-Record-ID: <(.*)>", h)[1] for h in heads}) == 4
+    assert rows(warc.records(warc.read_archive(spark, str(tmp_path / "w"))), "page_id")[(None,)] == 2
+
+
 def test_archive_splits(spark, tmp_path):
     """Records over many blocks of one file, with version lines in payloads."""
     pages = spark.createDataFrame([(i, "u", ("WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" if i % 3 == 0 else "y") * (i % 50)) for i in range(400)], "page_id long, url string, html string")
