@@ -389,7 +389,7 @@ def _online(self: Fixtures):
     key = (self.spark.sparkContext.applicationId, self.dir, "online")
     if key not in fixtures._stored:
         root = scratch_path(self.spark, "online")
-        ST.match_online(sample_stream(self), self.base_roads(), self.roads(), self.successors(), root, files=2 * ST.HANDED_FILES)
+        ST.match_online(sample_stream(self), self.base_roads(), self.roads(), self.successors(), root, files=4 * ST.HANDED_FILES)
         fixtures._stored[key] = os.path.join(root, "matched")
     return self.spark.read.schema(ST.CONVERGED_SCHEMA).parquet(fixtures._stored[key])
 
