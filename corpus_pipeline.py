@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontamination, mixing, pii, shingles, simhash, toxicity
+from roadpulse.llm import decontamination, mixing, near_copies, pii, simhash, toxicity
 from roadpulse.llm.common import stored
 from roadpulse.session import ship
 
@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near copies: 5-word shingles, Jaccard 0.8 or more."""
+    """Keeps the document with the smallest id of every group of near copies: SimHash, and 5-word shingles with Jaccard 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs, rule=shingles)
+    return simhash.keep_one(docs, rule=near_copies)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
