@@ -153,7 +153,7 @@ def _(f):
     "pairs", "road_state", elements=PLAIN, totals=TOTALS))
 def _(f):
     totals = T.route_totals(elements(f)).withColumn("total_length", F.col("total_length") * 3)
-    return totals.join(T.plausible_totals(totals), ["suid", "utc"], "left_anti").select("suid", "utc")
+    return totals.filter(~F.coalesce(T.plausible(), F.lit(False))).select("suid", "utc")
 
 
 @query("P25_valid_pairs", sql("SELECT suid, utc, interval FROM good", "pairs", "road_state", elements=PLAIN, totals=TOTALS, good=GOOD))

@@ -53,20 +53,27 @@ def route_elements(pairs: DataFrame, state: DataFrame, turning: DataFrame | None
     )
 
 
+def _expected() -> Column:
+    """Expected time on a road and the turn that leaves it."""
+    return F.col("coverage") * F.col("time") + F.coalesce("turning", F.lit(0.0))
+
+
 def route_totals(elements: DataFrame) -> DataFrame:
     """Covered length and expected time of each pair."""
     return elements.groupBy(*PAIR, "interval").agg(
         F.sum("covered").alias("total_length"),
-        F.sum(F.col("coverage") * F.col("time") + F.coalesce("turning", F.lit(0.0))).alias("total_time"),
+        F.sum(_expected()).alias("total_time"),
     )
 
 
+def plausible(p: TrafficParams = TrafficParams()) -> Column:
+    """Whether a pair's totals say that it moved in positive time, not faster than allowed."""
+    return (F.col("interval") > 0) & (F.col("total_time") > 0) & (F.col("total_length") / F.col("interval") <= p.max_speed)
+
+
 def plausible_totals(totals: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
     """Pairs that moved in positive time, not faster than allowed."""
-    return totals.filter(
-        (F.col("interval") > 0) & (F.col("total_time") > 0)
-        & (F.col("total_length") / F.col("interval") <= p.max_speed)
-    )
+    return totals.filter(plausible(p))
 
 
 def allocate(elements: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
@@ -75,8 +82,11 @@ def allocate(elements: DataFrame, p: TrafficParams = TrafficParams()) -> DataFra
     The share of a road is its expected time including the turn that leaves it;
     road time is scaled back to the whole road. A road repeated at once is skipped.
     """
-    totals = plausible_totals(route_totals(elements), p).select(*PAIR, "total_time")
-    rows = elements.join(totals, PAIR).filter(
+    # A window over the roads of one route: the elements are priced and shuffled to their pair once, not for the totals again.
+    pair = Window.partitionBy(*PAIR, "interval")
+    totals = elements.withColumn("total_length", F.sum("covered").over(pair)).withColumn(
+        "total_time", F.sum(_expected()).over(pair))
+    rows = totals.filter(plausible(p)).filter(
         F.col("next_road").isNull() | (F.col("next_road") != F.col("road"))
     )
     spent = F.col("interval") / F.col("total_time")
