@@ -49,8 +49,12 @@ def _gather(df: DataFrame, keys: list[str], order: Column | str, f: str = "f") -
 
 
 def per_slice(df: DataFrame, keys: list[str], slot: str, chunk: str, order: list[str]) -> DataFrame:
-    """One composed function per key and slice from rows with column ``f``."""
-    chunks = _gather(df, [*keys, slot, chunk], F.struct(*order).alias("o"))
+    """One composed function per key and slice from rows with column ``f``.
+
+    Rows are dealt by key and slice, so that the chunks of a slice, composed one by one, need no second exchange.
+    """
+    dealt = df.select(*dict.fromkeys([*keys, slot, chunk, *order]), "f").repartition(*keys, slot)
+    chunks = _gather(dealt, [*keys, slot, chunk], F.struct(*order).alias("o"))
     return _gather(chunks, [*keys, slot], F.col(chunk))
 
 
