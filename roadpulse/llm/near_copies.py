@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from roadpulse.llm import shingles, simhash
 from roadpulse.llm.common import stored
-from roadpulse.plans.components import connected_components
 
 
 def fingerprint(text: str | Column) -> Column:
@@ -18,21 +17,26 @@ def fingerprint(text: str | Column) -> Column:
     return F.xxhash64(simhash.fingerprint(text), shingles.fingerprint(text))
 
 
+def _between_texts(links: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """``a, b`` among the ``fp`` of ``texts``: ``links(a, b)`` of ``key``, and what ties all texts of one ``key`` to the first of them."""
+    first = stored(texts.groupBy(key).agg(F.min("fp").alias("_first"), F.max("fp").alias("_last")), "first-texts")
+    ties = texts.join(first.where("_first <> _last"), key).where("fp <> _first").select(F.col("fp").alias("a"), F.col("_first").alias("b"))
+    end = lambda name: first.select(F.col(key).alias(name), F.col("_first").alias(f"_{name}"))
+    moved = links.join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return ties.union(moved)
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, fp, group, component_id`` as ``simhash.components`` gives them, linked by bits or by shingles.
 
-    Only groups that meet another one of the other rule are put together in rounds.
+    A text is read once for both digests. The links of both rules become links between texts, so what hangs together is
+    sought once.
     """
-    marked = stored(docs.select(F.col(doc_id).alias("doc_id"), simhash.fingerprint(text).alias("_a"), shingles.fingerprint(text).alias("_b")), "both-fingerprints")
-    named = lambda found, fp, group: found.select(F.col("fp").alias(fp), F.concat(F.lit(group), F.col("group").cast("string")).alias(group)).distinct()
-    by_bits, by_shingles = named(simhash.components(docs, text, doc_id), "_a", "a"), named(shingles.components(docs, text, doc_id), "_b", "b")
-    texts = stored(marked.groupBy("_a", "_b").agg(F.min("doc_id").alias("_least")).join(by_bits, "_a").join(by_shingles, "_b"), "both-groups")
-    met = stored(texts.select("a", "b").distinct(), "group-edges")
-    several = lambda one, other: met.groupBy(one).agg((F.min(other) != F.max(other)).alias(f"_{one}s"))
-    edges = stored(met.join(several("a", "b"), "a").join(several("b", "a"), "b").where("_as OR _bs").select("a", "b"), "crossing-edges")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    roots = stored(connected_components(nodes, edges), "both-components").select(F.col("node").alias("a"), "component")
-    grouped = stored(texts.join(roots, "a", "left").select("_a", "_b", "_least", F.coalesce("component", "a").alias("group")), "grouped-texts")
-    least = grouped.groupBy("group").agg(F.min("_least").alias("component_id"))
-    labels = grouped.select("_a", "_b", "group").join(least, "group")
-    return marked.join(labels, ["_a", "_b"]).select("doc_id", F.xxhash64("_a", "_b").alias("fp"), "group", "component_id")
+    both = docs.select(F.col(doc_id).alias("doc_id"), simhash.fingerprint(text).alias("_bits"), shingles.sketch(F.col(text)).alias("_s"))
+    marked = stored(both.select("doc_id", F.xxhash64("_bits", "_s.fp").alias("fp"), "_bits", F.col("_s.fp").alias("_set"), "_s.n", "_s.bands"), "both-fingerprints")
+    texts = stored(marked.groupBy("fp", "_bits", "_set").agg(F.min("doc_id").alias("_least")), "distinct-texts")
+    sets = stored(marked.groupBy(F.col("_set").alias("fp")).agg(F.min("doc_id").alias("_least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-sketches")
+    by_bits = stored(simhash.links(stored(texts.select(F.col("_bits").alias("fp")).distinct(), "distinct-fingerprints")).distinct(), "fingerprint-links")
+    by_shingles = stored(shingles.links(docs, sets, text, doc_id), "shingle-links")
+    edges = stored(_between_texts(by_bits, texts, "_bits").union(_between_texts(by_shingles, texts, "_set")).distinct(), "text-links")
+    return simhash.labelled(marked.select("doc_id", "fp"), texts.select("fp", "_least"), edges)

@@ -92,7 +92,9 @@ def fingerprint(text: str | Column) -> Column:
     return hashed(as_bytes(text))
 
 
-def _sketch(text: Column) -> Column:
+def sketch(text: Column) -> Column:
+    """Digest of a text's set of shingles, its size, and a key a band (none without words)."""
+
     @F.arrow_udf("struct<fp:long,n:int,bands:array<long>>")
     def sketched(texts: pa.Array) -> pa.Array:
         out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64))]
@@ -223,13 +225,13 @@ def links(docs: DataFrame, sets: DataFrame, text: str = "text", doc_id: str = "d
     spark = docs.sparkSession
     grouped = stored(groups(sets.select("fp", "bands")), "shingle-groups")
     wanted = stored(grouped.join(sets.select("fp", "_least", "n"), "fp"), "grouped-sets")
+    total, many = wanted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     key = F.col("_id")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     # The document with the least id stands for its set; of sets without any id all documents are looked at.
-    found = rows.where(key.isNull() | id_filter(wanted.select(F.col("_least").alias("_id")), "_id"))
+    found = rows.where(key.isNull() | id_filter(wanted.select(F.col("_least").alias("_id")), "_id", many))
     bodies = found.select(key, "_text", fingerprint("_text").alias("fp")).join(wanted, "fp").where(F.col("_least").eqNullSafe(key))
     content = bodies.groupBy("fp", "_group").agg(F.min("_text").alias("_text")).select("fp", "_group", _content(F.col("_text")).alias("_set"))
-    total = wanted.agg(F.sum("n")).first()[0] or 0
     # Fewer than LARGE_GROUPS rows: each stands for over 1 / LARGE_GROUPS of the shingles.
     large = wanted.groupBy("_group").agg(F.sum("n").alias("_size")).where(F.col("_size") > max(GROUP_SHINGLES, total // LARGE_GROUPS)).select(
         "_group", F.ceil(F.col("_size") / (GROUP_SHINGLES / 2)).cast("int").alias("_parts"))
@@ -248,7 +250,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     Null ids are kept and never name a component, unless it holds no other. Repeated rows get the same component, texts are
     taken whole, other columns are ignored, an empty table gives an empty result.
     """
-    sketched = stored(docs.select(F.col(doc_id).alias("doc_id"), _sketch(F.col(text)).alias("_s")).select("doc_id", "_s.*"), "shingle-sketches")
+    sketched = stored(docs.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text)).alias("_s")).select("doc_id", "_s.*"), "shingle-sketches")
     distinct = stored(sketched.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-sketches")
     edges = stored(links(docs, distinct, text, doc_id), "shingle-links")
     return labelled(sketched.select("doc_id", "fp"), distinct.select("fp", "_least"), edges)
