@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from roadpulse.streaming.processors import FateProcessor
+from roadpulse.streaming.processors import FateProcessor, ThinProcessor
 
 
 class _List:
@@ -23,7 +23,7 @@ class _Handle:
     def __init__(self):
         self.lists = _List()
 
-    def getListState(self, name, schema):
+    def getListState(self, name, schema, ttl=None):
         return self.lists
 
 
@@ -40,3 +40,14 @@ def test_vehicles_of_a_group_keep_marks_of_their_own():
     handle.lists.rows = []
     assert told(None, batch((8, None, 10), (9, None, 12))) == {8: ("kept", None), 9: ("thinned", 10)}
     assert handle.lists.rows == [(None, 10, 12)]
+
+
+def test_vehicles_of_a_group_are_thinned_on_their_own():
+    handle, columns = _Handle(), ["event_id", "suid", "utc"]
+    thin = ThinProcessor(columns)
+    thin.init(handle)
+    kept = lambda key, *rows: sorted(i for out in thin.handleInputRows((key,), [pd.DataFrame(list(rows), columns=columns)], None) for i in out["event_id"])
+    assert kept(7, (1, 5, 100), (2, 6, 10), (3, 5, 104), (4, 6, 20)) == [1, 2, 4]
+    assert kept(7, (5, 6, 29), (6, 5, 90), (7, 5, 110), (8, 8, 1)) == [7, 8]
+    handle.lists.rows = []
+    assert kept(None, (9, None, 10), (10, None, 12)) == [9]
