@@ -9,8 +9,7 @@ from roadpulse.catalog.network import road_state
 from roadpulse.catalog.registry import query
 from roadpulse.functions import scalar as S
 from roadpulse.operators import traffic as T
-from roadpulse.plans.lineage import cut
-from roadpulse.plans.lineage import scratch_path
+from roadpulse.plans.lineage import kept, scratch_path
 from roadpulse.sinks import tables
 from roadpulse.sources import roads as RS
 
@@ -285,7 +284,7 @@ def inferred(f: Fixtures, roads):
 
 
 def real_rows(f: Fixtures):
-    roads = cut(speeds(f)[0])
+    roads = kept(speeds(f)[0])
     return T.real_road_rows(roads, inferred(f, roads))
 
 

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from roadpulse.functions import scalar as S
 from roadpulse.params import DAY_SECONDS, SLICES_PER_DAY, TrafficParams
 from roadpulse.plans import clamped
-from roadpulse.plans.lineage import cut
-from roadpulse.plans.ordered import with_previous, with_running_max
+from roadpulse.plans.lineage import drop, kept
+from roadpulse.plans.ordered import with_running_max
 
 PAIR = ["suid", "utc"]
 
 
 # -- routes -------------------------------------------------------------------
 
-def route_elements(pairs: DataFrame, state: DataFrame, turning: DataFrame | None = None, p: TrafficParams = TrafficParams()) -> DataFrame:
+def route_elements(
+    pairs: DataFrame, state: DataFrame, turning: DataFrame | None = None, p: TrafficParams = TrafficParams(), carry: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per road of each route with coverage, times and turning time.
 
     The first road counts from the previous offset (half of it in time when the
     route does not start on the previous road), the last one up to the current
-    offset. Turning times come from ``turning`` or the default.
+    offset. Turning times come from ``turning`` or the default. Columns ``carry`` of the state come along.
     """
     n = F.size("route")
     parts = pairs.filter((F.col("pre_gid") != F.col("gid")) & F.col("route").isNotNull()).select(
@@ -36,7 +38,7 @@ def route_elements(pairs: DataFrame, state: DataFrame, turning: DataFrame | None
         .when(last, F.col("offset")).otherwise(F.lit(1.0)).alias("coverage"),
         F.when(first, 1 - F.col("pre_offset")).when(last, F.col("offset")).otherwise(F.lit(1.0)).alias("length_share"),
     )
-    attributes = state.select(F.col("gid").alias("road"), "length", "time")
+    attributes = state.select(F.col("gid").alias("road"), "length", "time", *carry)
     priced = parts.join(attributes, "road")
     if turning is None:
         known = F.lit(p.turning_default)
@@ -49,7 +51,7 @@ def route_elements(pairs: DataFrame, state: DataFrame, turning: DataFrame | None
     return priced.select(
         *PAIR, "interval", "pos", "road", "next_road", "coverage", "length", "time",
         (F.col("length") * F.col("length_share")).alias("covered"),
-        F.when(F.col("next_road").isNotNull(), known).alias("turning"),
+        F.when(F.col("next_road").isNotNull(), known).alias("turning"), *carry,
     )
 
 
@@ -76,7 +78,7 @@ def plausible_totals(totals: DataFrame, p: TrafficParams = TrafficParams()) -> D
     return totals.filter(plausible(p))
 
 
-def allocate(elements: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
+def allocate(elements: DataFrame, p: TrafficParams = TrafficParams(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Splits the interval of each pair over its roads and turns.
 
     The share of a road is its expected time including the turn that leaves it;
@@ -94,36 +96,39 @@ def allocate(elements: DataFrame, p: TrafficParams = TrafficParams()) -> DataFra
     return rows.select(
         *PAIR, "pos", "road", "next_road",
         F.when(F.col("coverage") != 0, on_road / F.col("coverage")).otherwise(on_road).alias("road_time"),
-        (F.col("turning") * spent).alias("turning_time"),
+        (F.col("turning") * spent).alias("turning_time"), *carry,
     )
 
 
 # -- observations ---------------------------------------------------------------
 
-def same_road_observations(pairs: DataFrame, state: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
+def same_road_observations(pairs: DataFrame, state: DataFrame, p: TrafficParams = TrafficParams(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Speed of pairs on one road; standing still counts only on a slow road."""
     same = pairs.filter((F.col("pre_gid") == F.col("gid")) & (F.col("utc") > F.col("pre_utc")))
-    joined = same.join(state.select("gid", "length", "avg_speed"), "gid")
+    joined = same.join(state.select("gid", *dict.fromkeys(["length", "avg_speed", *carry])), "gid")
     speed = S.segment_speed(F.col("pre_offset"), F.col("offset"), F.col("length"), F.col("utc") - F.col("pre_utc"))
     still = F.col("offset") == F.col("pre_offset")
     return joined.filter(~still | (F.col("avg_speed") < p.jam_speed)).select(
         F.col("gid").alias("road"), *PAIR, F.lit(0).alias("pos"),
         F.when(still, "jam").otherwise("speed").alias("kind"),
         F.when(still, F.lit(0.0)).otherwise(speed).alias("value"),
-        F.lit(None).cast("bigint").alias("next_road"), F.lit(None).cast("double").alias("turning_time"),
+        F.lit(None).cast("bigint").alias("next_road"), F.lit(None).cast("double").alias("turning_time"), *carry,
     )
 
 
-def route_observations(allocated: DataFrame) -> DataFrame:
+def route_observations(allocated: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return allocated.select(
-        "road", *PAIR, "pos", F.lit("route").alias("kind"), F.col("road_time").alias("value"), "next_road", "turning_time"
+        "road", *PAIR, "pos", F.lit("route").alias("kind"), F.col("road_time").alias("value"), "next_road", "turning_time", *carry
     )
 
 
-def observations(pairs: DataFrame, state: DataFrame, turning: DataFrame | None = None, p: TrafficParams = TrafficParams()) -> DataFrame:
-    """All road observations; route weights use the state at the start of the run."""
-    routes = route_observations(allocate(route_elements(pairs, state, turning, p), p))
-    return routes.unionByName(same_road_observations(pairs, state, p))
+def observations(
+    pairs: DataFrame, state: DataFrame, turning: DataFrame | None = None, p: TrafficParams = TrafficParams(), carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """All road observations; route weights use the state at the start of the run. Columns ``carry`` of the state come along."""
+    own = tuple(c for c in carry if c != "length")
+    routes = route_observations(allocate(route_elements(pairs, state, turning, p, own), p, carry), carry)
+    return routes.unionByName(same_road_observations(pairs, state, p, carry))
 
 
 # -- smoothing ------------------------------------------------------------------
@@ -167,12 +172,10 @@ def admit(obs: DataFrame, order: list[str], chunk: Column, p: TrafficParams = Tr
     )
 
 
-def speed_updates(admitted: DataFrame, state: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
-    """Each row's effect on the road's speed as a clamped linear function."""
-    rows = admitted.join(state.select(F.col("gid").alias("road"), "length", "max_speed"), "road")
+def _effect(old: Column, p: TrafficParams) -> tuple[Column, Column]:
+    """Whether a row is usable, and its effect on the road's speed as a clamped linear function; ``old`` is the slice of the road before it."""
     limit = F.greatest(F.lit(p.min_speed), F.col("max_speed"))
     cur = slot_seq(F.col("own"))
-    old = F.coalesce(slot_seq(F.col("prior")), F.lit(-1))
     alpha = S.smoothing(old, cur, F.col("late") if p.late_alpha else None, p)
     sensed = F.when(F.col("kind") == "route", F.col("length") / F.col("value")).otherwise(F.col("value"))
     x = F.when(F.col("kind") == "route", sensed).otherwise(S.clamp_speed(sensed, limit, p))
@@ -183,14 +186,62 @@ def speed_updates(admitted: DataFrame, state: DataFrame, p: TrafficParams = Traf
         .when(usable, clamped.update(x * (1 - alpha), alpha, F.lit(p.min_speed), limit))
         .otherwise(clamped.identity())
     )
+    return usable, f
+
+
+def _seq_before(slot: Column) -> Column:
+    return F.coalesce(slot_seq(slot), F.lit(-1))
+
+
+def speed_updates(admitted: DataFrame, state: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
+    """Each row's effect on the road's speed as a clamped linear function."""
+    rows = admitted.join(state.select(F.col("gid").alias("road"), "length", "max_speed"), "road")
+    usable, f = _effect(_seq_before(F.col("prior")), p)
     return rows.withColumn("usable", usable).withColumn("f", f)
 
 
+#: Columns of the state that observations in time order bring along.
+CARRIED = ("length", "max_speed")
+
+
+def timed_updates(obs: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
+    """As :func:`admit` and :func:`speed_updates` for observations taken in time order, each looked at on its own.
+
+    In time order slices never go back, so a row is in the newer one of its own slice and ``open_slot``, that of the road before
+    this run. ``obs`` has the columns CARRIED and maybe ``open_slot``. Only the first row of a slice depends on rows before it;
+    :func:`timed_slices` sees to that.
+    """
+    valid = F.when(F.col("kind") == "route", F.col("value") > 0).otherwise(F.col("value") >= 0)
+    rows = obs.filter(valid).withColumn("own", slot_of(F.col("utc")))
+    if "open_slot" not in obs.columns:
+        rows = rows.withColumn("open_slot", F.lit(None).cast("bigint"))
+    rows = rows.withColumn("slot", F.greatest("own", "open_slot"))
+    behind = F.col("slot") - F.col("own")
+    same_day = slot_day(F.col("slot")) == slot_day(F.col("own"))
+    rows = rows.withColumn("late", behind > 0).withColumn("accepted", (behind == 0) | (same_day & (behind <= p.late_slices)))
+    return rows.withColumn("usable", _effect(slot_seq(F.col("slot")), p)[0])
+
+
+def timed_slices(updates: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams()) -> DataFrame:
+    """One composed function per road and slice of :func:`timed_updates`."""
+    raw = ["kind", "value", "own", "late", "accepted", "length", "max_speed", "open_slot"]
+    rows = updates.withColumn("f", _effect(slot_seq(F.col("slot")), p)[1]).withColumn("_chunk", chunk)
+    slices = clamped.gather_from(rows, ["road", "slot"], "_chunk", order, F.struct(*raw))
+    before = F.lag("slot").over(Window.partitionBy("road").orderBy("slot"))
+    first = slices.select("road", "slot", "first.*", "rest", before.alias("_before"))
+    old = F.when(F.col("late"), slot_seq(F.col("slot"))).otherwise(_seq_before(F.coalesce("_before", "open_slot")))
+    return first.withColumn("f", _effect(old, p)[1]).select("road", "slot", clamped.then(F.col("f"), F.col("rest")).alias("f"))
+
+
 def smooth_roads(updates: DataFrame, state: DataFrame, order: list[str]) -> DataFrame:
     """Road speed at the end of every slice; ``closed`` marks all but the last."""
-    slices = clamped.per_slice(updates, ["road"], "slot", "_chunk", order)
+    return road_slices(clamped.per_slice(updates, ["road"], "slot", "_chunk", order), state)
+
+
+def road_slices(slices: DataFrame, state: DataFrame, limits: tuple[int, int] | None = None) -> DataFrame:
+    """Road speed at the end of every slice from one function for each; ``closed`` marks all but the last."""
     start = state.select(F.col("gid").alias("road"), F.col("avg_speed").alias("v"))
-    ends = clamped.walk(slices, start, ["road"], "slot", SLICES_PER_DAY)
+    ends = kept(clamped.walk(slices, start, ["road"], "slot", SLICES_PER_DAY, limits=limits))
     # One row per road and slice: the window sees a calendar, not the observations.
     newest = F.max("slot").over(Window.partitionBy("road"))
     return (
@@ -204,40 +255,48 @@ def smooth_roads(updates: DataFrame, state: DataFrame, order: list[str]) -> Data
     )
 
 
+TURN = ["road", "next_road"]
+
+
 def turning_updates(
     updates: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams(), known: DataFrame | None = None,
 ) -> DataFrame:
-    """Effect of accepted route observations on the turn they end with.
+    """Effect of accepted route observations in time order on the turn they end with, one function per turn and slice.
 
     ``known(gid, next_gid, turn_seq)`` is the slice of each turn's last update before this run.
     """
-    turns = updates.filter(F.col("usable") & (F.col("kind") == "route") & (F.col("turning_time") > 0)).withColumn(
-        "cur", slot_seq(F.col("own"))
-    )
-    seen = with_previous(
-        turns.select("road", "next_road", *order, "slot", "cur", "turning_time"),
-        ["road", "next_road"], chunk, order, ["cur"],
-    )
+    turns = updates.filter(F.col("usable") & (F.col("kind") == "route") & (F.col("turning_time") > 0))
+
+    def effect(time: Column, old: Column) -> Column:
+        alpha = S.smoothing(old, slot_seq(F.col("own")), None, p)
+        return clamped.update(time * (1 - alpha), alpha, F.lit(p.turning_floor), F.lit(clamped.WIDE))
+
+    rows = turns.withColumn("f", effect(F.col("turning_time"), slot_seq(F.col("own")))).withColumn("_chunk", chunk)
+    # Only the first row of an own slice follows one of another slice.
+    owns = clamped.gather_from(rows, [*TURN, "own"], "_chunk", order, F.struct("turning_time", "slot"))
+    before = slot_seq(F.lag("own").over(Window.partitionBy(*TURN).orderBy("own")))
+    seen = owns.select(*TURN, "own", "first.*", "rest", before.alias("_before"))
     if known is not None:
         last = known.select(F.col("gid").alias("road"), F.col("next_gid").alias("next_road"), "turn_seq")
-        seen = seen.join(last, ["road", "next_road"], "left").withColumn("pre_cur", F.coalesce("pre_cur", "turn_seq")).drop("turn_seq")
-    alpha = S.smoothing(F.coalesce("pre_cur", F.lit(0)), F.col("cur"), None, p)
-    f = clamped.update(F.col("turning_time") * (1 - alpha), alpha, F.lit(p.turning_floor), F.lit(clamped.WIDE))
-    return seen.withColumn("f", f).withColumn("_chunk", chunk)
+        seen = seen.join(last, TURN, "left").withColumn("_before", F.coalesce("_before", "turn_seq")).drop("turn_seq")
+    f = clamped.then(effect(F.col("turning_time"), F.coalesce("_before", F.lit(0))), F.col("rest"))
+    found = seen.select(*TURN, "slot", "own", f.alias("f"))
+    if known is not None:
+        # Late rows are in the slice that was open before this run, together with its own.
+        listed = found.groupBy(*TURN, "slot").agg(F.array_sort(F.collect_list(F.struct("own", "f"))).alias("_fs"), F.max("own").alias("own"))
+        found = listed.select(*TURN, "slot", "own", clamped.compose(F.transform("_fs", lambda x: x.f)).alias("f"))
+    return found.select(*TURN, "slot", slot_seq(F.col("own")).alias("turn_seq"), "f")
 
 
-def smooth_turnings(updates: DataFrame, order: list[str], p: TrafficParams = TrafficParams(), known: DataFrame | None = None) -> DataFrame:
+def smooth_turnings(
+    slices: DataFrame, p: TrafficParams = TrafficParams(), known: DataFrame | None = None, limits: tuple[int, int] | None = None,
+) -> DataFrame:
     """Turning time per road pair at the end of every slice with an update; ``known(gid, next_gid, time)`` is where turns start."""
-    keys = ["road", "next_road"]
-    slices = clamped.per_slice(updates, keys, "slot", "_chunk", order)
-    start = slices.select(*keys).distinct()
-    if known is None:
-        start = start.withColumn("v", F.lit(p.turning_default))
-    else:
-        begun = known.select(F.col("gid").alias("road"), F.col("next_gid").alias("next_road"), F.col("time").alias("v"))
-        start = start.join(begun, keys, "left").withColumn("v", F.coalesce("v", F.lit(p.turning_default)))
-    last = updates.groupBy(*keys, "slot").agg(F.max_by("cur", F.struct(*order)).alias("turn_seq"))
-    return clamped.walk(slices, start, keys, "slot", SLICES_PER_DAY).join(last, [*keys, "slot"]).select(
+    start = None
+    if known is not None:
+        start = known.select(F.col("gid").alias("road"), F.col("next_gid").alias("next_road"), F.col("time").alias("v"))
+    ends = clamped.walk(slices, start, TURN, "slot", SLICES_PER_DAY, p.turning_default, ("turn_seq",), limits)
+    return ends.select(
         F.col("road").alias("gid"), F.col("next_road").alias("next_gid"), "slot",
         slot_day(F.col("slot")).alias("day"), slot_seq(F.col("slot")).alias("seq"), F.col("v").alias("time"), "turn_seq",
     )
@@ -259,10 +318,13 @@ def minute_chunk() -> Column:
 def road_speeds(pairs: DataFrame, state: DataFrame, turning: DataFrame | None = None, p: TrafficParams = TrafficParams()) -> tuple[DataFrame, DataFrame]:
     """Road and turning slices of a batch of pairs, in time order."""
     # Kept, since the routes would be exploded and priced again for every use below.
-    obs = cut(observations(pairs, state, turning, p))
-    updates = cut(speed_updates(admit(obs, ORDER, minute_chunk(), p), state, p))
-    roads = smooth_roads(updates, state, ORDER)
-    turns = smooth_turnings(turning_updates(updates, ORDER, minute_chunk(), p), ORDER, p)
+    obs = kept(observations(pairs, state, turning, p, CARRIED))
+    updates = timed_updates(obs, p)
+    limits = tuple(updates.agg(F.min("slot"), F.max("slot")).first())
+    limits = None if None in limits else limits
+    roads = road_slices(timed_slices(updates, ORDER, minute_chunk(), p), state, limits)
+    turns = kept(smooth_turnings(turning_updates(updates, ORDER, minute_chunk(), p), p, None, limits))
+    drop(obs)
     return roads, turns
 
 

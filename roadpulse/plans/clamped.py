@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.plans.lineage import cut
+from roadpulse.plans.lineage import cut, kept
 
 WIDE = 1e300
 
@@ -74,17 +74,48 @@ def _entries(value: Column, members: Column) -> Column:
     )
 
 
-def walk(slices: DataFrame, start: DataFrame, keys: list[str], slot: str, per_day: int) -> DataFrame:
-    """Value at the end of each slice, beginning with ``start.v``.
+def gather_from(df: DataFrame, keys: list[str], chunk: str, order: list[str], first: Column) -> DataFrame:
+    """``first`` of the first row of each of ``keys``, and one function, ``rest``, for all rows with column ``f`` behind it.
+
+    What the first row does may depend on what came before ``keys``, which is known once there is a row for each of them.
+    """
+    dealt = df.select(*dict.fromkeys([*keys, chunk, *order]), first.alias("_first"), "f").repartition(*keys)
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), "f")))
+    chunks = dealt.groupBy(*keys, chunk).agg(sorted_.alias("_fs"), F.min_by("_first", F.struct(*order)).alias("_first"))
+    tail = lambda fs: F.slice(fs, F.lit(2), F.size(fs))
+    composed = chunks.select(
+        *keys, chunk, "_first", compose(F.transform("_fs", lambda x: x.f)).alias("all"), compose(F.transform(tail(F.col("_fs")), lambda x: x.f)).alias("rest"))
+    parts = composed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(chunk, "all", "rest"))).alias("_cs"), F.min_by("_first", chunk).alias("first"))
+    later = compose(F.transform(tail(F.col("_cs")), lambda x: x["all"]))
+    return parts.select(*keys, "first", then(F.get("_cs", F.lit(0))["rest"], later).alias("rest"))
+
+
+def walk(slices: DataFrame, start: DataFrame | None, keys: list[str], slot: str, per_day: int, default: float | None = None,
+         carry: tuple[str, ...] = (), limits: tuple[int, int] | None = None) -> DataFrame:
+    """Value at the end of each slice, beginning with ``start.v``, or with ``default`` where ``start`` has none.
 
     The slices of a key and day are one row, of at most ``per_day`` functions, and one function together. Days are composed in
     a tree of rows of at most BLOCK functions; down the tree every block, and at last every day, gets the value it begins
-    with. So no row grows with the calendar, and the days of a key are walked side by side.
+    with. So no row grows with the calendar, and the days of a key are walked side by side. Columns ``carry`` stay with their
+    slice. ``limits`` are the first and last slot, where they are known; slices of a single day need no tree and are not kept.
     """
     number = F.floor((F.col(slot) - 1) / per_day).cast("long").alias("_n")
-    days = cut(slices.groupBy(*keys, number).agg(F.array_sort(F.collect_list(F.struct(slot, "f"))).alias("fs")))
-    low, high = days.agg(F.min("_n"), F.max("_n")).first()
-    low, span = low or 0, (high or 0) - (low or 0)
+    days = slices.groupBy(*keys, number).agg(F.array_sort(F.collect_list(F.struct(slot, *carry, "f"))).alias("fs"))
+    if limits is None:
+        days = kept(days)
+        low, high = days.agg(F.min("_n"), F.max("_n")).first()
+        low, span = low or 0, (high or 0) - (low or 0)
+    else:
+        low, span = ((x - 1) // per_day for x in limits)
+        span -= low
+        days = kept(days) if span else days
+
+    def begun_with(rows: DataFrame) -> DataFrame:
+        if start is None:
+            return rows.withColumn("v", F.lit(default))
+        joined = rows.join(start.select(*keys, "v"), keys, "inner" if default is None else "left")
+        return joined if default is None else joined.withColumn("v", F.coalesce("v", F.lit(default)))
+
     level = days.select(*keys, (F.col("_n") - low).alias("_n"), compose(F.transform("fs", lambda x: x.f)).alias("f"))
     blocks: list[DataFrame] = []
     while span > 0:
@@ -92,17 +123,21 @@ def walk(slices: DataFrame, start: DataFrame, keys: list[str], slot: str, per_da
         blocks.append(cut(level.groupBy(*keys, F.floor(F.col("_n") / BLOCK).cast("long").alias("_up")).agg(listed)))
         level = blocks[-1].select(*keys, F.col("_up").alias("_n"), compose(F.transform("members", lambda x: x.f)).alias("f"))
         span //= BLOCK
-    begun = start.select(*keys, F.lit(0).cast("long").alias("_n"), "v")
+    begun = None
     for block in reversed(blocks):
-        begun = block.join(begun.withColumnRenamed("_n", "_up"), [*keys, "_up"]).select(*keys, F.inline(_entries(F.col("v"), F.col("members"))))
-    kind = f"array<struct<{slot}:bigint,v:double>>"
+        # At the top a key has one row.
+        entered = begun_with(block) if begun is None else block.join(begun.withColumnRenamed("_n", "_up"), [*keys, "_up"])
+        begun = entered.select(*keys, F.inline(_entries(F.col("v"), F.col("members"))))
+    kinds = dict(slices.dtypes)
+    kind = f"array<struct<{slot}:bigint,{''.join(f'{c}:{kinds[c]},' for c in carry)}v:double>>"
     walked = F.aggregate(
         "fs",
         F.struct(F.col("v").alias("v"), F.expr(f"cast(array() as {kind})").alias("out")),
         lambda acc, x: F.struct(
             apply(x.f, acc.v).alias("v"),
-            F.concat(acc.out, F.array(F.struct(x[slot].alias(slot), apply(x.f, acc.v).alias("v")))).alias("out"),
+            F.concat(acc.out, F.array(F.struct(x[slot].alias(slot), *[x[c].alias(c) for c in carry], apply(x.f, acc.v).alias("v")))).alias("out"),
         ),
         lambda acc: acc.out,
     )
-    return days.withColumn("_n", F.col("_n") - low).join(begun, [*keys, "_n"]).select(*keys, F.inline(walked))
+    entered = begun_with(days) if begun is None else days.withColumn("_n", F.col("_n") - low).join(begun, [*keys, "_n"])
+    return entered.select(*keys, F.inline(walked))
