@@ -9,7 +9,7 @@ from roadpulse.catalog.network import road_state
 from roadpulse.catalog.registry import query
 from roadpulse.functions import scalar as S
 from roadpulse.operators import traffic as T
-from roadpulse.plans.lineage import kept, scratch_path
+from roadpulse.plans.lineage import drop, kept, scratch_path
 from roadpulse.sinks import tables
 from roadpulse.sources import roads as RS
 
@@ -284,8 +284,13 @@ def inferred(f: Fixtures, roads):
 
 
 def real_rows(f: Fixtures):
-    roads = kept(speeds(f)[0])
-    return T.real_road_rows(roads, inferred(f, roads))
+    roads, turns = speeds(f)
+    ends, roads = roads, kept(roads)
+    drop(ends.unionByName(turns, allowMissingColumns=True))
+    # Kept, so that the shuffles of the gaps and those of their use are not on disk together.
+    rows = kept(T.real_road_rows(roads, inferred(f, roads)))
+    drop(roads)
+    return rows
 
 
 @query("J11_with_history", sql("""
@@ -363,6 +368,9 @@ def _(f):
                                 "pairs", "road_state", **{**FULL, "merged": MERGED}))
 def _(f):
     path = scratch_path(f.spark, "history")
-    tables.write_history(T.update_history(f.history(), real_rows(f)).drop("changed"), path)
+    # Kept, so that the shuffles of the join are gone when the rows are dealt to their slices.
+    merged = kept(T.update_history(f.history(), real_rows(f)).drop("changed"))
+    tables.write_history(merged, path)
+    drop(merged)
     return rounded(f.spark.read.parquet(path), "average_speed").select(
         "gid", F.col("seq").cast("bigint").alias("seq"), "average_speed")

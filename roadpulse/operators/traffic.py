@@ -177,11 +177,11 @@ def _effect(old: Column, p: TrafficParams) -> tuple[Column, Column]:
     limit = F.greatest(F.lit(p.min_speed), F.col("max_speed"))
     cur = slot_seq(F.col("own"))
     alpha = S.smoothing(old, cur, F.col("late") if p.late_alpha else None, p)
-    sensed = F.when(F.col("kind") == "route", F.col("length") / F.col("value")).otherwise(F.col("value"))
+    sensed = F.col("sensed")
     x = F.when(F.col("kind") == "route", sensed).otherwise(S.clamp_speed(sensed, limit, p))
     usable = F.col("accepted") & (sensed <= p.max_speed)
     f = (
-        F.when(F.col("accepted") & (F.col("kind") == "speed") & (F.col("value") == 0) | F.col("accepted") & (F.col("kind") == "jam"),
+        F.when(F.col("accepted") & (F.col("kind") == "speed") & (sensed == 0) | F.col("accepted") & (F.col("kind") == "jam"),
                clamped.update(F.lit(0.0), F.lit(p.jam_decay), F.lit(p.min_speed), limit))
         .when(usable, clamped.update(x * (1 - alpha), alpha, F.lit(p.min_speed), limit))
         .otherwise(clamped.identity())
@@ -189,15 +189,20 @@ def _effect(old: Column, p: TrafficParams) -> tuple[Column, Column]:
     return usable, f
 
 
+def _sensed() -> Column:
+    """Speed that a row tells of."""
+    return F.when(F.col("kind") == "route", F.col("length") / F.col("value")).otherwise(F.col("value"))
+
+
 def _seq_before(slot: Column) -> Column:
     return F.coalesce(slot_seq(slot), F.lit(-1))
 
 
 def speed_updates(admitted: DataFrame, state: DataFrame, p: TrafficParams = TrafficParams()) -> DataFrame:
     """Each row's effect on the road's speed as a clamped linear function."""
-    rows = admitted.join(state.select(F.col("gid").alias("road"), "length", "max_speed"), "road")
+    rows = admitted.join(state.select(F.col("gid").alias("road"), "length", "max_speed"), "road").withColumn("sensed", _sensed())
     usable, f = _effect(_seq_before(F.col("prior")), p)
-    return rows.withColumn("usable", usable).withColumn("f", f)
+    return rows.withColumn("usable", usable).withColumn("f", f).drop("sensed")
 
 
 #: Columns of the state that observations in time order bring along.
@@ -212,25 +217,34 @@ def timed_updates(obs: DataFrame, p: TrafficParams = TrafficParams()) -> DataFra
     :func:`timed_slices` sees to that.
     """
     valid = F.when(F.col("kind") == "route", F.col("value") > 0).otherwise(F.col("value") >= 0)
-    rows = obs.filter(valid).withColumn("own", slot_of(F.col("utc")))
-    if "open_slot" not in obs.columns:
-        rows = rows.withColumn("open_slot", F.lit(None).cast("bigint"))
-    rows = rows.withColumn("slot", F.greatest("own", "open_slot"))
+    rows = obs.filter(valid).withColumn("own", slot_of(F.col("utc"))).withColumn("sensed", _sensed())
+    rows = _fates(rows.withColumn("slot", F.greatest("own", "open_slot") if "open_slot" in obs.columns else F.col("own")), p)
+    return rows.withColumn("usable", _effect(slot_seq(F.col("slot")), p)[0])
+
+
+def _fates(rows: DataFrame, p: TrafficParams) -> DataFrame:
+    """Whether a row in time order is late, and whether it is accepted; only where a slice was open before this run there are others."""
+    if "open_slot" not in rows.columns:
+        return rows.withColumn("late", F.lit(False)).withColumn("accepted", F.lit(True))
     behind = F.col("slot") - F.col("own")
     same_day = slot_day(F.col("slot")) == slot_day(F.col("own"))
-    rows = rows.withColumn("late", behind > 0).withColumn("accepted", (behind == 0) | (same_day & (behind <= p.late_slices)))
-    return rows.withColumn("usable", _effect(slot_seq(F.col("slot")), p)[0])
+    return rows.withColumn("late", behind > 0).withColumn("accepted", (behind == 0) | (same_day & (behind <= p.late_slices)))
 
 
 def timed_slices(updates: DataFrame, order: list[str], chunk: Column, p: TrafficParams = TrafficParams()) -> DataFrame:
     """One composed function per road and slice of :func:`timed_updates`."""
-    raw = ["kind", "value", "own", "late", "accepted", "length", "max_speed", "open_slot"]
-    rows = updates.withColumn("f", _effect(slot_seq(F.col("slot")), p)[1]).withColumn("_chunk", chunk)
-    slices = clamped.gather_from(rows, ["road", "slot"], "_chunk", order, F.struct(*raw))
+    first = ["kind", "sensed", "max_speed"]
+    opened = ["open_slot", "own"] if "open_slot" in updates.columns else []
+    # Only what a row is made from moves to its slice; without a slice open before, that is its own one.
+    whole = lambda df: _fates(df if opened else df.withColumn("own", F.col("slot")), p)
+    rows = whole(updates.select("road", "slot", *order, *first, *opened).repartition("road", "slot"))
+    rows = rows.withColumn("f", _effect(slot_seq(F.col("slot")), p)[1]).withColumn("_chunk", chunk)
+    slices = clamped.gather_from(rows, ["road", "slot"], "_chunk", order, F.struct(*first, *opened))
     before = F.lag("slot").over(Window.partitionBy("road").orderBy("slot"))
-    first = slices.select("road", "slot", "first.*", "rest", before.alias("_before"))
-    old = F.when(F.col("late"), slot_seq(F.col("slot"))).otherwise(_seq_before(F.coalesce("_before", "open_slot")))
-    return first.withColumn("f", _effect(old, p)[1]).select("road", "slot", clamped.then(F.col("f"), F.col("rest")).alias("f"))
+    begun = whole(slices.select("road", "slot", "first.*", "rest", before.alias("_before")))
+    old = _seq_before(F.coalesce("_before", *opened[:1]))
+    f = _effect(F.when(F.col("late"), slot_seq(F.col("slot"))).otherwise(old), p)[1]
+    return begun.withColumn("f", f).select("road", "slot", clamped.then(F.col("f"), F.col("rest")).alias("f"))
 
 
 def smooth_roads(updates: DataFrame, state: DataFrame, order: list[str]) -> DataFrame:
@@ -271,7 +285,8 @@ def turning_updates(
         alpha = S.smoothing(old, slot_seq(F.col("own")), None, p)
         return clamped.update(time * (1 - alpha), alpha, F.lit(p.turning_floor), F.lit(clamped.WIDE))
 
-    rows = turns.withColumn("f", effect(F.col("turning_time"), slot_seq(F.col("own")))).withColumn("_chunk", chunk)
+    dealt = turns.select(*TURN, "own", *order, "turning_time", "slot").repartition(*TURN, "own")
+    rows = dealt.withColumn("f", effect(F.col("turning_time"), slot_seq(F.col("own")))).withColumn("_chunk", chunk)
     # Only the first row of an own slice follows one of another slice.
     owns = clamped.gather_from(rows, [*TURN, "own"], "_chunk", order, F.struct("turning_time", "slot"))
     before = slot_seq(F.lag("own").over(Window.partitionBy(*TURN).orderBy("own")))

@@ -77,9 +77,10 @@ def _entries(value: Column, members: Column) -> Column:
 def gather_from(df: DataFrame, keys: list[str], chunk: str, order: list[str], first: Column) -> DataFrame:
     """``first`` of the first row of each of ``keys``, and one function, ``rest``, for all rows with column ``f`` behind it.
 
-    What the first row does may depend on what came before ``keys``, which is known once there is a row for each of them.
+    What the first row does may depend on what came before ``keys``, which is known once there is a row for each of them. Rows
+    come dealt by ``keys``; what is made of a row's columns afterwards, like ``f`` and ``first``, does not move.
     """
-    dealt = df.select(*dict.fromkeys([*keys, chunk, *order]), first.alias("_first"), "f").repartition(*keys)
+    dealt = df.select(*dict.fromkeys([*keys, chunk, *order]), first.alias("_first"), "f")
     sorted_ = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), "f")))
     chunks = dealt.groupBy(*keys, chunk).agg(sorted_.alias("_fs"), F.min_by("_first", F.struct(*order)).alias("_first"))
     tail = lambda fs: F.slice(fs, F.lit(2), F.size(fs))

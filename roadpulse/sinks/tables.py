@@ -17,7 +17,7 @@ def write_slices(rows: DataFrame, path: str, mode: str = "append") -> None:
         (
             rows.hint("rebalance", "date", "seq")
             .sortWithinPartitions("date", "seq", "gid")
-            .write.mode(mode).partitionBy("date", "seq").parquet(path)
+            .write.mode(mode).option("compression", "zstd").partitionBy("date", "seq").parquet(path)
         )
 
 
@@ -27,5 +27,5 @@ def write_history(history: DataFrame, path: str) -> None:
         (
             history.hint("rebalance", "seq")
             .sortWithinPartitions("seq", "gid")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(path)
+            .write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(path)
         )
