@@ -255,7 +255,9 @@ def smooth_roads(updates: DataFrame, state: DataFrame, order: list[str]) -> Data
 def road_slices(slices: DataFrame, state: DataFrame, limits: tuple[int, int] | None = None) -> DataFrame:
     """Road speed at the end of every slice from one function for each; ``closed`` marks all but the last."""
     start = state.select(F.col("gid").alias("road"), F.col("avg_speed").alias("v"))
-    ends = kept(clamped.walk(slices, start, ["road"], "slot", SLICES_PER_DAY, limits=limits))
+    walked = clamped.walk(slices, start, ["road"], "slot", SLICES_PER_DAY, limits=limits)
+    ends = kept(walked)
+    drop(walked, slices)
     # One row per road and slice: the window sees a calendar, not the observations.
     newest = F.max("slot").over(Window.partitionBy("road"))
     return (
@@ -338,7 +340,9 @@ def road_speeds(pairs: DataFrame, state: DataFrame, turning: DataFrame | None =
     limits = tuple(updates.agg(F.min("slot"), F.max("slot")).first())
     limits = None if None in limits else limits
     roads = road_slices(timed_slices(updates, ORDER, minute_chunk(), p), state, limits)
-    turns = kept(smooth_turnings(turning_updates(updates, ORDER, minute_chunk(), p), p, None, limits))
+    found = smooth_turnings(turning_updates(updates, ORDER, minute_chunk(), p), p, None, limits)
+    turns = kept(found)
+    drop(found, obs)
     drop(obs)
     return roads, turns
 
